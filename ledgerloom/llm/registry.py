@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import bpe, packing, quality_rules, sharding
 
-MODULES = (sharding, quality_rules)
+MODULES = (sharding, bpe, packing, quality_rules)
 
 
 def queries() -> dict:
