@@ -47,10 +47,10 @@ def shuffle_partitions(df: DataFrame, least: int = 1) -> int:
 
 
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two longs that identify a row by content; rows equal in both columns get
-    equal results from every operator here, so they may share a key."""
+    """The id, and a hash of the text that tells rows with one id apart; rows equal in
+    both columns get equal results from every operator here, so they may share a key."""
     c, t = F.col(id_col), F.col(text_col)
-    return F.coalesce(c.cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(t, c.isNull(), t.isNull()).alias("_k2")
+    return F.coalesce(c.cast("long"), F.lit(-1)).alias("_k1"), F.hash(t, c.isNull(), t.isNull()).alias("_k2")
 
 
 # --- Arrow text columns as numpy ------------------------------------------------
