@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, minhash, packing, quality_rules, sharding, substring_dedup, suffix_dedup
 
-MODULES = (substring_dedup, sharding, suffix_dedup, bpe, packing, quality_rules)
+MODULES = (substring_dedup, sharding, suffix_dedup, bpe, minhash, packing, quality_rules)
 
 
 def queries() -> dict:
