@@ -294,7 +294,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     schema = T.StructType([joined.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_lines_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             kept, total, lost = [], [], []
             for text, out in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 lines = (text or "").split("\n")

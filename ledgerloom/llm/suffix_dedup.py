@@ -153,7 +153,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, id_col: str
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", kept binary, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             kept, counts = [], []
             for text, span in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 text = text or b""
