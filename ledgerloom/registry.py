@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from .operators import views
+
+MODULES: tuple = (views,)
 
 
 def queries() -> dict:
