@@ -50,7 +50,7 @@ FRAMES: dict[str, str] = {
         CASE WHEN lease_id % 7 <> 0 THEN cast(signed_on + cast(lease_id % 9 AS int) AS date) END AS sent_on,
         CASE WHEN lease_id % 7 <> 0 AND lease_id % 5 <> 0 THEN cast(signed_on + cast(lease_id % 9 AS int) + 3 AS date) END AS cleared_on,
         CASE WHEN lease_id % 6 = 0 THEN deposit ELSE 0 END AS in_master, CASE WHEN lease_id % 4 = 1 THEN lpad(cast(lease_id % 10000 AS string), 4, '0') WHEN lease_id % 4 = 2 THEN '' END AS sub_last4,
-        CASE WHEN lease_id % 8 = 1 THEN cast(signed_on + 20 AS date) END AS sub_opened_on,
+        CASE WHEN lease_id % 8 IN (1, 6) THEN cast(signed_on + 20 AS date) END AS sub_opened_on,
         CASE lease_id % 13 WHEN 0 THEN 'received' WHEN 1 THEN 'in_master' WHEN 2 THEN 'subaccount_pending' WHEN 3 THEN 'in_subaccount' WHEN 4 THEN 'active' WHEN 5 THEN 'active' WHEN 6 THEN 'in_subaccount' WHEN 7 THEN 'vacated' WHEN 8 THEN 'bank_closing' WHEN 9 THEN 'funds_returned' WHEN 10 THEN 'funds_returned' WHEN 11 THEN 'refunded' ELSE 'closed' END AS stage,
         vacated_on AS vacate_on, CASE WHEN lease_id % 19 = 0 THEN cast(signed_on + 420 AS date) END AS bank_closed_on,
         CASE WHEN lease_id % 13 IN (9, 10) THEN cast(signed_on + 400 AS date) END AS returned_on, CASE WHEN lease_id % 39 = 9 THEN deposit - 100 END AS returned_amount,

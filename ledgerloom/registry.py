@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import views
+from .operators import custody, detectors, views
 
-MODULES: tuple = (views,)
+MODULES: tuple = (views, detectors, custody)
 
 
 def queries() -> dict:
