@@ -187,11 +187,14 @@ class TrieEncoder:
     def words_of(self, chunk: str) -> list[str]:
         """The words of a chunk without white space, in byte letters."""
         if chunk.isascii() and chunk.isprintable():  # such bytes stand for themselves
-            return [chunk.lower()] if chunk.isalpha() else self.split(chunk.lower())
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return [chunk]
+            return [chunk[:-1], chunk[-1]] if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?" else self.split(chunk)
         if not unicodedata.is_normalized("NFC", chunk):
             chunk = unicodedata.normalize("NFC", chunk)
         chunk = "".join([c.lower() for c in chunk]) if "\u03a3" in chunk else chunk.lower()
-        words = [chunk] if chunk.isalpha() else self.split(chunk)
+        words = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?" else self.split(chunk)
         return [w.encode().decode("latin-1").translate(self.letters) for w in words]
 
     def chunks(self, text: str) -> list[str]:
@@ -207,33 +210,38 @@ class TrieEncoder:
 
 
 class ChunkCache:
-    """Chunk -> values and word -> values, with a bounded number of kept entries.
-    ``value`` gives the values of a word's tokens, ``join`` joins those of a chunk's words."""
+    """Chunk -> values and word -> value, with a bounded number of kept entries.
+    ``value`` gives the value of a word's tokens, ``join`` joins those of a chunk's words;
+    a value of several parts is kept in as many maps."""
 
-    def __init__(self, encoder: TrieEncoder, encode: Callable, value: Callable[[list], tuple], join: Callable[[list], tuple], width: int):
-        self.encoder, self.encode, self.value, self.join = encoder, encode, value, join
-        self.words: dict[str, tuple] = {}
+    def __init__(self, encoder: TrieEncoder, encode: Callable, value: Callable[[list], object], join: Callable[[list], object], width: int, most: int):
+        self.encoder, self.encode, self.value, self.join, self.most = encoder, encode, value, join, most
+        self.words: dict[str, object] = {}
         self.chunks: list[dict[str, object]] = [{} for _ in range(width)]
 
     def batch(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, after which every piece is in ``chunks``."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.most:
             self.words.clear()
-        if len(self.chunks[0]) > CACHE:
+        if len(self.chunks[0]) > self.most:
             for m in self.chunks:
                 m.clear()
-        encoder, words, maps = self.encoder, self.words, self.chunks
+        encoder, words, maps, join = self.encoder, self.words, self.chunks, self.join
         parts = [encoder.pieces(t) if t else [] for t in texts]
         missing = set().union(*parts).difference(maps[0])
-        new = [(c, None) for c in missing & encoder.special.keys()]
-        new += [(c, encoder.words_of(c)) for c in missing.difference(encoder.special)]
+        special = missing & encoder.special.keys()
+        missing -= special
+        new = {c: encoder.words_of(c) for c in missing}
         value = self.value
-        for word, tokens in self.encode(list({w for _, ws in new if ws for w in ws}.difference(words))):
+        for word, tokens in self.encode(list({w for ws in new.values() for w in ws}.difference(words))):
             words[word] = value(tokens)
-        for chunk, ws in new:
-            got = value([chunk]) if ws is None else words[ws[0]] if len(ws) == 1 else self.join([words[w] for w in ws])
-            for m, v in zip(maps, got, strict=True):
-                m[chunk] = v
+        got = {c: words[ws[0]] if len(ws) == 1 else join([words[w] for w in ws]) for c, ws in new.items()}
+        got |= {c: value([c]) for c in special}
+        if len(maps) == 1:
+            maps[0].update(got)
+        else:
+            for i, m in enumerate(maps):
+                m.update((c, v[i]) for c, v in got.items())
         return parts
 
 
@@ -252,13 +260,13 @@ def cached(path: str, kind: str) -> ChunkCache:
 def id_text(encoder: TrieEncoder) -> tuple:
     """Ids in decimal and token strings, each joined by spaces, by the trie."""
     ids = {t: str(i) for t, i in (encoder.vocab | encoder.special).items()}
-    return encoder.encode_words, lambda tokens: (" ".join([ids[t] for t in tokens]), " ".join(tokens)), lambda pairs: (" ".join([i for i, _ in pairs]), " ".join([t for _, t in pairs])), 2
+    return encoder.encode_words, lambda tokens: (" ".join([ids[t] for t in tokens]), " ".join(tokens)), lambda pairs: (" ".join([i for i, _ in pairs]), " ".join([t for _, t in pairs])), 2, CACHE
 
 
 def id_bytes(encoder: TrieEncoder) -> tuple:
     """Ids as little-endian unsigned 32-bit numbers, by rounds of merges over all words of a batch."""
-    special = {t: (i.to_bytes(4, "little"),) for t, i in encoder.special.items()}
-    return RoundMerger(encoder).encode_words, lambda x: special[x[0]] if isinstance(x, list) else (x,), lambda parts: (b"".join([b for b, in parts]),), 1
+    special = {t: i.to_bytes(4, "little") for t, i in encoder.special.items()}
+    return RoundMerger(encoder).encode_words, lambda x: special[x[0]] if isinstance(x, list) else x, b"".join, 1, 2 * CACHE
 
 
 class RoundMerger:

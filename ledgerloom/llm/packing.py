@@ -75,7 +75,7 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.nd
         best[c] = best[c - 1]
         if n:
             got = values[:n] + best[c - lengths[:n]]
-            i = int(np.argmax(got))
+            i = n - 1 - int(np.argmax(got[::-1]))  # of equals the longest, which leaves fewest pieces
             if got[i] > best[c] + 1e-12:
                 best[c], pick[c] = got[i], i
     return best, pick

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .base import Words, rolled, slices, table
 from .superkmers import Bucket, repeated_spans, run_spans, span_mask, with_spans
 
-WINDOW, GRAM = 35, 5
+WINDOW, GRAM = 35, 4
 
 
 def repeated_windows(bucket: Bucket, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM, id_col: str
     schema = T.StructType([joined.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             kept, n_words, n_removed = [], [], []
             for text, span in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 words = (text or b"").split()

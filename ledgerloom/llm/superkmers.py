@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .base import BYTE_MUL, WORD_MUL, U64, Words, mix, powers, rolled, row_key, shuffle_partitions, slices, sliding_min, text_bytes, texts
 
 #: Bytes of strings that a bucket is planned to hold, and how many times the text they are.
-BUCKET_BYTES, SPREAD = 6 << 20, 3.2
+BUCKET_BYTES, SPREAD = 4 << 20, 3.2
 #: Text bytes of a slice; bytes of strings that a task packs at once.
-SLICE, FLUSH = 2 << 20, 48 << 20
+SLICE, FLUSH = 1 << 20, 24 << 20
 
 
 def tokens_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +74,7 @@ def pack_block(strings: list[bytes], marks: np.ndarray, string: np.ndarray, k1:
     body = b"".join([struct.pack("<ii", len(strings), len(string)), lengths.tobytes(), marks.astype(np.uint32).tobytes(), string.astype(np.int32).tobytes(), first.astype(np.int32).tobytes(), k2.astype(np.int32).tobytes(), k1.astype(np.int64).tobytes(), *strings])
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    return zstandard.ZstdCompressor(level=6).compress(body)
 
 
 def unpack_block(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

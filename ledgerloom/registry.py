@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import custody, detectors, views
+from .operators import custody, deadlines, detectors, gates, matching, views
 
-MODULES: tuple = (views, detectors, custody)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates)
 
 
 def queries() -> dict:
