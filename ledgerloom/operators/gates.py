@@ -29,15 +29,16 @@ def ingest_decision(docs: DataFrame) -> DataFrame:
     """One decision for each document, in this order: duplicate, scan without text, unknown or
     ambiguous layout, parse failure, other account, checksum, posted.
     Reads seen, scanned, n_parsers, parsed, account_last4, expected_last4, delta."""
+    said = lambda status, reason=None: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
     d = (
-        F.when(F.col("seen"), F.struct(F.lit("duplicate").alias("status"), F.lit("content seen before").alias("reason")))
-        .when(F.col("scanned"), F.struct(F.lit("quarantined"), F.lit("no text layer")))
-        .when(F.col("n_parsers") == 0, F.struct(F.lit("errored"), F.lit("no layout matches")))
-        .when(F.col("n_parsers") > 1, F.struct(F.lit("errored"), F.lit("layouts are ambiguous")))
-        .when(~F.col("parsed"), F.struct(F.lit("errored"), F.lit("parse failed")))
-        .when(F.col("account_last4").isNotNull() & ~F.col("account_last4").eqNullSafe(F.col("expected_last4")), F.struct(F.lit("quarantined"), F.lit("another account")))
-        .when(F.col("delta") != 0, F.struct(F.lit("quarantined"), F.lit("checksum")))
-        .otherwise(F.struct(F.lit("posted"), F.lit(None).cast("string")))
+        F.when(F.col("seen"), said("duplicate", "content seen before"))
+        .when(F.col("scanned"), said("quarantined", "no text layer"))
+        .when(F.col("n_parsers") == 0, said("errored", "no layout matches"))
+        .when(F.col("n_parsers") > 1, said("errored", "layouts are ambiguous"))
+        .when(~F.col("parsed"), said("errored", "parse failed"))
+        .when(F.col("account_last4").isNotNull() & ~F.col("account_last4").eqNullSafe(F.col("expected_last4")), said("quarantined", "another account"))
+        .when(F.col("delta") != 0, said("quarantined", "checksum"))
+        .otherwise(said("posted"))
     )
     return docs.withColumn("_d", d).select("*", F.col("_d.status").alias("status"), F.col("_d.reason").alias("reason")).drop("_d")
 

@@ -18,6 +18,13 @@ class Options:
     tolerance: int = 0
 
 
+def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not in ``gone``.  An outer join, as an anti-join would be copied
+    into every branch of a union below it, and the plan would grow with each step."""
+    marked = gone.select(on, F.lit(True).alias("_gone")).distinct()
+    return rows.join(marked, on, "left").where("_gone IS NULL").drop("_gone")
+
+
 def exact_tier(txns: DataFrame, ledger: DataFrame, leases: DataFrame, o: Options = Options()) -> DataFrame:
     """Transactions with exactly one ledger entry of their building and amount within the
     window; confidence 1 where the check number stands in its note."""
@@ -30,7 +37,7 @@ def exact_tier(txns: DataFrame, ledger: DataFrame, leases: DataFrame, o: Options
 
 def fuzzy_tier(txns: DataFrame, leases: DataFrame, exact: DataFrame, o: Options = Options()) -> DataFrame:
     """The most similar tenant among leases of the building and amount; ties to the smaller lease."""
-    t = txns.join(exact.select("txn_id"), "txn_id", "left_anti").select("txn_id", "building_id", "amount", tx.extract_payer(F.col("descriptor")).alias("payer")).where("payer <> ''").withColumn("x", tx.trigrams(F.col("payer")))
+    t = without(txns, exact, "txn_id").select("txn_id", "building_id", "amount", tx.extract_payer(F.col("descriptor")).alias("payer")).where("payer <> ''").withColumn("x", tx.trigrams(F.col("payer")))
     le = leases.select(F.col("building_id").alias("b"), "deposit", "lease_id", tx.trigrams(F.col("tenant")).alias("y"))
     amount = (F.abs("amount") == F.col("deposit")) if not o.tolerance else (F.abs(F.abs("amount") - F.col("deposit")) <= o.tolerance)
     j = t.join(le, (t.building_id == le.b) & amount).withColumn("score", tx.gram_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= o.similarity)
@@ -40,19 +47,19 @@ def fuzzy_tier(txns: DataFrame, leases: DataFrame, exact: DataFrame, o: Options
 
 def propose(txns: DataFrame, ledger: DataFrame, leases: DataFrame, matched: DataFrame, o: Options = Options()) -> DataFrame:
     """Proposals for transactions that have none yet and a building."""
-    todo = txns.where("building_id IS NOT NULL").join(matched.select("txn_id"), "txn_id", "left_anti")
+    todo = without(txns.where("building_id IS NOT NULL"), matched, "txn_id")
     exact = exact_tier(todo, ledger, leases, o)
     return exact.unionByName(fuzzy_tier(todo, leases, exact, o)).withColumn("decided_by", F.lit(None).cast("string"))
 
 
 def unmatched(txns: DataFrame, matched: DataFrame, proposals: DataFrame) -> DataFrame:
-    left = txns.where("building_id IS NOT NULL").join(matched.select("txn_id").union(proposals.select("txn_id")), "txn_id", "left_anti")
+    left = without(txns.where("building_id IS NOT NULL"), matched.select("txn_id").union(proposals.select("txn_id")), "txn_id")
     return left.select("txn_id", "building_id", "amount", F.lit("low").alias("severity"), F.concat(F.lit("unmatched:"), "txn_id").alias("signature"))
 
 
 def run_rate(txns: DataFrame, matched: DataFrame, proposals: DataFrame, warn: float = 0.85, least: int = 20) -> DataFrame:
     """This run's automatic rate: proposals over considered, with its warning."""
-    todo = txns.where("building_id IS NOT NULL").join(matched.select("txn_id"), "txn_id", "left_anti")
+    todo = without(txns.where("building_id IS NOT NULL"), matched, "txn_id")
     c = todo.join(proposals.select("txn_id", "method"), "txn_id", "left").agg(F.count("*").alias("considered"), F.count(F.when(F.col("method") == "exact", 1)).alias("exact"), F.count(F.when(F.col("method") == "fuzzy", 1)).alias("fuzzy"))
     rate = (F.col("exact") + F.col("fuzzy")) / F.greatest("considered", F.lit(1))
     return c.select("*", F.round(rate, 6).alias("rate"), ((rate > warn) & (F.col("considered") >= least)).alias("warning"))
