@@ -10,7 +10,8 @@ finds every such pair: 14 chunks of 5 with one error guarantee distances up to 2
 
 Documents with equal shingle sets (a 128-bit sum of set hashes) are one node.  A key
 with several nodes links each of them to one hub, the node whose keys are the most
-shared, and the link counts if the full sets confirm it.  Keys whose nodes then still
+shared; a node meets the hub it has most keys in common with, then its hubs in other
+components, and a link counts if the full sets confirm it.  Keys whose nodes then still
 lie in different components are searched again for all pairs of different components
 within the guaranteed distance, so no link between components is lost, while copies
 never expand to pairs.
@@ -32,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import U64, Words, durable, lower_ascii, mix, rolled, row_key, slices, table, texts
+from .base import U64, Words, durable, lower_ascii, mix, rolled, row_key, shuffle_partitions, slices, table, texts
 from .components import components
 
 CHUNKS, WIDTH, ERRORS = 14, 5, 1
 SIZE = CHUNKS * WIDTH
+#: Groups of keys for each shuffle partition.
+KEY_GROUPS = 8
 #: The distance that the index guarantees.
 REACH = CHUNKS * (ERRORS + 1) - 1
 #: Fixed odd multipliers of the hash functions, from a rule.
@@ -133,23 +136,26 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one key's nodes in different components within reach, block by block."""
-    rows = rows.sort_values("node")
-    node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), SIZE)
-    values, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
-    minor = np.flatnonzero(inverse != int(np.argmax(count)))  # every cross pair has one of these
+def cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of nodes that share a key, lie in different components and are within reach.
+    ``rows`` (key, node, label, sig) holds whole keys, many at a time."""
+    rows = rows.sort_values(["key", "node"])
+    keys, nodes, labels = (rows[c].to_numpy() for c in ("key", "node", "label"))
+    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), SIZE)
+    cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)).tolist()
     out_a, out_b = [], []
-    for i in minor.tolist():
-        near = (sig != sig[i]).sum(1) <= REACH
-        near &= (label != label[i]) & ((node < node[i]) | (inverse == int(np.argmax(count))))
-        hit = node[near]
-        out_a.append(np.minimum(hit, node[i]))
-        out_b.append(np.maximum(hit, node[i]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": a, "b": b})
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        node, label, sig = nodes[lo:hi], labels[lo:hi], sigs[lo:hi]
+        values, count = np.unique(label, return_counts=True)
+        major = label == values[np.argmax(count)]
+        for i in np.flatnonzero(~major).tolist():  # every cross pair has one of these
+            near = np.flatnonzero((label != label[i]) & ((node < node[i]) | major))
+            hit = node[near[(sig[near] != sig[i]).sum(1) <= REACH]]
+            if len(hit):
+                out_a.append(np.minimum(hit, node[i]))
+                out_b.append(np.maximum(hit, node[i]))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,16 +167,35 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     shared = durable(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
-    pairs = durable(shared.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    links = durable(confirmed(pairs, node_texts(docs, nodes, pairs, id_col, text_col), size, percent))
+    hubbed = durable(shared.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("keys")))
+
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def confirm(some: DataFrame) -> DataFrame:
+        return durable(confirmed(some, node_texts(docs, nodes, some, id_col, text_col), size, percent))
+
+    # A node first meets the hub it shares most keys with, then those in other components.
+    best = hubbed.groupBy("node").agg(F.max(F.struct("keys", -F.col("hub"))).alias("t")).select("node", (-F.col("t.col2")).alias("hub"))
+    pairs = durable(ends(best))
+    links = confirm(pairs)
     labels = components(links)
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    apart = hubbed.join(labels, "node", "left").join(of_hub, "hub", "left").where(F.coalesce("label", "node") != F.coalesce("hub_label", "hub"))
+    others = durable(ends(apart).join(pairs, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        pairs = pairs.union(others)
+        links = durable(links.union(confirm(others)))
+        labels = components(links)
     # What the hubs left apart.
     labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rest = labelled.join(split, "key").join(nodes.select("node", "sig"), "node")
-    more = durable(rest.groupBy("key").applyInPandas(cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    # Keys travel together in groups, as most hold few nodes.
+    group = F.pmod("key", F.lit(KEY_GROUPS * shuffle_partitions(docs)))
+    more = durable(rest.groupBy(group).applyInPandas(cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = durable(links.union(confirmed(more, node_texts(docs, nodes, more, id_col, text_col), size, percent)))
+        links = durable(links.union(confirm(more)))
         labels = components(links)
     member = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("_c"))
     # Rows of one id are one document to the links of others: the least component of an id holds.
