@@ -30,9 +30,9 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least id."""
-    kept = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document of each group of near duplicates, the one of least id; those without an id stay."""
+    kept = minhash.near_duplicates(docs, size=SHINGLE).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
