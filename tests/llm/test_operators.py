@@ -364,3 +364,14 @@ def test_classifier_edge_cases(docs, rows, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.classify(docs, none).count() == len(rows)
     assert quality_classifier.classify(empty, none).count() == 0
+
+
+def test_toxic_documents_are_found_in_every_language(spark):
+    """Recall by language on labels that took no part in fitting, and false alarms."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = quality_classifier.classify(docs, labels.where(half)).select("doc_id", F.col("toxic").cast("int").alias("found"))
+    judged = found.join(labels.where(~half), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in judged.groupBy("lang").agg(F.avg(F.when(F.col("toxic") == 1, F.col("found"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("found"))).alias("wrong")).collect():
+        assert r["recall"] >= 0.8 and r["wrong"] <= 0.05, r
