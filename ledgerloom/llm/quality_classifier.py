@@ -6,7 +6,9 @@ it.  A host's rate of good documents is shrunk toward the global rate, a path's
 its host's, both with strengths found from the data: the variance between groups beyond
 what the documents within them explain gives the prior's weight (method of moments for a
 beta prior).  So a site with few documents stays near its parent and one with many
-speaks for itself.  A document's posterior adds its path's log-odds against the global
+speaks for itself.  The table documents has no URL: the registered query takes source for
+the host and lang for the path, so its second level has as many values as there are
+languages; ``classify`` takes any SQL expressions, as of a URL.  A document's posterior adds its path's log-odds against the global
 rate to its own evidence.
 
 Sites are aggregates of three sums, combined before any shuffle, so a host that holds a

@@ -375,3 +375,32 @@ def test_toxic_documents_are_found_in_every_language(spark):
     judged = found.join(labels.where(~half), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     for r in judged.groupBy("lang").agg(F.avg(F.when(F.col("toxic") == 1, F.col("found"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("found"))).alias("wrong")).collect():
         assert r["recall"] >= 0.8 and r["wrong"] <= 0.05, r
+
+
+def test_classifier_on_hosts_and_paths_of_urls(spark):
+    """Rates of sparse sites against the shrinkage computed by hand."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        host, path = rng.randrange(12), rng.randrange(1, 40)  # most paths have one document
+        rows.append((i, None if i % 50 == 7 else f"https://h{host}.example/p{path}/x?q={i}", ("# $ % & " if host % 3 == 0 else "") * 20 + "some plain words here " * rng.randint(1, 9)))
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    labels = spark.createDataFrame([(i, int("#" not in t), 0) for i, _, t in rows[:120]], "doc_id long, quality int, toxic int")
+    site = {i: (None, None) if u is None else (u.split("/")[2], "/" + "/".join(u.split("?")[0].split("/")[3:])) for i, u, _ in rows}
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels, host="parse_url(url, 'HOST')", path="parse_url(url, 'PATH')").collect()}
+    assert len(got) == len(rows)
+    p = {i: 1 / (1 + np.exp(-r["evidence"])) for i, r in got.items()}
+
+    def rates(of: dict, parent: dict) -> dict:
+        groups = defaultdict(list)
+        for i, key in of.items():
+            groups[key].append(i)
+        mean = {k: np.mean([p[i] for i in g]) for k, g in groups.items()}
+        m = np.mean(list(mean.values()))
+        v = np.mean([(mean[k] - parent[g[0]]) ** 2 - np.var([p[i] for i in g]) / len(g) for k, g in groups.items()])
+        strength = min(max(m * (1 - m) / max(v, 1e-6) - 1, 1.0), 1e4)
+        return {i: (len(g) * mean[k] + strength * parent[i]) / (len(g) + strength) for k, g in groups.items() for i in g}
+
+    hosts = rates({i: s[0] for i, s in site.items()}, dict.fromkeys(site, np.mean(list(p.values()))))
+    paths = rates(site, hosts)
+    assert all(abs(r["host_rate"] - hosts[i]) < 1e-6 and abs(r["path_rate"] - paths[i]) < 1e-6 for i, r in got.items())
