@@ -7,7 +7,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -16,6 +16,8 @@ from .views import continuity
 
 #: Default windows in days and the payee threshold.
 BANK_DAYS, DEPOSIT_DAYS, TRANSFER_DAYS, PAYEE, STALE_DAYS = 45, 30, 5, 0.4, 30
+#: Rows of an amount after which transfers are paired in another group, at the next gap.
+RUN_ROWS = 4096
 FINDING = ("kind", "severity", "building_id", "lease_id", "txn_id", "amount", "signature")
 
 
@@ -95,14 +97,23 @@ def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["building_id", "txn_id", "to_building", "to_txn", "amount"])
 
 
-def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
+def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
     """Debits paired with credits of equal amount elsewhere. Only amounts that some debit
-    and some credit of different buildings share within the window reach the pairing."""
+    and some credit of different buildings share within the window reach the pairing, and
+    an amount is cut where no row lies within the window of the day before, since no pair
+    and no choice reaches over such a gap; runs that start within ``most`` rows go together."""
     t = txns.where("account_type = 'escrow' AND amount <> 0").select("txn_id", "building_id", "amount", "posted_on", F.abs("amount").alias("size"))
     c = t.where("amount > 0").select(F.col("size").alias("s"), F.col("building_id").alias("b"), F.col("posted_on").alias("p"))
     d = t.where("amount < 0")
     shared = d.join(c, (d.size == c.s) & (d.building_id != c.b) & (F.abs(F.datediff("posted_on", "p")) <= days), "left_semi").select("size").distinct()
-    return t.join(shared, "size").withColumn("window", F.lit(days)).groupBy("size").applyInPandas(pair_transfers, "building_id long, txn_id long, to_building long, to_txn long, amount long")
+    t = t.join(shared, "size")
+    by = Window.partitionBy("size").orderBy("posted_on")  # one row a day, however many an amount has
+    dates = t.groupBy("size", "posted_on").agg(F.count("*").alias("n")).withColumn("gap", F.datediff("posted_on", F.lag("posted_on").over(by)) > days)
+    before = F.sum("n").over(by) - F.col("n")
+    dates = dates.withColumn("cut", F.when(F.col("gap"), F.floor(before / most)).otherwise(0))
+    runs = dates.select(F.col("size").alias("s"), F.col("posted_on").alias("p"), F.max("cut").over(by).alias("run"))
+    t = t.join(runs, (t.size == runs.s) & t.posted_on.eqNullSafe(runs.p)).drop("s", "p")
+    return t.withColumn("window", F.lit(days)).groupBy("size", "run").applyInPandas(pair_transfers, "building_id long, txn_id long, to_building long, to_txn long, amount long")
 
 
 def inter_building_transfer(txns: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:

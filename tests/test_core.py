@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerloom import registry
 from ledgerloom.functions import text as tx
-from ledgerloom.operators import gates, matching
+from ledgerloom.operators import detectors, gates, matching
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -67,3 +67,23 @@ def test_without_keeps_each_row_once(spark):
     rows = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
     gone = spark.createDataFrame([(1,), (1,), (None,)], "k int")
     assert sorted(str(r["k"]) for r in matching.without(rows, gone, "k").collect()) == ["2", "2", "None"]
+
+
+def test_transfers_of_a_common_amount_are_paired_in_runs_of_days(spark, monkeypatch):
+    import datetime
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(6)
+    start, days = datetime.date(2020, 1, 1), [60 * k + rng.randrange(9) for k in range(12) for _ in range(9)]
+    rows = [(i, rng.randrange(3), rng.choice((-500, 500)), start + datetime.timedelta(days=d), "escrow") for i, d in enumerate(days)]
+    rows += [(1000, 1, -700, start, "escrow"), (1001, 2, 700, start + datetime.timedelta(days=5), "escrow")]
+    txns = spark.createDataFrame(rows, "txn_id long, building_id long, amount long, posted_on date, account_type string")
+    whole = pd.DataFrame(rows, columns=txns.columns).assign(window=5)
+    want = pd.concat(detectors.pair_transfers((), g) for _, g in whole.groupby(whole["amount"].abs()))
+    assert len(want) > 12
+    for most in (1, 25, 4096):
+        assert sorted(map(tuple, detectors.transfer_pairs(txns, 5, most).collect())) == sorted(want.itertuples(index=False, name=None))
+    monkeypatch.setattr(detectors, "pair_transfers", lambda key, rows: rows.head(1).assign(to_building=0, to_txn=0, amount=len(rows))[["building_id", "txn_id", "to_building", "to_txn", "amount"]])
+    assert max(r["amount"] for r in detectors.transfer_pairs(txns, 5, 1).collect()) <= 9
