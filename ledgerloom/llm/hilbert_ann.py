@@ -3,17 +3,17 @@
 Every distinct vector is projected to DIMS dimensions, shifted and put on a Hilbert
 curve; CURVES curves use projections and shifts of their own.  A curve is cut into
 ranges of keys at quantiles of a bounded sample, and Spark groups vectors by (curve,
-range).  A query vector also goes to the REACH share of ranges on either side of its
-own.  In a group the queries meet the vectors of that range in one matrix product, and
+range).  A query vector also goes to as many ranges on either side of its own as make up
+the REACH share of the curve.  In a group the queries meet the vectors of that range in one matrix product, and
 only their best leave it; the bests of all groups are merged and ranked.
 
 Copies of a vector are one entry with its smallest ids, so a vector that fills a
 third of the table takes no more room than another, and ties go to smaller ids.
 
-A range holds about RANGE_ROWS vectors, so a group's memory is bounded; the share of
-the curve that a query sees is fixed, which keeps the recall where it was measured
-(isotropic 64-dimensional data is the worst case: near vectors are hardly nearer on
-any curve).  The only thing fitted is the cut points, on at most SAMPLE rows.
+A range holds about RANGE_ROWS vectors, so a group's memory is bounded.  A query sees
+REACH of every curve at least, whatever the number of ranges (less only where the curve
+ends), so that share does not shrink as tables grow (isotropic 64-dimensional data is the
+worst case: near vectors are hardly nearer on any curve).  The only thing fitted is the cut points, on at most SAMPLE rows.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and
 those of another length than the longest, take no part, also as queries; null ids take
@@ -23,6 +23,7 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .base import durable, table
 
 CURVES, DIMS, BITS = 16, 4, 12
-#: Ranges on either side of a query's own, as a share of all; least number of ranges.
-REACH, LEAST_RANGES = 1 / 32, 32
+#: Least share of a curve's ranges that a query sees, its own among them; least number of ranges.
+REACH, LEAST_RANGES = 3 / 32, 32
 RANGE_ROWS = 8192
 #: Vectors on which the cut points are fitted.
 SAMPLE = 20_000
@@ -87,6 +88,11 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
 
 
+def beside(ranges: int, reach: float = REACH) -> int:
+    """The fewest ranges on either side that with a query's own make up ``reach`` of all."""
+    return max(1, math.ceil((ranges * reach - 1) / 2))
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = REACH) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which the SQL
     condition ``is_query`` holds, by inner product in double precision."""
@@ -109,7 +115,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
 
     total = base.count()
     ranges = max(LEAST_RANGES, -(-total // RANGE_ROWS))
-    side = max(1, round(ranges * reach))
+    side = beside(ranges, reach)
     curves = Curves(width or 1)
     sample = base.select("v").sample(min(1.0, SAMPLE / max(total, 1)), SEED).limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
     if sample.num_rows:

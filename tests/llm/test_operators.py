@@ -404,3 +404,9 @@ def test_classifier_on_hosts_and_paths_of_urls(spark):
     hosts = rates({i: s[0] for i, s in site.items()}, dict.fromkeys(site, np.mean(list(p.values()))))
     paths = rates(site, hosts)
     assert all(abs(r["host_rate"] - hosts[i]) < 1e-6 and abs(r["path_rate"] - paths[i]) < 1e-6 for i, r in got.items())
+
+
+def test_ann_queries_see_the_same_share_of_large_tables():
+    """Two sides and the own range are 3 of 32 at least, up to 40 million vectors."""
+    assert hilbert_ann.beside(32) == 1
+    assert all(2 * hilbert_ann.beside(n) + 1 >= n * 3 / 32 for n in range(32, 5000))
