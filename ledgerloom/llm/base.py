@@ -7,8 +7,11 @@ bytes, so segmenting UTF-8 bytes gives the same words as segmenting characters.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
-from collections.abc import Iterator
+import uuid
+import weakref
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only where the driver is the cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="checkpoints-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def durable(df: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut the lineage: write the rows to a table in the shared folder and read it back.
+    Then delete the tables of the ``spent`` durable frames, which nothing may read any more."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # Only where the cluster names no folder, as in local tests.
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    discard(spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(frames: Iterable[DataFrame]) -> None:
+    for frame in frames:
+        path = _tables.pop(frame, None)
+        if path:
+            sc = frame.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
@@ -53,6 +82,14 @@ def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(c.cast("long"), F.lit(-1)).alias("_k1"), F.hash(t, c.isNull(), t.isNull()).alias("_k2")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have yet, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # --- Arrow text columns as numpy ------------------------------------------------
 
 
@@ -140,6 +177,40 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
+#: Masks of the low bits of eight bytes, by the number of bytes.
+LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as little-endian numbers (zeros past the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time go through ``mix``, which no
+    arrangement of the bytes cancels as it does in a polynomial modulo 2**64."""
+    size = ends - starts
+    view = eights(data)
+    out = mix(size.astype(U64) * U64(BYTE_MUL))
+    going = np.arange(len(starts))
+    at = 0
+    while len(going):
+        left = np.minimum(size[going] - at, 8)
+        out[going] = mix((out[going] ^ (view[starts[going] + at] & LOW_BYTES[left])) * U64(WORD_MUL) + U64(at + 1))
+        at += 8
+        going = going[size[going] > at]
+        if at >= LONG_WORD:
+            break
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in going.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a batch of rows: byte bounds, 64-bit hashes and the first word of each row."""
 
@@ -168,9 +239,7 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            c = prefix_hash(self.data.astype(U64) + U64(1), BYTE_MUL)
-            _, down = powers(BYTE_MUL, len(self.data) + 1)
-            self._hash = mix((c[self.ends] - c[self.starts]) * down[self.starts])
+            self._hash = hash_spans(self.data, self.starts, self.ends)
         return self._hash
 
     def rows(self) -> np.ndarray:
