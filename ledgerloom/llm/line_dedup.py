@@ -20,8 +20,9 @@ three words of its set, by its count alone, and both lines of a pair do the same
 
 Equal sets are found apart, by hash, and only their earliest line goes on.  Within a
 group a line names the earliest and the closest line that pass the filters with it.
-A line for which neither is confirmed, though more passed, then meets all the others in
-the groups concerned.  So the result is exact, and copies never expand to pairs.  Lines
+Where neither is confirmed for a line, though more passed, the word sets of the groups
+concerned are sent to them and compared there.  So the result is exact, and only named
+partners ever leave a task as pairs.  Lines
 travel between tasks as compressed columns, one block for each task and bucket; word sets
 travel only for lines of a pair (and those that a fixed-size bitmap of them lets through).
 
@@ -376,18 +377,44 @@ def meet(key: tuple, rows: pa.Table, percent: int, buckets: int) -> pa.Table:
     return pa.concat_tables([pairs, emit(np.where(more[rest], MORE, REST), group=name, n=x["n"][rest], pos=x["pos"][rest], sb=x["s1"][rest], kb=x["k1"][rest], lb=x["line"][rest], b1=x["b1"][rest], b2=x["b2"][rest])])
 
 
+def common(ids: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Words in common of pairs of sets; ids[at[i]:at[i + 1]] are the sorted words of set i."""
+    size = np.diff(at)
+    span = np.int64(ids.max(initial=0)) + 1
+
+    def spread(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[which]
+        pair = np.repeat(np.arange(len(which)), n)
+        return pair, pair * span + ids[np.repeat(at[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    pair, x = spread(a)
+    _, y = spread(b)
+    place = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    return np.bincount(pair[y[place] == x], minlength=len(a))
+
+
 def meet_again(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
-    """All passing pairs of the open lines of some groups."""
+    """The open lines of some groups that a line of the group is like, by their full sets."""
     x = {new: rows.column(old).to_numpy() for new, old in (("group", "group"), ("n", "n"), ("pos", "pos"), ("k1", "kb"), ("line", "lb"), ("open", "open"))}
     x |= {new: rows.column(old).to_numpy().view(U64) for new, old in (("s1", "sb"), ("b1", "b1"), ("b2", "b2"))}
     order = np.lexsort((x["n"], x["group"]))
     x = {c: v[order] for c, v in x.items()}
+    words = rows.column("words").take(pa.array(order)).to_pylist()
+    at = np.append(0, np.cumsum(x["n"].astype(np.int64)))
+    ids = np.unique(np.frombuffer(b"".join(words), U64), return_inverse=True)[1].astype(np.int64)
+    owner = np.repeat(np.arange(len(order)), x["n"])
+    ids = ids[np.lexsort((ids, owner))]
     group = np.cumsum(np.append(True, x["group"][1:] != x["group"][:-1])) - 1
-    out = [pair_rows(x, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    like = np.zeros(len(order), bool)
     for a, b, _ in passing(group, x, percent):
         ok = x["open"][b]
-        out.append(pair_rows(x, a[ok], b[ok]))
-    return pa.concat_tables(out)
+        a, b = a[ok], b[ok]
+        for lo in range(0, len(a), 4096):
+            p, q = a[lo : lo + 4096], b[lo : lo + 4096]
+            p, q = p[~like[q]], q[~like[q]]
+            both = common(ids, at, p, q)
+            like[q[100 * both >= percent * (x["n"][p].astype(np.int64) + x["n"][q] - both)]] = True
+    return pa.table({"kb": pa.array(x["k1"][like]), "lb": pa.array(x["line"][like].astype(np.int32)), "sb": pa.array(x["s1"][like].view(np.int64))})
 
 
 def wanted_bits(k1: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -487,9 +514,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         flagged = rest.join(left.withColumn("open", F.lit(True)), b, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         concerned = flagged.where("open").select("group").distinct()
         group = F.pmod(F.xxhash64("group"), F.lit(buckets))
-        others = flagged.join(concerned, "group", "left_semi").groupBy(group).applyInArrow(lambda key, rows: meet_again(key, rows, percent), SCHEMA)
-        others = durable(others.select("sa", "ka", "la", *b).distinct().join(pairs, ["sa", *b], "left_anti"))
-        near = durable(near.union(verified(docs, others, percent, id_col, text_col)), spent=[near])
+        others = durable(flagged.join(concerned, "group", "left_semi").drop("kind", "sa", "ka", "la"))
+        sets = sets_of(docs, others.select("kb", "lb").distinct(), id_col, text_col).dropDuplicates(["s"]).withColumnRenamed("s", "sb")
+        group = F.pmod(F.xxhash64("group"), F.lit(buckets))
+        more = others.join(sets, "sb").groupBy(group).applyInArrow(lambda key, rows: meet_again(key, rows, percent), "kb long, lb int, sb long")
+        near = durable(near.union(more.distinct()), spent=[near])
         discard([others])
     out = durable(again.union(near).distinct(), spent=[near])
     discard([found, left])
