@@ -51,7 +51,7 @@ CELLS, PARTS = 1 << 18, 64
 #: Occurrences from which a word is a key only with the next words, and the step to one more of them.
 HOT, HOTTER, DEEPEST = 1 << 17, 1 << 7, 4
 #: Words above which a set has 128 bits.
-WIDE = 96
+WIDE = 48
 #: Pairs compared at once.
 CHUNK = 1 << 20
 #: Bits of the table of lines whose sets are wanted.
@@ -393,18 +393,44 @@ def common(ids: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     return np.bincount(pair[y[place] == x], minlength=len(a))
 
 
-def meet_again(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
-    """The open lines of some groups that a line of the group is like, by their full sets."""
+def group_rows(rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of the rows of some groups by group and n, their order and their groups."""
     x = {new: rows.column(old).to_numpy() for new, old in (("group", "group"), ("n", "n"), ("pos", "pos"), ("k1", "kb"), ("line", "lb"), ("open", "open"))}
     x |= {new: rows.column(old).to_numpy().view(U64) for new, old in (("s1", "sb"), ("b1", "b1"), ("b2", "b2"))}
     order = np.lexsort((x["n"], x["group"]))
     x = {c: v[order] for c, v in x.items()}
+    return x, order, np.cumsum(np.append(True, x["group"][1:] != x["group"][:-1])) - 1
+
+
+def concern(rows: pa.Table, percent: int) -> pa.Table:
+    """The rows of open lines, and of lines that pass with one that did not name them."""
+    x, order, group = group_rows(rows)
+    rank = np.empty(len(order), np.int64)
+    by_line = np.lexsort((x["line"], x["k1"]))
+    rank[by_line] = np.arange(len(order))
+    earliest, closest = np.full((2, len(order)), 1 << 62)
+    held = []
+    for a, b, differ in passing(group, x, percent):
+        ok = x["open"][b]
+        a, b, differ = a[ok], b[ok], differ[ok]
+        np.minimum.at(earliest, b, rank[a])
+        np.minimum.at(closest, b, (differ << 40) | rank[a])
+        held.append((a, b))
+    keep = np.zeros(len(order), bool)
+    for a, b in held:
+        ok = (rank[a] != earliest[b]) & (rank[a] != closest[b] & ((1 << 40) - 1))
+        keep[a[ok]] = keep[b[ok]] = True
+    return rows.take(pa.array(order[keep]))
+
+
+def meet_again(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
+    """The open lines of some groups that a line of the group is like, by their full sets."""
+    x, order, group = group_rows(rows)
     words = rows.column("words").take(pa.array(order)).to_pylist()
     at = np.append(0, np.cumsum(x["n"].astype(np.int64)))
     ids = np.unique(np.frombuffer(b"".join(words), U64), return_inverse=True)[1].astype(np.int64)
     owner = np.repeat(np.arange(len(order)), x["n"])
     ids = ids[np.lexsort((ids, owner))]
-    group = np.cumsum(np.append(True, x["group"][1:] != x["group"][:-1])) - 1
     like = np.zeros(len(order), bool)
     for a, b, _ in passing(group, x, percent):
         ok = x["open"][b]
@@ -511,12 +537,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     rest = found.where(F.col("kind") >= REST)
     left = durable(rest.where(F.col("kind") == MORE).select(*b).distinct().join(near, b, "left_anti"))
     if not left.isEmpty():
-        flagged = rest.join(left.withColumn("open", F.lit(True)), b, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        concerned = flagged.where("open").select("group").distinct()
+        concerned = rest.where(F.col("kind") == MORE).select("group", *b).join(left, b, "left_semi").select("group").distinct()
+        flagged = rest.join(concerned, "group", "left_semi").join(left.withColumn("open", F.lit(True)), b, "left").select("group", "n", "pos", *b, "b1", "b2", F.coalesce("open", F.lit(False)).alias("open"))
         group = F.pmod(F.xxhash64("group"), F.lit(buckets))
-        others = durable(flagged.join(concerned, "group", "left_semi").drop("kind", "sa", "ka", "la"))
+        others = durable(flagged.groupBy(group).applyInArrow(lambda rows: concern(rows, percent), flagged.schema))
         sets = sets_of(docs, others.select("kb", "lb").distinct(), id_col, text_col).dropDuplicates(["s"]).withColumnRenamed("s", "sb")
-        group = F.pmod(F.xxhash64("group"), F.lit(buckets))
         more = others.join(sets, "sb").groupBy(group).applyInArrow(lambda key, rows: meet_again(key, rows, percent), "kb long, lb int, sb long")
         near = durable(near.union(more.distinct()), spent=[near])
         discard([others])
