@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable
+from .base import discard, durable
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,7 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = durable(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")))
-        if moved.where("label <> old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+        moved = durable(step.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("old")).alias("changed")), spent=[labels])
+        if moved.where("changed").isEmpty():
+            discard([both])
+            return moved.drop("changed")
+        labels = moved

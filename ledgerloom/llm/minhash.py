@@ -8,19 +8,28 @@ components, so indexing every chunk with each choice of ERRORS components left o
 finds every such pair: 14 chunks of 5 with one error guarantee distances up to 27 of
 70.  At a Jaccard of 0.8 the distance is 14 on average, with a deviation of 3.3.
 
-Documents with equal shingle sets (a 128-bit sum of set hashes) are one node.  A key
-with several nodes links each of them to one hub, the node whose keys are the most
-shared; a node meets the hub it has most keys in common with, then its hubs in other
-components, and a link counts if the full sets confirm it.  Keys whose nodes then still
-lie in different components are searched again for all pairs of different components
-within the guaranteed distance, so no link between components is lost, while copies
-never expand to pairs.
+Documents with equal shingle sets (by a 64-bit sum of mixed shingle hashes) are one node.
+A key with several nodes links each of them to one hub, the node whose keys are the most
+shared; a node first meets the hub it has most keys in common with.  Then every key whose
+nodes lie in different components is searched: two nodes of different components pass if
+their sizes allow the threshold, if a bitmap of their sets (each shingle flips one of BITS
+bits, so sets differ in at least as many shingles as bitmaps in bits: exact) allows it,
+and if their signatures are within reach.  In each round a node outside its key's largest
+component names its closest such partner, so that copies never expand to pairs; when a
+round confirms nothing, all pairs that still pass are confirmed, so no link between
+components is lost.  Links count only if the full sets confirm them.
+
+A key of more than BLOCK nodes is dealt by blocks of its nodes, every two blocks to a group
+of their own, so no group holds more than two blocks of a key.
+
+What may be lost: a pair at a Jaccard of 0.8 is within the guaranteed distance with a
+probability of 0.9998 (the distance is binomial), pairs above it more surely.
 
 Edge cases: documents without words (null, empty or white space) have no shingles and
 are linked with nothing; a document of fewer words than a shingle has one, its whole
 sequence; rows with a null id are left out of linking and keep a null component; rows
-that share an id share its component; an empty table gives no rows; extra columns are
-ignored.
+that share an id and have words are one document, whatever their texts; a very long text
+is one set like any other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +37,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import U64, Words, durable, lower_ascii, mix, rolled, row_key, shuffle_partitions, slices, table, texts
+from .base import U64, Words, discard, durable, lower_ascii, mix, rolled, row_key, shuffle_partitions, slices, table, texts
 from .components import components
 
 CHUNKS, WIDTH, ERRORS = 14, 5, 1
 SIZE = CHUNKS * WIDTH
-#: Groups of keys for each shuffle partition.
-KEY_GROUPS = 8
+#: Bits of the exact filter.
+BITS = 1024
+#: Groups of keys for each shuffle partition; nodes of a key that are compared with each other
+#: at once; pairs that a task holds.
+KEY_GROUPS, BLOCK, CHUNK = 8, 4096, 1 << 16
 #: The distance that the index guarantees.
 REACH = CHUNKS * (ERRORS + 1) - 1
 #: Fixed odd multipliers of the hash functions, from a rule.
@@ -69,7 +80,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_k1, _k2, doc_id, n_shingles, s1, s2 (the set's hash) and sig (null without shingles)."""
+    """_k1, _k2, doc_id, n_shingles, node (the set's hash), sig and bits (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -77,20 +88,22 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
             n = np.diff(at)
             full = np.flatnonzero(n)
             sig = np.zeros((len(full), SIZE), np.uint16)
-            s1, s2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
+            node = np.zeros(len(n), U64)
+            parity = np.zeros((len(full), BITS // 8), np.uint8)
             if len(full):
                 starts = at[full]
-                s1[full] = np.add.reduceat(mix(sets), starts)
-                s2[full] = np.add.reduceat(mix(sets ^ U64(0xA0761D6478BD642F)), starts)
+                node[full] = mix(np.add.reduceat(mix(sets), starts) + n[full].astype(U64))
                 for j, mul in enumerate(MULTIPLIERS):
                     sig[:, j] = np.minimum.reduceat(((sets * mul) >> U64(24)), starts).astype(np.uint16)
-            packed: list = [None] * len(n)
-            for i, row in zip(full.tolist(), sig, strict=True):
-                packed[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(packed, pa.binary())], ["_k1", "_k2", "doc_id", "n_shingles", "s1", "s2", "sig"])
+                bit = np.repeat(np.arange(len(full)), n[full]) * BITS + (mix(sets ^ U64(0xA0761D6478BD642F)) % U64(BITS)).astype(np.int64)
+                parity = np.packbits((np.bincount(bit, minlength=len(full) * BITS) & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
+            packed: list[list] = [[None] * len(n), [None] * len(n)]
+            for i, s, p in zip(full.tolist(), sig, parity, strict=True):
+                packed[0][i], packed[1][i] = s.tobytes(), p.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(x, pa.binary()) for x in packed)], ["_k1", "_k2", "doc_id", "n_shingles", "node", "sig", "bits"])
 
     k1, k2 = row_key(id_col, text_col)
-    return docs.select(k1, k2, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "_k1 long, _k2 int, doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select(k1, k2, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "_k1 long, _k2 int, doc_id long, n_shingles long, node long, sig binary, bits binary")
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
@@ -136,70 +149,115 @@ def confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes that share a key, lie in different components and are within reach.
-    ``rows`` (key, node, label, sig) holds whole keys, many at a time."""
-    rows = rows.sort_values(["key", "node"])
-    keys, nodes, labels = (rows[c].to_numpy() for c in ("key", "node", "label"))
-    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), SIZE)
-    cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)).tolist()
+def cross_pairs(key: tuple, rows: pa.Table, percent: int, every: bool) -> pa.Table:
+    """Pairs (a, b) of nodes that share a (key, slot), lie in different components and pass:
+    all of them, or the closest of each node outside the largest component of its slot."""
+    slot, label, n = (rows.column(c).to_numpy() for c in ("slot", "label", "n"))
+    order = np.lexsort((n, slot, rows.column("key").to_numpy()))
+    slot, label, n = slot[order], label[order], n[order].astype(np.int64)
+    keys, node = rows.column("key").to_numpy()[order], rows.column("node").to_numpy()[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (slot[1:] != slot[:-1]))
+    group = np.cumsum(new) - 1
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(order), SIZE)[order]
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), U64).reshape(len(order), BITS // 64)[order]
+    # The commonest label of each group; every cross pair has a node of another one.
+    runs = np.lexsort((label, group))
+    begins = np.flatnonzero(np.append(True, (np.diff(group[runs]) != 0) | (np.diff(label[runs]) != 0)))
+    many = np.diff(np.append(begins, len(runs)))
+    by = np.lexsort((many, group[runs[begins]]))
+    major = label[runs[begins]][by[np.append(np.flatnonzero(np.diff(group[runs[begins]][by])), len(by) - 1)]][group]
+    minor = np.flatnonzero(label != major)
+    spread = np.int64(n.max(initial=0)) * 100 // percent + 2
+    place = group * spread + n
+    lo = np.searchsorted(place, group[minor] * spread + -(-percent * n[minor] // 100))
+    hi = np.searchsorted(place, group[minor] * spread + n[minor] * 100 // percent, "right")
+    size = hi - lo
+    ends = np.cumsum(size)
+    closest = np.full(len(minor), 1 << 62)
     out_a, out_b = [], []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        node, label, sig = nodes[lo:hi], labels[lo:hi], sigs[lo:hi]
-        values, count = np.unique(label, return_counts=True)
-        major = label == values[np.argmax(count)]
-        for i in np.flatnonzero(~major).tolist():  # every cross pair has one of these
-            near = np.flatnonzero((label != label[i]) & ((node < node[i]) | major))
-            hit = node[near[(sig[near] != sig[i]).sum(1) <= REACH]]
-            if len(hit):
-                out_a.append(np.minimum(hit, node[i]))
-                out_b.append(np.maximum(hit, node[i]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+    at = 0
+    while at < len(minor):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        m = size[at:stop]
+        i = np.repeat(np.arange(at, stop), m)
+        p = minor[i]
+        q = np.repeat(lo[at:stop], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        at = stop
+        ok = label[p] != label[q]
+        i, p, q = i[ok], p[ok], q[ok]
+        need = -(-percent * (n[p] + n[q]) // (100 + percent))
+        ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= n[p] + n[q] - 2 * need
+        i, p, q = i[ok], p[ok], q[ok]
+        apart = (sig[p] != sig[q]).sum(1)
+        ok = apart <= REACH
+        i, p, q, apart = i[ok], p[ok], q[ok], apart[ok]
+        if every:
+            out_a.append(p)
+            out_b.append(q)
+        else:
+            np.minimum.at(closest, i, (apart << 40) | q)
+    if not every:
+        has = closest < 1 << 62
+        out_a, out_b = [minor[has]], [closest[has] & ((1 << 40) - 1)]
+    a, b = (node[np.concatenate(x)] if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+
+def apart_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Candidate pairs between components, from the keys whose nodes lie in several."""
+    labelled = shared.join(labels, "node", "left").select("key", "size", "node", F.coalesce("label", "node").alias("label"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rest = labelled.join(split, "key", "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.hash("node"), blocks)
+    slots = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
+    dealt = rest.select("key", "node", "label", F.explode(slots).alias("slot")).join(nodes.select("node", "n", "sig", "bits"), "node")
+    # Keys travel together in groups, as most hold few nodes.
+    group = F.pmod(F.xxhash64("key", "slot"), F.lit(KEY_GROUPS * shuffle_partitions(shared)))
+    return dealt.groupBy(group).applyInArrow(lambda key, rows: cross_pairs(key, rows, percent, every), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = durable(signatures(docs, size, id_col, text_col))
-    # A node is a set of shingles; it is named by its least id, and one row with that id has its text.
-    nodes = durable(signed.where("doc_id is not null and sig is not null").groupBy("s1", "s2").agg(F.min(F.struct("_k1", "_k2")).alias("r"), F.first("sig").alias("sig")).select(F.col("r._k1").alias("node"), F.col("r._k2").alias("_k2"), "s1", "s2", "sig"))
+    named = signed.where("doc_id is not null and sig is not null")
+    # A node is a set of shingles; the row of its least id has its text.
+    nodes = durable(named.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("r"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")).select("node", "r._k1", "r._k2", "n", "sig", "bits"))
+    # Rows of one id are one document.
+    ids = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc_id", "a")
+    twins = named.join(ids, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
     keys = index_keys(nodes)
-    shared = durable(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = durable(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", -F.col("node"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
-    hubbed = durable(shared.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("keys")))
-
-    def ends(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubbed = shared.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("keys"))
 
     def confirm(some: DataFrame) -> DataFrame:
-        return durable(confirmed(some, node_texts(docs, nodes, some, id_col, text_col), size, percent))
+        return confirmed(some, node_texts(docs, nodes, some, id_col, text_col), size, percent)
 
-    # A node first meets the hub it shares most keys with, then those in other components.
+    # A node first meets the hub it shares most keys with.
     best = hubbed.groupBy("node").agg(F.max(F.struct("keys", -F.col("hub"))).alias("t")).select("node", (-F.col("t.col2")).alias("hub"))
-    pairs = durable(ends(best))
-    links = confirm(pairs)
+    tested = durable(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    links = durable(confirm(tested).union(twins))
     labels = components(links)
-    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    apart = hubbed.join(labels, "node", "left").join(of_hub, "hub", "left").where(F.coalesce("label", "node") != F.coalesce("hub_label", "hub"))
-    others = durable(ends(apart).join(pairs, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        pairs = pairs.union(others)
-        links = durable(links.union(confirm(others)))
-        labels = components(links)
-    # What the hubs left apart.
-    labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(split, "key").join(nodes.select("node", "sig"), "node")
-    # Keys travel together in groups, as most hold few nodes.
-    group = F.pmod("key", F.lit(KEY_GROUPS * shuffle_partitions(docs)))
-    more = durable(rest.groupBy(group).applyInPandas(cross_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = durable(links.union(confirm(more)))
-        labels = components(links)
-    member = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("_c"))
-    # Rows of one id are one document to the links of others: the least component of an id holds.
-    out = signed.join(member, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    every = False
+    while True:
+        more = durable(apart_pairs(shared, nodes, labels, percent, every).join(tested, ["a", "b"], "left_anti"))
+        new = durable(confirm(more))
+        found = not new.isEmpty()
+        if found:
+            links = durable(links.union(new), spent=[links, new])
+            labels = components(links)
+        if every:
+            break
+        tested = durable(tested.union(more), spent=[tested, more])
+        every = not found
+    discard([shared, tested, more])
+    least = nodes.select("node", F.col("_k1").alias("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    member = least.join(least.groupBy("label").agg(F.min("id").alias("_c")), "label").select("node", "_c")
+    out = signed.join(member, "node", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -208,8 +266,8 @@ def node_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str,
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     k1, k2 = row_key(id_col, text_col)
     rows = docs.select(k1, k2, F.col(text_col).alias("text"))
-    found = rows.join(nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("_k1"), "_k2").distinct(), ["_k1", "_k2"])
-    return found.groupBy(F.col("_k1").alias("node")).agg(F.first("text").alias("text"))
+    found = rows.join(nodes.join(wanted, "node", "left_semi").select("node", "_k1", "_k2"), ["_k1", "_k2"])
+    return found.dropDuplicates(["node"]).select("node", "text")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
