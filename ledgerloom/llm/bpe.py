@@ -17,8 +17,10 @@ Spark partitions the documents; a task holds one slice of texts, that slice's tr
 and a cache of at most CACHE chunks.
 
 Edge cases: a null text is an empty one (no tokens, empty decoded text); white space
-alone gives no tokens; special-token strings in a text become their ids, as in the
-tokenizers library; equal rows give equal rows; an empty table gives none.
+alone gives no tokens; a very long text is one row, and a very long word is one path of the
+trie, encoded in linear time; special-token strings in a text become their ids, as in the
+tokenizers library; equal rows give equal rows (there are no
+ties to break); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ END = "</w>"
 NEVER = 1 << 60
 #: Chunks that a Python worker keeps between slices.
 CACHE = 200_000
+#: Letters above which a word is not merged in rounds.
+LONG = 256
 #: Text bytes of a slice.
 SLICE = 4 << 20
 
@@ -274,6 +278,7 @@ class RoundMerger:
     that still has a known pair merges the leftmost pair of lowest rank."""
 
     def __init__(self, encoder: TrieEncoder):
+        self.encoder = encoder
         vocab = encoder.vocab
         size = len(vocab) + len(encoder.special)
         self.size = size
@@ -293,6 +298,10 @@ class RoundMerger:
         return np.where(self.pairs[at] == key, self.ranks[at], NEVER)
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        long = [w for w in words if len(w) > LONG]  # rounds over a long word add up to its square
+        for word, tokens in self.encoder.encode_words(long):
+            yield word, b"".join([self.encoder.vocab[t].to_bytes(4, "little") for t in tokens])
+        words = [w for w in words if len(w) <= LONG] if long else words
         if not words:
             return
         letters = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)

@@ -1,13 +1,17 @@
 """Packing token sequences by a configuration linear program.
 
-A configuration is a multiset of piece lengths that fits in one sequence.  The
-program asks for the fewest sequences whose configurations cover the length
-histogram.  It is solved by multiplicative weights: every length has a weight (its
-dual price); a knapsack dynamic program prices all capacities at once, which yields
-the dearest configuration through each length; those configurations get a small
-share of what is still uncovered, and the prices of lengths fall as they are covered.
-The solution is rounded down, and what remains is packed best-fit-decreasing over
-the histogram, where equal sequences move together as one entry with a count.
+A configuration is a multiset of piece lengths that fits in one sequence.  The program
+asks for the fewest sequences whose configurations cover the length histogram.  It is
+solved by multiplicative weights: every length has a price, its tokens times a weight; a
+knapsack dynamic program over all capacities prices the configurations, and each round
+draws columns from those that reach the best price.  The weight of a length grows
+with the share of it that is still uncovered.  A column's share is the least number of
+sequences that any of its lengths allows, over SHARE, rounded down to whole sequences (one
+at least), so the solution is rounded as it grows and no length is ever over-covered; a
+round places half of what is left.  Prices over the best price of a whole sequence are a
+dual solution, so each round also bounds the least number of sequences from below.
+What no column within the round's slack can hold, a small rest, is packed
+best-fit-decreasing over the histogram into the free places of all sequences.
 
 Only the histogram is solved on the driver, at most one row for each length up to
 the capacity, whatever the number of documents.  The plan is a table of segments
@@ -16,8 +20,9 @@ a length are ranked, in cells so that no task holds all pieces of one length, an
 piece's rank gives its sequence and offset by arithmetic.
 
 Edge cases: a null or empty text is one piece that holds the end id; equal rows get
-places of their own; a longer document is cut into full pieces and a rest; an empty
-table gives no rows; extra columns are ignored.
+places of their own, and ties between pieces of one length are broken by id, piece and
+checksum; a longer document is cut into full pieces and a rest, however long, and a very long
+word is encoded by the trie; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +41,11 @@ from .bpe import SLICE, cached, default_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of pricing; each prices every length.
-ROUNDS = 12
+#: Rounds of pricing; the part of what a column could take that it takes; the rate of the
+#: weights; columns in a row that fail before a round ends.
+ROUNDS, SHARE, RATE, TRIES = 12, 4, 0.5, 64
+#: Seed of the draws among columns of equal price.
+SEED = 11
 #: Cells in which the pieces of one length are ranked.
 CELLS = 64
 
@@ -65,76 +73,83 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 # --- the program, over a histogram ------------------------------------------------
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value of every capacity, and the index of a length
-    that it ends with (-1: none fits better than leaving the place free)."""
+def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the best value of every capacity."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
     for c in range(1, capacity + 1):
         n = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if n:
-            got = values[:n] + best[c - lengths[:n]]
-            i = n - 1 - int(np.argmax(got[::-1]))  # of equals the longest, which leaves fewest pieces
-            if got[i] > best[c] + 1e-12:
-                best[c], pick[c] = got[i], i
-    return best, pick
-
-
-def traced(pick: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    out: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(pick[c])] += 1
-            c -= int(lengths[pick[c]])
-    return out
+        best[c] = max(best[c - 1], (values[:n] + best[c - lengths[:n]]).max()) if n else best[c - 1]
+    return best
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(configuration as {length: count}, sequences) that hold exactly the histogram."""
+def column(first: int, lengths: np.ndarray, values: np.ndarray, left: np.ndarray, best: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[dict[int, int], int]:
+    """A configuration of best price through one length, drawn by what is left of the
+    lengths that may come next, long ones sooner, and the place that it leaves free."""
+    config = {first: 1}
+    c, free = capacity - int(lengths[first]), 0
+    while c > 0:
+        if best[c] - best[c - 1] <= 1e-12:
+            c, free = c - 1, free + 1
+            continue
+        n = int(np.searchsorted(lengths, c, "right"))
+        ok = (values[:n] + best[c - lengths[:n]] >= best[c] - 1e-9) & (left[:n] > 0)
+        for i, k in config.items():
+            if i < n and left[i] <= k:
+                ok[i] = False
+        among = np.flatnonzero(ok)
+        if not len(among):
+            return config, free + c
+        by = np.cumsum(left[among] * lengths[among].astype(float) ** 2)
+        i = int(among[np.searchsorted(by, rng.random() * by[-1], "right")])
+        config[i] = config.get(i, 0) + 1
+        c -= int(lengths[i])
+    return config, free
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """(configuration as {length: count}, sequences) that hold exactly the histogram, how many
+    of these the program made before best fit, and its lower bound of the sequences."""
+    rng = np.random.default_rng(SEED)
     lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[x] for x in lengths.tolist()], np.float64)
-    share: dict[tuple, float] = {}
-    if len(lengths):
-        covered = np.zeros(len(lengths))
-        value = lengths / capacity
-        for _ in range(rounds):
-            _, pick = price(lengths, value, capacity)
-            gain = np.zeros(len(lengths))
-            for i in range(len(lengths) - 1, -1, -1):
-                config = traced(pick, lengths, capacity - int(lengths[i]))
-                config[i] += 1
-                # a configuration may use no more pieces of a length than there are
-                if any(n > need[j] for j, n in config.items()):
-                    continue
-                step = min(need[j] / n for j, n in config.items()) / (2 * rounds)
-                key = tuple(sorted(config.items()))
-                share[key] = share.get(key, 0.0) + step
-                for j, n in config.items():
-                    gain[j] += step * n / need[j]
-            covered += gain
-            value = (lengths / capacity) * np.exp(-(covered - covered.min()) / max(covered.max(), 1e-9))
-        # Configurations were found independently: scale so that no length is over-covered.
-        over = np.maximum(covered, 1.0)
-        share = {k: x / max(over[j] for j, _ in k) for k, x in share.items()}
-    left = {int(x): int(n) for x, n in zip(lengths, need, strict=True)}
-    out = []
-    for key, x in sorted(share.items(), key=lambda kx: (-sum(int(lengths[j]) * n for j, n in kx[0]), -kx[1])):
-        many = min([int(x)] + [left[int(lengths[j])] // n for j, n in key])
-        if many > 0:
-            out.append(({int(lengths[j]): n for j, n in key}, many))
-            for j, n in key:
-                left[int(lengths[j])] -= n * many
-    out += best_fit({x: n for x, n in left.items() if n}, capacity)
-    plain = best_fit(histogram, capacity)
-    return out if sum(n for _, n in out) <= sum(n for _, n in plain) else plain
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit-decreasing where equal sequences are one entry with a count."""
+    need = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    left = need.copy()
+    weight = np.ones(len(lengths))
+    made: Counter = Counter()
+    bound = 0.0
+    for nth in range(rounds):
+        live = np.flatnonzero(left)
+        if not len(live):
+            break
+        sizes, values = lengths[live], lengths[live] / capacity * weight[live]
+        best = price(sizes, values, capacity)
+        if len(live) == len(lengths):
+            bound = max(bound, float((need * values).sum() / best[capacity]))
+        slack = 0 if nth < rounds // 2 else capacity >> (rounds - nth + 5)
+        own = left[live]
+        aim = int((own * sizes).sum()) // 2
+        failed = 0
+        while failed < TRIES and int((own * sizes).sum()) > aim:
+            by = np.cumsum(own * values)
+            config, free = column(int(np.searchsorted(by, rng.random() * by[-1], "right")), sizes, values, own, best, capacity, rng)
+            if free > slack:
+                failed += 1
+                continue
+            failed = 0
+            take = max(1, min(int(own[i]) // k for i, k in config.items()) // SHARE)
+            made[tuple(sorted((int(sizes[i]), k) for i, k in config.items()))] += take
+            for i, k in config.items():
+                own[i] -= k * take
+        left[live] = own
+        share = left / need
+        weight *= np.exp(RATE * (share - share.mean()))
+    plan = [(dict(c), n) for c, n in made.items()]
+    rest = {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
+    return best_fit(rest, capacity, plan), sum(made.values()), bound
+
+
+def best_fit(histogram: dict[int, int], capacity: int, opened: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit-decreasing where equal sequences are one entry with a count; ``opened`` are
+    sequences that hold something already."""
     import bisect
 
     open_by: dict[int, list[list]] = {}  # free place -> entries [content, count]
@@ -146,6 +161,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
             bisect.insort(free, place)
         open_by[place].append([content, count])
 
+    for content, count in opened:
+        put(capacity - sum(x * n for x, n in content.items()), content, count)
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n:
@@ -168,7 +185,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
                 if not open_by[place]:
                     del open_by[place]
                     free.pop(at)
-            put(place - each * length, {**entry[0], length: each}, count)
+            put(place - each * length, entry[0] | {length: entry[0].get(length, 0) + each}, count)
             n -= each * count
     return [(content, count) for entries in open_by.values() for content, count in entries]
 
@@ -193,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     """The pieces with sequence_id and offset.  ``pieces`` is read three times: for the
     histogram, for the cells' counts and for the ranks; hand in a durable one."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    seg = segments(solve(histogram, capacity, rounds))
+    seg = segments(solve(histogram, capacity, rounds)[0])
     keys = seg["length"] * (1 << 44) + seg["rank"]
 
     order = ["doc_id", "piece", "ids_crc32"]
