@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import BYTE_MUL, WORD_MUL, U64, Words, mix, powers, rolled, row_key, shuffle_partitions, slices, sliding_min, text_bytes, texts
+from .base import BYTE_MUL, WORD_MUL, U64, Words, free_name, mix, powers, rolled, row_key, shuffle_partitions, slices, sliding_min, text_bytes, texts
 
 #: Bytes of strings that a bucket is planned to hold, and how many times the text they are.
 BUCKET_BYTES, SPREAD = 4 << 20, 3.2
@@ -207,9 +207,11 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, find: Callable[
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with their spans (null: none)."""
+    """The rows with their spans (null: none) as one more column, the last."""
     k1, k2 = row_key(id_col, text_col)
-    return docs.select("*", k1, k2).join(spans, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    a, b, last = (free_name(docs, c) for c in ("key1", "key2", "spans"))
+    found = spans.select(F.col("_k1").alias(a), F.col("_k2").alias(b), F.col("spans").alias(last))
+    return docs.select("*", k1.alias(a), k2.alias(b)).join(found, [a, b], "left").select(*(f"`{c}`" for c in docs.columns), last)
 
 
 def span_mask(spans: np.ndarray, n: int) -> np.ndarray:
