@@ -263,14 +263,36 @@ def test_the_program_covers_any_histogram():
     rng = random.Random(2)
     for _ in range(15):
         histogram = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(rng.randint(1, 20))}
-        plan = packing.solve(histogram, 64)
+        plan, made, bound = packing.solve(histogram, 64)
         held: Counter = Counter()
         for content, count in plan:
             assert sum(x * n for x, n in content.items()) <= 64
             for x, n in content.items():
                 held[x] += n * count
         assert held == Counter(histogram)
-        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, 64))
+        assert bound <= sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, 64)) + 1
+        assert made <= sum(n for _, n in plan)
+
+
+def test_the_program_makes_most_sequences_and_meets_its_bound():
+    rng = np.random.default_rng(6)
+    drawn = np.minimum(np.exp(rng.normal(6.3, 1.1, 20_000)).astype(int) + 1, 4096)
+    histogram = {int(x): int(n) for x, n in zip(*np.unique(drawn, return_counts=True), strict=True)}
+    plan, made, bound = packing.solve(histogram)
+    sequences = sum(n for _, n in plan)
+    assert made >= 0.5 * sequences
+    assert sum(n for c, n in plan if sum(c.values()) > 1) >= 0.8 * sequences
+    assert bound <= sequences <= 1.002 * bound + 1
+
+
+def test_long_words_are_encoded_alike_and_in_linear_time():
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    cache = bpe.cached(public_tokenizers.path("word_bpe_49k.json"), "ids")
+    (parts,) = cache.batch([word])
+    raw = b"".join(cache.chunks[0][p] for p in parts)
+    assert np.frombuffer(raw, "<u4").tolist() == tk.encode(word, add_special_tokens=False).ids
 
 
 def test_sharding(docs, rows, empty):
