@@ -2,15 +2,16 @@
 
 A configuration is a multiset of piece lengths that fits in one sequence.  The program
 asks for the fewest sequences whose configurations cover the length histogram.  It is
-solved by multiplicative weights: every length has a price, its tokens times a weight; a
-knapsack dynamic program over all capacities prices the configurations, and each round
-draws columns from those that reach the best price.  The weight of a length grows
-with the share of it that is still uncovered.  A column's share is the least number of
-sequences that any of its lengths allows, over SHARE, rounded down to whole sequences (one
-at least), so the solution is rounded as it grows and no length is ever over-covered; a
-round places half of what is left.  Prices over the best price of a whole sequence are a
-dual solution, so each round also bounds the least number of sequences from below.
-What no column within the round's slack can hold, a small rest, is packed
+solved by multiplicative weights: every length has a price, at first its tokens; a knapsack
+dynamic program over all capacities prices the configurations; columns are drawn from
+those within EPSILON of the best price, and the price of a length is multiplied up or down
+by how much less or more of it than of others they cover.  Prices over the best price of a
+whole sequence are a dual solution, which bounds the number of sequences from below; the
+prices of the best bound hold.  A round then places columns of best price until half of
+what was left is placed, and the next round prices the rest.  A column's share is the least
+number of sequences that any of its lengths allows, over SHARE, rounded down to whole
+sequences (one at least), so the solution is rounded as it grows and no length is ever
+over-covered.  What no nearly full column of nearly best price can hold, a small rest, is packed
 best-fit-decreasing over the histogram into the free places of all sequences.
 
 Only the histogram is solved on the driver, at most one row for each length up to
@@ -41,9 +42,11 @@ from .bpe import SLICE, cached, default_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Rounds of pricing; the part of what a column could take that it takes; the rate of the
-#: weights; columns in a row that fail before a round ends.
-ROUNDS, SHARE, RATE, TRIES = 12, 4, 0.5, 64
+#: Rounds; steps of the weights in each, columns drawn in a step, their distance from the best
+#: price, and the rate of the weights.
+ROUNDS, STEPS, DRAWN, EPSILON, RATE = 12, 4, 256, 0.02, 0.5
+#: The part of what a column could take that it takes; columns in a row that fail before a round ends.
+SHARE, TRIES = 4, 64
 #: Seed of the draws among columns of equal price.
 SEED = 11
 #: Cells in which the pieces of one length are ranked.
@@ -82,14 +85,14 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     return best
 
 
-def column(first: int, lengths: np.ndarray, values: np.ndarray, left: np.ndarray, best: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[dict[int, int], int]:
-    """A configuration of best price through one length, drawn by what is left of the
-    lengths that may come next, long ones sooner, and the place that it leaves free."""
+def column(first: int, lengths: np.ndarray, values: np.ndarray, left: np.ndarray, best: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[dict[int, int], float]:
+    """A configuration of the best price through one length, drawn by what is left of the
+    lengths that may come next, long ones sooner, and its price."""
     config = {first: 1}
-    c, free = capacity - int(lengths[first]), 0
+    c, worth = capacity - int(lengths[first]), float(values[first])
     while c > 0:
         if best[c] - best[c - 1] <= 1e-12:
-            c, free = c - 1, free + 1
+            c -= 1
             continue
         n = int(np.searchsorted(lengths, c, "right"))
         ok = (values[:n] + best[c - lengths[:n]] >= best[c] - 1e-9) & (left[:n] > 0)
@@ -98,12 +101,43 @@ def column(first: int, lengths: np.ndarray, values: np.ndarray, left: np.ndarray
                 ok[i] = False
         among = np.flatnonzero(ok)
         if not len(among):
-            return config, free + c
+            break
         by = np.cumsum(left[among] * lengths[among].astype(float) ** 2)
         i = int(among[np.searchsorted(by, rng.random() * by[-1], "right")])
         config[i] = config.get(i, 0) + 1
+        worth += float(values[i])
         c -= int(lengths[i])
-    return config, free
+    return config, worth
+
+
+def drawn(weights: np.ndarray, rng: np.random.Generator) -> int:
+    by = np.cumsum(weights)
+    return int(np.searchsorted(by, rng.random() * by[-1], "right"))
+
+
+def priced(lengths: np.ndarray, need: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """Prices of the best dual bound found, the best value of every capacity, and the bound."""
+    values = lengths / capacity
+    held: tuple = (None, None, 0.0)
+    for step in range(STEPS + 1):
+        best = price(lengths, values, capacity)
+        bound = float((need * values).sum() / best[capacity])
+        if bound > held[2]:
+            held = values, best, bound
+        if step == STEPS:
+            break
+        got = np.zeros(len(lengths))
+        for _ in range(DRAWN):
+            config, worth = column(drawn(need * values, rng), lengths, values, need, best, capacity, rng)
+            if worth >= (1 - EPSILON) * best[capacity]:
+                for i, k in config.items():
+                    got[i] += k
+        covered = got / need
+        mean = float((covered * need * values).sum() / (need * values).sum())
+        if not mean:
+            break
+        values = values * np.exp(RATE * np.clip(1 - covered / mean, -1, 1))
+    return held
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int, float]:
@@ -111,27 +145,22 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     of these the program made before best fit, and its lower bound of the sequences."""
     rng = np.random.default_rng(SEED)
     lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    left = need.copy()
-    weight = np.ones(len(lengths))
+    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
     made: Counter = Counter()
     bound = 0.0
     for nth in range(rounds):
         live = np.flatnonzero(left)
         if not len(live):
             break
-        sizes, values = lengths[live], lengths[live] / capacity * weight[live]
-        best = price(sizes, values, capacity)
-        if len(live) == len(lengths):
-            bound = max(bound, float((need * values).sum() / best[capacity]))
-        slack = 0 if nth < rounds // 2 else capacity >> (rounds - nth + 5)
-        own = left[live]
-        aim = int((own * sizes).sum()) // 2
+        sizes, own = lengths[live], left[live]
+        values, best, least = priced(sizes, own, capacity, rng)
+        bound = max(bound, least if not nth else 0.0)
+        accept = (1 - 1e-9 - (0.0 if nth < rounds // 2 else EPSILON / (1 << (rounds - nth)))) * best[capacity]
+        aim = float((own * values).sum()) / 2
         failed = 0
-        while failed < TRIES and int((own * sizes).sum()) > aim:
-            by = np.cumsum(own * values)
-            config, free = column(int(np.searchsorted(by, rng.random() * by[-1], "right")), sizes, values, own, best, capacity, rng)
-            if free > slack:
+        while failed < TRIES and float((own * values).sum()) > aim:
+            config, worth = column(drawn(own * values, rng), sizes, values, own, best, capacity, rng)
+            if worth < accept or capacity - sum(int(sizes[i]) * k for i, k in config.items()) > EPSILON * capacity:
                 failed += 1
                 continue
             failed = 0
@@ -140,8 +169,6 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             for i, k in config.items():
                 own[i] -= k * take
         left[live] = own
-        share = left / need
-        weight *= np.exp(RATE * (share - share.mean()))
     plan = [(dict(c), n) for c, n in made.items()]
     rest = {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
     return best_fit(rest, capacity, plan), sum(made.values()), bound
