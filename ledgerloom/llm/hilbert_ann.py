@@ -2,28 +2,33 @@
 
 Every distinct vector is projected to DIMS dimensions, shifted and put on a Hilbert
 curve; CURVES curves use projections and shifts of their own.  A curve is cut into
-ranges of keys at quantiles of a bounded sample, and Spark groups vectors by (curve,
-range).  A query vector also goes to as many ranges on either side of its own as make up
-the REACH share of the curve.  In a group the queries meet the vectors of that range in one matrix product, and
-only their best leave it; the bests of all groups are merged and ranked.
-
-Copies of a vector are one entry with its smallest ids, so a vector that fills a
-third of the table takes no more room than another, and ties go to smaller ids.
-
-A range holds about RANGE_ROWS vectors, so a group's memory is bounded.  A query sees
-REACH of every curve at least, whatever the number of ranges (less only where the curve
-ends), so that share does not shrink as tables grow (isotropic 64-dimensional data is the
-worst case: near vectors are hardly nearer on any curve).  The only thing fitted is the cut points, on at most SAMPLE rows.
+ranges of about RANGE_ROWS keys at quantiles of a bounded sample, and Spark groups vectors
+by (curve, range).  There a query meets the vectors whose keys are the WINDOW next ones on
+either side of its own; a query near an end of its range also goes to the next range, where
+it meets the WINDOW keys at that end.  Windows are searched in single precision, and only
+their best leave the group; the bests of all groups are merged and reranked in double
+precision on the original vectors.
+
+So a query costs the same whatever the table's size, and the whole grows as sorting does.
+What that buys depends on the data: isotropic 64-dimensional data is the worst case, as
+near vectors are hardly nearer on any curve, and recall falls slowly as such a table grows
+(measured figures stand in the README).
+
+Copies of a vector are one entry with its smallest ids, so a vector that fills a third of
+the table takes no more room than another, and ties go to smaller ids.  Vectors of one
+direction share their keys; a hash of the vector orders equal keys and cuts between them,
+so such a key is dealt to several ranges.  The only thing fitted is the cut points, on at
+most SAMPLE rows; a curve has SAMPLE / 10 ranges at most, which grow beyond that.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and
-those of another length than the longest, take no part, also as queries; null ids take
-no part; fewer candidates than k give fewer rows; rows that repeat are candidates of
-their own; an empty table gives no rows.
+those of another length than the commonest (the longer of equally common ones), take no
+part, also as queries; null ids take no part; fewer candidates than k give fewer rows;
+rows that repeat are candidates of their own; a condition that is null is no query; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import durable, table
+from .base import U64, durable, mix, table
 
-CURVES, DIMS, BITS = 16, 4, 12
-#: Least share of a curve's ranges that a query sees, its own among them; least number of ranges.
-REACH, LEAST_RANGES = 3 / 32, 32
-RANGE_ROWS = 8192
+CURVES, DIMS, BITS = 32, 4, 12
+#: Keys that a query meets on either side of its own on each curve.
+WINDOW = 1024
+#: Vectors of a range; parts of a range, of which the outer ones' queries also go to the next.
+RANGE_ROWS, PARTS = 8192, 8
+#: Queries of neighbouring keys searched at once; candidates kept beyond k for the rerank.
+BLOCK, MARGIN = 64, 8
 #: Vectors on which the cut points are fitted.
 SAMPLE = 20_000
 SEED = 7
@@ -84,28 +92,29 @@ class Curves:
         return np.array([hilbert(np.clip(((unit @ a) / self.scale + 0.5 + s) * (1 << self.bits), 0, top).astype(np.int64), self.bits) for a, s in zip(self.axes, self.shifts, strict=True)])
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
+def matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def beside(ranges: int, reach: float = REACH) -> int:
-    """The fewest ranges on either side that with a query's own make up ``reach`` of all."""
-    return max(1, math.ceil((ranges * reach - 1) / 2))
+def ordered_keys(keys: np.ndarray, vid: np.ndarray) -> np.ndarray:
+    """Keys of one curve with a hash of the vector's id below them, so that equal keys differ."""
+    return (keys << 15) | (mix(vid.astype(np.int64).view(U64)) >> U64(49)).astype(np.int64)
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", reach: float = REACH) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", window: int = WINDOW) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which the SQL
     condition ``is_query`` holds, by inner product in double precision."""
-    fine = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"), F.expr(is_query).alias("q")).where(
+    fine = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q")).where(
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    fine = fine.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
-    width = fine.agg(F.max(F.size("v"))).first()[0] or 0
+    fine = fine.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    common = fine.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")).orderBy(F.desc("n"), F.desc("width")).first()
+    width, top = (common["width"], common["top"]) if common else (0, 1.0)
     fine = fine.where(F.size("v") == width)
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, width)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary()), b.column(2)], ["vec_id", "v", "q"])
 
     rows = durable(fine.mapInArrow(as_bytes, "vec_id long, v binary, q boolean"))
@@ -114,48 +123,62 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     members = smallest.join(base.select("v", "vid"), "v").select(F.col("vid").alias("c"), "vec_id")
 
     total = base.count()
-    ranges = max(LEAST_RANGES, -(-total // RANGE_ROWS))
-    side = beside(ranges, reach)
+    ranges = max(1, min(-(-total // RANGE_ROWS), SAMPLE // 10))
     curves = Curves(width or 1)
-    sample = base.select("v").sample(min(1.0, SAMPLE / max(total, 1)), SEED).limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
+    sample = base.select("v", "vid").sample(min(1.0, SAMPLE / max(total, 1)), SEED).limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
+    cuts = np.zeros((CURVES, ranges * PARTS - 1), np.int64)  # of parts; every PARTS-th is one of ranges
     if sample.num_rows:
-        cuts = np.quantile(curves.keys(matrix(sample.column(0), width)).astype(np.float64), np.arange(1, ranges) / ranges, axis=1).T
-    else:
-        cuts = np.zeros((CURVES, ranges - 1))
+        vid = sample.column("vid").to_numpy()
+        for cut, keys in zip(cuts, curves.keys(matrix(sample.column("v"), width)), strict=True):
+            cut[:] = np.sort(ordered_keys(keys, vid))[np.arange(1, ranges * PARTS) * len(vid) // (ranges * PARTS)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = curves.keys(matrix(b.column(0), width))
-            query = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
-            for curve, own in enumerate(keys):
-                at = np.searchsorted(cuts[curve], own)
-                for step in range(-side, side + 1):
-                    go = query[(at[query] + step >= 0) & (at[query] + step < ranges)]
-                    yield out(curve, at[go] + step, b.take(pa.array(go)), True)
-                yield out(curve, at, b, False)
-
-    def out(curve: int, at: np.ndarray, b: pa.RecordBatch, asks: bool) -> pa.RecordBatch:
-        n = b.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(at.astype(np.int32)), b.column(1), b.column(0), pa.array(np.full(n, asks))], ["curve", "part", "vid", "v", "asks"])
+            x, vid = matrix(b.column(0), width), b.column(1).to_numpy()
+            keys = curves.keys(x)
+            size = np.abs(x).max(axis=1)
+            small = pa.array([r.tobytes() for r in (x / size[:, None]).astype(np.float32)], pa.binary())
+            asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for curve in range(CURVES):
+                key = ordered_keys(keys[curve], vid)
+                part = np.searchsorted(cuts[curve], key, "right")
+                own = part // PARTS
+                low, high = asks & (part % PARTS == 0) & (own > 0), asks & (part % PARTS == PARTS - 1) & (own < ranges - 1)
+                # 0: a candidate; 1: a candidate that asks; 2: a query of another range.
+                for pick, to, role in ((np.arange(len(key)), own, asks.astype(np.int32)), (np.flatnonzero(low), own - 1, None), (np.flatnonzero(high), own + 1, None)):
+                    n = len(pick)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(to[pick].astype(np.int32)), pa.array(key[pick]), pa.array(vid[pick]), small.take(pa.array(pick)), pa.array(size[pick] / top), pa.array(np.full(n, 2, np.int32) if role is None else role[pick])], ["curve", "part", "key", "vid", "v", "size", "role"])
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        x, ids = matrix(group.column("v"), width), group.column("vid").to_numpy()
-        q, qid, c, cid = x[asks], ids[asks], x[~asks], ids[~asks]
+        group = group.take(pa.array(np.argsort(group.column("key").to_numpy(), kind="stable")))
+        role, keys, ids = (group.column(c).to_numpy() for c in ("role", "key", "vid"))
+        x = matrix(group.column("v"), width, np.float32)
+        here = role < 2
+        c, cid, size, place = x[here], ids[here], group.column("size").to_numpy()[here], np.searchsorted(keys[here], keys)
+        asks = np.flatnonzero(role > 0)
+        kept = k + 1 + MARGIN
         found: list[tuple] = []
-        for lo in range(0, len(q) if len(c) else 0, 256):
-            s = q[lo : lo + 256] @ c.T
-            best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            row = np.repeat(np.arange(lo, lo + len(s)), best.shape[1])
-            best = best.ravel()
-            found.append((qid[row], cid[best], (q[row] * c[best]).sum(axis=1)))
+        for at in range(0, len(asks) if len(c) else 0, BLOCK):
+            q = asks[at : at + BLOCK]
+            lo, hi = max(int(place[q[0]]) - window, 0), int(place[q[-1]]) + window + 1
+            s = (x[q] @ c[lo:hi].T) * size[lo:hi]
+            best = np.argpartition(-s, kept - 1, axis=1)[:, :kept] if s.shape[1] > kept else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            found.append((np.repeat(ids[q], best.shape[1]), cid[lo + best.ravel()], np.take_along_axis(s, best, 1).ravel()))
         cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"qv": pa.array(cols[0], pa.int64()), "c": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    met = base.select("v", "vid", "q").mapInArrow(spread, "curve int, part int, vid long, v binary, asks boolean").groupBy("curve", "part").applyInArrow(meet, "qv long, c long, score double")
-    best_vectors = ranked(met.groupBy("qv", "c").agg(F.max("score").alias("score")), "qv", "c", k + 1)
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = (matrix(b.column(2), width) * matrix(b.column(3), width)).sum(axis=1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["qv", "c", "score"])
+
+    met = base.select("v", "vid", "q").mapInArrow(spread, "curve int, part int, key long, vid long, v binary, size double, role int").groupBy("curve", "part").applyInArrow(meet, "qv long, c long, score double")
+    near = ranked(met.groupBy("qv", "c").agg(F.max("score").alias("score")), "qv", "c", k + 1 + MARGIN).select("qv", "c")
+    sides = near.join(base.select(F.col("vid").alias("qv"), F.col("v").alias("x")), "qv").join(base.select(F.col("vid").alias("c"), F.col("v").alias("y")), "c")
+    exact = sides.select("qv", "c", "x", "y").mapInArrow(rerank, "qv long, c long, score double")
+    best_vectors = ranked(exact, "qv", "c", k + 1)
     best_rows = ranked(best_vectors.drop("rank").join(members, "c").select("qv", "vec_id", "score"), "qv", "vec_id", k + 1)
     queries = rows.where("q").select("v", F.col("vec_id").alias("query_id")).join(base.select("v", F.col("vid").alias("qv")), "v").select("query_id", "qv")
     return ranked(queries.join(best_rows.drop("rank"), "qv").where("vec_id <> query_id").select("query_id", "vec_id", "score"), "query_id", "vec_id", k).select("query_id", "rank", "vec_id", "score")
