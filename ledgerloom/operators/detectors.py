@@ -82,17 +82,19 @@ def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Greedy one-to-one pairing of one absolute amount: each debit, by day and id, takes the
     first free credit, by day and id, of another building within the window."""
     rows = rows.sort_values(["posted_on", "txn_id"])
-    debits, credits = rows[rows["amount"] < 0], rows[rows["amount"] > 0]
-    day = pd.to_datetime(credits["posted_on"]).to_numpy()
+    day = pd.to_datetime(rows["posted_on"]).to_numpy().astype("datetime64[D]").astype("int64")
+    building, txn, amount = (rows[c].to_numpy() for c in ("building_id", "txn_id", "amount"))
+    debits, credits = (amount < 0).nonzero()[0], (amount > 0).nonzero()[0]
+    window = int(rows["window"].iloc[0])
+    low, high = (day[credits].searchsorted(day[debits] + s * window, side) for s, side in ((-1, "left"), (1, "right")))
     free = [True] * len(credits)
     out = []
-    for d in debits.itertuples():
-        low, high = (pd.Timestamp(d.posted_on) + pd.Timedelta(days=s * int(d.window)) for s in (-1, 1))
-        for i in range(int(day.searchsorted(low.to_datetime64())), int(day.searchsorted(high.to_datetime64(), "right"))):
-            c = credits.iloc[i]
-            if free[i] and c["building_id"] != d.building_id:
+    for d, first, stop in zip(debits.tolist(), low.tolist(), high.tolist(), strict=True):
+        for i in range(first, stop):
+            c = credits[i]
+            if free[i] and building[c] != building[d]:
                 free[i] = False
-                out.append((d.building_id, d.txn_id, c["building_id"], c["txn_id"], d.amount))
+                out.append((building[d], txn[d], building[c], txn[c], amount[d]))
                 break
     return pd.DataFrame(out, columns=["building_id", "txn_id", "to_building", "to_txn", "amount"])
 
@@ -175,25 +177,25 @@ def by_kind(findings: DataFrame) -> DataFrame:
     return findings.groupBy("kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.min(rank).alias("r")).select("kind", "n", "amount", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("r").cast("int")).alias("severity"))
 
 
-def _q(f):
-    return lambda spark, sf_dir: f(Domain(spark, sf_dir))
+def _q(f, prepared: bool = False):
+    return lambda spark, sf_dir: f(Domain(spark, sf_dir, prepared))
 
 
 QUERIES = {
     "det01_unexplained_debit": _q(lambda d: unexplained_debit(d.txns, d.leases)),
     "det02_deposit_never_banked": _q(lambda d: deposit_never_banked(d.txns, d.leases)),
-    "det03_refund_payee_mismatch": _q(lambda d: refund_payee_mismatch(d.txns, d.matches, d.leases)),
+    "det03_refund_payee_mismatch": _q(lambda d: refund_payee_mismatch(d.txns, d.matches, d.leases), True),
     "det04_refund_without_vacate": _q(lambda d: refund_without_vacate(d.txns, d.matches, d.leases)),
-    "det05_duplicate_refund": _q(lambda d: duplicate_refund(d.txns, d.matches, d.leases)),
+    "det05_duplicate_refund": _q(lambda d: duplicate_refund(d.txns, d.matches, d.leases), True),
     "det06_escrow_to_operating": _q(lambda d: escrow_to_operating(d.txns, d.accounts)),
-    "det07_inter_building_transfer": _q(lambda d: inter_building_transfer(d.txns)),
+    "det07_inter_building_transfer": _q(lambda d: inter_building_transfer(d.txns), True),
     "det08_interest_not_allocated": _q(lambda d: interest_not_allocated(d.txns, d.leases, d.ledger)),
     "det09_deposit_exceeds_month": _q(lambda d: deposit_exceeds_month(d.leases)),
     "det10_stale_credit": _q(lambda d: stale_credit(d.leases, d.ledger, d.statements.where("checksum_ok"))),
     "det11_missing_statement": _q(lambda d: missing_statement(d.statements.where("checksum_ok"))),
     "det12_interest_account": _q(lambda d: interest_account(d.buildings, d.accounts)),
-    "agg11_finding_counts": _q(lambda d: counts(all_findings(d))),
-    "agg12_findings_by_kind": _q(lambda d: by_kind(all_findings(d))),
+    "agg11_finding_counts": _q(lambda d: counts(all_findings(d)), True),
+    "agg12_findings_by_kind": _q(lambda d: by_kind(all_findings(d)), True),
 }
 
 

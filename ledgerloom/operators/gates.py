@@ -21,7 +21,7 @@ def diagnose(checked: DataFrame, txns: DataFrame, key: str = "statement_id") ->
     bad = checked.where("NOT ok")
     d = F.abs("delta")
     j = bad.join(txns.select(key, "txn_id", "amount"), key).select(key, F.explode(F.array_compact(F.array(F.when(F.abs("amount") == d, F.concat(F.lit("missed_or_twice:"), "txn_id")), F.when(2 * F.abs("amount") == d, F.concat(F.lit("sign:"), "txn_id"))))).alias("hint"))
-    whole = bad.select(key, F.explode(F.array_compact(F.array(F.when(d % 100 == 0, F.lit("whole_dollars")), F.when(F.col("delta") == F.col("closing"), F.lit("closing_misread")), F.when(F.col("n") == 0, F.lit("no_transactions"))))).alias("hint"))
+    whole = bad.select(key, F.explode(F.array_compact(F.array(F.when(d % 100 == 0, F.lit("whole_dollars")), F.when(d == F.col("closing"), F.lit("closing_misread")), F.when(F.col("n") == 0, F.lit("no_transactions"))))).alias("hint"))
     return j.union(whole)
 
 
@@ -114,7 +114,7 @@ _CK = lambda closing: f"(SELECT s.statement_id, s.opening, {closing} AS closing,
 _BAD = f"(SELECT * FROM {_CK('CASE WHEN s.statement_id % 19 = 0 THEN s.opening ELSE s.closing END')} WHERE delta <> 0)"
 ORACLE = {k: duck(v) for k, v in {
     "gate01_checksum": f"SELECT *, delta = 0 AS ok FROM {_CK('s.closing')}",
-    "gate02_diagnose": f"SELECT statement_id, 'missed_or_twice:' || txn_id AS hint FROM {_BAD} JOIN {_T} USING (statement_id) WHERE abs(amount) = abs(delta) UNION ALL SELECT statement_id, 'sign:' || txn_id FROM {_BAD} JOIN {_T} USING (statement_id) WHERE 2 * abs(amount) = abs(delta) UNION ALL SELECT statement_id, 'whole_dollars' FROM {_BAD} WHERE delta % 100 = 0 UNION ALL SELECT statement_id, 'closing_misread' FROM {_BAD} WHERE delta = closing UNION ALL SELECT statement_id, 'no_transactions' FROM {_BAD} WHERE n = 0",
+    "gate02_diagnose": f"SELECT statement_id, 'missed_or_twice:' || txn_id AS hint FROM {_BAD} JOIN {_T} USING (statement_id) WHERE abs(amount) = abs(delta) UNION ALL SELECT statement_id, 'sign:' || txn_id FROM {_BAD} JOIN {_T} USING (statement_id) WHERE 2 * abs(amount) = abs(delta) UNION ALL SELECT statement_id, 'whole_dollars' FROM {_BAD} WHERE delta % 100 = 0 UNION ALL SELECT statement_id, 'closing_misread' FROM {_BAD} WHERE abs(delta) = closing UNION ALL SELECT statement_id, 'no_transactions' FROM {_BAD} WHERE n = 0",
     "gate03_ingest_decision": f"SELECT statement_id, split_part(x, '|', 1) AS status, nullif(split_part(x, '|', 2), '') AS reason FROM (SELECT statement_id, CASE WHEN statement_id % 11 = 0 THEN 'duplicate|content seen before' WHEN statement_id % 13 = 0 THEN 'quarantined|no text layer' WHEN statement_id % 17 = 0 THEN 'errored|no layout matches' WHEN statement_id % 19 = 0 THEN 'errored|layouts are ambiguous' WHEN statement_id % 23 = 0 THEN 'errored|parse failed' WHEN statement_id % 9 = 0 AND statement_id % 5 <> statement_id % 7 THEN 'quarantined|another account' WHEN delta <> 0 THEN 'quarantined|checksum' ELSE 'posted|' END AS x FROM {_CK('s.closing')})",
     "gate04_csv_anchor": "WITH b AS (SELECT building_id, statement_id + 1 AS batch_id, period_end + 1 AS period_start, 500 AS net, NULL::BIGINT AS seed FROM {statements} UNION ALL SELECT building_id, building_id, DATE '1990-01-01', 7, CASE WHEN building_id % 2 = 0 THEN 1000 END FROM {buildings}), p AS (SELECT b.*, s.period_end, s.closing AS c FROM b ASOF LEFT JOIN (SELECT * FROM {statements} WHERE checksum_ok) s ON b.building_id = s.building_id AND b.period_start > s.period_end) SELECT building_id, batch_id, period_start, CASE WHEN period_end + 1 <> period_start THEN 'quarantined_gap' WHEN period_end IS NULL AND seed IS NULL THEN 'quarantined_no_anchor' ELSE 'posted' END AS status, CASE WHEN period_end IS NULL THEN seed WHEN period_end + 1 = period_start THEN c END::BIGINT AS opening, (CASE WHEN period_end IS NULL THEN seed WHEN period_end + 1 = period_start THEN c END + net)::BIGINT AS closing FROM p",
     "gate05_backfill_plan": "SELECT c_custkey AS path, c_nationkey AS dir, j.status AS last, a.account_id, CASE WHEN j.status = 'posted' THEN 'skip_done' WHEN j.status IS NOT NULL THEN 'skip_seen' WHEN a.account_id IS NULL THEN 'error_unroutable' ELSE 'ingest' END AS action FROM {customer} LEFT JOIN (SELECT path, arg_max(CASE WHEN status = 'purchase' THEN 'posted' ELSE status END, ordinal) AS status FROM {journal} GROUP BY 1) j ON j.path = c_custkey LEFT JOIN (SELECT building_id, min(account_id) AS account_id FROM {accounts} WHERE building_id % 4 <> 0 GROUP BY 1) a ON a.building_id = c_nationkey",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..plans.domain import Domain, duck
+from ..plans.shared import write_once
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,11 @@ def fuzzy_tier(txns: DataFrame, leases: DataFrame, exact: DataFrame, o: Options
     """The most similar tenant among leases of the building and amount; ties to the smaller lease."""
     t = without(txns, exact, "txn_id").select("txn_id", "building_id", "amount", tx.extract_payer(F.col("descriptor")).alias("payer")).where("payer <> ''").withColumn("x", tx.trigrams(F.col("payer")))
     le = leases.select(F.col("building_id").alias("b"), "deposit", "lease_id", tx.trigrams(F.col("tenant")).alias("y"))
-    amount = (F.abs("amount") == F.col("deposit")) if not o.tolerance else (F.abs(F.abs("amount") - F.col("deposit")) <= o.tolerance)
-    j = t.join(le, (t.building_id == le.b) & amount).withColumn("score", tx.gram_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= o.similarity)
+    # Amounts are cut into bands of the tolerance's width; a lease stands in its own and both next ones.
+    band = F.floor(F.col("deposit") / (o.tolerance + 1))
+    near = le.withColumn("band", F.explode(F.array(*[band + i for i in (-1, 0, 1)]))) if o.tolerance else le.withColumn("band", band)
+    same = (F.floor(F.abs("amount") / (o.tolerance + 1)) == F.col("band")) & (F.abs(F.abs("amount") - F.col("deposit")) <= o.tolerance)
+    j = t.join(near, (t.building_id == near.b) & same).withColumn("score", tx.gram_similarity(F.col("x"), F.col("y"))).where(F.col("score") >= o.similarity)
     best = j.groupBy("txn_id").agg(F.max(F.struct("score", -F.col("lease_id"))).alias("m"))
     return best.select("txn_id", F.lit(None).cast("long").alias("ledger_id"), (-F.col("m.col2")).alias("lease_id"), F.lit("fuzzy").alias("method"), F.round("m.score", 3).alias("confidence"))
 
@@ -48,7 +52,7 @@ def fuzzy_tier(txns: DataFrame, leases: DataFrame, exact: DataFrame, o: Options
 def propose(txns: DataFrame, ledger: DataFrame, leases: DataFrame, matched: DataFrame, o: Options = Options()) -> DataFrame:
     """Proposals for transactions that have none yet and a building."""
     todo = without(txns.where("building_id IS NOT NULL"), matched, "txn_id")
-    exact = exact_tier(todo, ledger, leases, o)
+    exact = write_once(exact_tier(todo, ledger, leases, o))  # a tier of its own, and what the next one leaves out
     return exact.unionByName(fuzzy_tier(todo, leases, exact, o)).withColumn("decided_by", F.lit(None).cast("string"))
 
 
@@ -83,17 +87,17 @@ def _few(d: Domain) -> DataFrame:
 
 
 def _propose(spark, sf_dir):
-    d = Domain(spark, sf_dir)
+    d = Domain(spark, sf_dir, prepared=True)
     return propose(d.txns, d.ledger, d.leases, _few(d))
 
 
 def _unmatched(spark, sf_dir):
-    d = Domain(spark, sf_dir)
+    d = Domain(spark, sf_dir, prepared=True)
     return unmatched(d.txns, _few(d), propose(d.txns, d.ledger, d.leases, _few(d)))
 
 
 def _rate(spark, sf_dir):
-    d = Domain(spark, sf_dir)
+    d = Domain(spark, sf_dir, prepared=True)
     return run_rate(d.txns, _few(d), propose(d.txns, d.ledger, d.leases, _few(d)))
 
 

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import write_once
+
 #: The day on which everything with a clock is evaluated.
 AS_OF = "2001-08-01"
 
@@ -57,8 +59,18 @@ FRAMES: dict[str, str] = {
         CASE WHEN lease_id % 26 = 9 THEN cast(signed_on + 405 AS date) END AS refunded_on,
         CASE WHEN lease_id % 3 <> 0 THEN deposit - CASE WHEN lease_id % 10 = 1 THEN 5000 ELSE 0 END END AS bank_balance, CASE WHEN lease_id % 5 <> 0 THEN deposit END AS books_balance,
         CASE WHEN lease_id % 2 = 0 THEN ' R' || cast(lease_id AS string) || ' ' WHEN lease_id % 3 = 0 THEN '  ' END AS external_ref FROM {leases}""",
-    "votes": """SELECT building_id AS doc_id, lease_id AS account_id, reader, CASE (lease_id * reader) % 5 WHEN 0 THEN NULL WHEN 1 THEN deposit + reader WHEN 2 THEN deposit + reader WHEN 3 THEN CASE WHEN lease_id % 3 = 0 THEN deposit + reader ELSE deposit END ELSE deposit END AS value
-        FROM {leases} CROSS JOIN (SELECT 1 AS reader UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r""",
+    "votes": " UNION ALL ".join(
+        f"""SELECT building_id AS doc_id, lease_id AS account_id, {reader} AS reader, CASE WHEN lease_id % 7 <> {reader} THEN unit END AS unit,
+        CASE WHEN building_id % 3 <> 0 THEN CASE WHEN lease_id % 5 = {reader} THEN NULL ELSE deposit END ELSE CASE (lease_id * {reader}) % 5 WHEN 0 THEN NULL WHEN 1 THEN deposit + {reader} WHEN 2 THEN deposit + {reader} ELSE deposit END END AS value FROM {{leases}}"""
+        for reader in (1, 2, 3, 4)
+    ),
+    "printed": """SELECT building_id AS doc_id, cast(sum(deposit) + CASE WHEN building_id % 5 = 1 THEN 7 ELSE 0 END AS bigint) AS grand, CASE WHEN building_id % 2 = 0 THEN cast(sum(deposit) AS bigint) END AS grand_alt,
+        CASE WHEN building_id % 4 <> 0 THEN count(*) + CASE WHEN building_id % 11 = 2 THEN 1 ELSE 0 END END AS reported FROM {leases} GROUP BY building_id""",
+    "boxes": " UNION ALL ".join(
+        f"""SELECT statement_id AS doc_id, {reader} AS reader, opening, CASE WHEN statement_id % 6 = {reader} THEN NULL ELSE closing END AS closing, CASE WHEN statement_id % 5 = {reader} THEN 1 WHEN closing > opening THEN closing - opening ELSE 0 END AS credit,
+        CASE WHEN statement_id % 13 = 0 THEN {reader} WHEN closing < opening THEN opening - closing ELSE 0 END AS debit FROM {{statements}}"""
+        for reader in (1, 2, 3)
+    ),
     "journal": """SELECT user_id AS path, event_type AS status, event_id AS ordinal, ts FROM {events}""",
     "money": """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '$' || a WHEN 1 THEN '(' || a || ')' WHEN 2 THEN a || '-' WHEN 3 THEN '-' || a WHEN 4 THEN '  ' || a || ' ' ELSE CASE WHEN c_custkey % 4 = 1 THEN '.' WHEN c_custkey % 4 = 3 THEN 'n/a' ELSE '' END END AS s
         FROM (SELECT c_custkey, cast(cast(floor(abs(c_acctbal)) AS bigint) AS string) || CASE c_custkey % 4 WHEN 0 THEN '.5' WHEN 1 THEN '.25' WHEN 2 THEN '' ELSE '.999' END AS a FROM {customer}) m""",
@@ -69,17 +81,23 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Frames that others are derived from, or that take more than a scan to make.
+DERIVED = ("leases", "txns", "ledger", "matches", "statements")
+
+
 class Domain:
-    """Frames by name, built when first asked for."""
+    """Frames by name, built when first asked for.  With ``prepared`` the derived ones are
+    written once to the shared folder, as Parquet, and read column by column from there."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, prepared: bool = False):
+        self.spark, self.sf_dir, self.prepared = spark, sf_dir, prepared
         self._frames: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
             sql = FRAMES.get(name)
-            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if sql is None else self.spark.sql(sql, **{n: self[n] for n in needs(sql)})
+            frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if sql is None else self.spark.sql(sql, **{n: self[n] for n in needs(sql)})
+            self._frames[name] = write_once(frame) if self.prepared and name in DERIVED else frame
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -103,7 +121,7 @@ def duck(sql: str) -> str:
     body = plain(sql)
     if not order:
         return body
-    ctes = ", ".join(f"{n} AS ({plain(FRAMES[n])})" for n in order)
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({plain(FRAMES[n])})" for n in order)
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
 
 

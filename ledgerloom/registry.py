@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import custody, deadlines, detectors, gates, matching, views
+from .operators import consensus, custody, deadlines, detectors, gates, matching, sinks, views
 
-MODULES: tuple = (views, detectors, custody, deadlines, matching, gates)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks)
 
 
 def queries() -> dict:
