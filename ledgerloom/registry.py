@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .operators import consensus, custody, deadlines, detectors, gates, matching, sinks, views
+from .sources import delimited, statements
 
-MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, statements, delimited)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""sources of the reconciliation engine."""
+"""Readers of statements, exports, rent rolls, trackers and journals."""
