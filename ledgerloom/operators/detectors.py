@@ -205,9 +205,7 @@ def _f(kind: str, severity: str, ref: str, body: str, building: str = "building_
 
 _REF = "t.amount < 0 AND regexp_matches(t.descriptor, 'refund|check\\s*paid|return|disburse', 'i')"
 _MR = "{txns} t JOIN {matches} m USING (txn_id) JOIN {leases} l ON l.lease_id = m.lease_id WHERE " + _REF
-_NORM = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
-_PAY = _NORM(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t.descriptor, '^\s*(deposit|check\s*paid|check|ach|wire|transfer|refund|payment|credit|debit|withdrawal)\b[\s:\-]*', '', 'i'), '\breturn(ed)?\b|\brefund\b', ' ', 'gi'), '\bunit\b.*$', '', 'i'), '#?\d{3,}.*$', '')")
-_GRAM = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 2), lambda i: substr('  ' || {x} || ' ', i, 3)))"
+_NORM, _PAY, _GRAM = tx.sql_name, tx.sql_payer("t.descriptor"), tx.sql_trigrams
 _CONT = "(SELECT b.building_id, b.period_start, b.opening, a.period_end AS pe, a.closing AS pc FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) a JOIN (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) b ON a.building_id = b.building_id AND b.n = a.n + 1)"
 _SQL = {
     "det01_unexplained_debit": _f("unexplained_debit", "critical", "txn_id", "{txns} t WHERE account_type = 'escrow' AND " + _REF + " AND NOT EXISTS (SELECT 1 FROM {leases} l WHERE l.building_id = t.building_id AND abs(coalesce(l.keys_on, l.vacated_on) - t.posted_on) <= 45)", txn="txn_id"),

@@ -113,16 +113,14 @@ def _decide(spark, sf_dir):
 
 
 QUERIES = {"mat01_proposals": _propose, "mat03_unmatched": _unmatched, "mat04_run_rate": _rate, "mat05_model_suggestions": _model, "snk16_decisions": _decide}
-_N = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
-_PAY = _N(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(descriptor, '^\s*(deposit|check\s*paid|check|ach|wire|transfer|refund|payment|credit|debit|withdrawal)\b[\s:\-]*', '', 'i'), '\breturn(ed)?\b|\brefund\b', ' ', 'gi'), '\bunit\b.*$', '', 'i'), '#?\d{3,}.*$', '')")
-_G = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 2), lambda i: substr('  ' || {x} || ' ', i, 3)))"
-_TODO = "(SELECT * FROM {txns} WHERE building_id IS NOT NULL AND txn_id NOT IN (SELECT txn_id FROM {matches} WHERE txn_id % 5 = 0))"
+_N, _PAY, _G = tx.sql_name, tx.sql_payer("descriptor"), tx.sql_trigrams
+_TODO = "(SELECT t.* FROM {txns} t ANTI JOIN (SELECT txn_id FROM {matches} WHERE txn_id % 5 = 0) m USING (txn_id) WHERE building_id IS NOT NULL)"
 _EXACT = f"(SELECT t.txn_id, min(g.ledger_id) AS ledger_id, min(g.lease_id) AS lease_id, 'exact' AS method, CASE WHEN bool_or(coalesce(contains(g.note, t.check_no), false)) THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM {_TODO} t JOIN {{leases}} l ON l.building_id = t.building_id JOIN {{ledger}} g ON g.lease_id = l.lease_id AND g.amount = t.amount AND abs(g.entry_date - t.posted_on) <= 5 GROUP BY 1 HAVING count(*) = 1)"
-_FUZZY = f"(SELECT txn_id, NULL::BIGINT AS ledger_id, lease_id, 'fuzzy' AS method, round(s, 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY s DESC, lease_id) AS n FROM (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS s FROM (SELECT txn_id, lease_id, {_G('p')} AS x, {_G('q')} AS y FROM (SELECT t.txn_id, l.lease_id, {_PAY} AS p, {_N('l.tenant')} AS q FROM {_TODO} t JOIN {{leases}} l ON l.building_id = t.building_id AND l.deposit = abs(t.amount) WHERE t.txn_id NOT IN (SELECT txn_id FROM {_EXACT})) WHERE p <> '')) WHERE s >= 0.45) WHERE n = 1)"
+_FUZZY = f"(SELECT txn_id, NULL::BIGINT AS ledger_id, lease_id, 'fuzzy' AS method, round(s, 3) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY s DESC, lease_id) AS n FROM (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS s FROM (SELECT txn_id, lease_id, {_G('p')} AS x, {_G('q')} AS y FROM (SELECT t.txn_id, l.lease_id, {_PAY} AS p, {_N('l.tenant')} AS q FROM {_TODO} t JOIN {{leases}} l ON l.building_id = t.building_id AND l.deposit = abs(t.amount) ANTI JOIN {_EXACT} e ON e.txn_id = t.txn_id) WHERE p <> '')) WHERE s >= 0.45) WHERE n = 1)"
 _PROP = f"(SELECT * FROM {_EXACT} UNION ALL SELECT * FROM {_FUZZY})"
 ORACLE = {k: duck(v) for k, v in {
     "mat01_proposals": f"SELECT *, NULL::VARCHAR AS decided_by FROM {_PROP}",
-    "mat03_unmatched": f"SELECT txn_id, building_id, amount, 'low' AS severity, 'unmatched:' || txn_id AS signature FROM {_TODO} WHERE txn_id NOT IN (SELECT txn_id FROM {_PROP})",
+    "mat03_unmatched": f"SELECT txn_id, building_id, amount, 'low' AS severity, 'unmatched:' || txn_id AS signature FROM {_TODO} a ANTI JOIN {_PROP} p USING (txn_id)",
     "mat04_run_rate": f"SELECT *, round((exact + fuzzy) / greatest(considered, 1), 6) AS rate, (exact + fuzzy) / greatest(considered, 1) > 0.85 AND considered >= 20 AS warning FROM (SELECT (SELECT count(*) FROM {_TODO}) AS considered, count(*) FILTER (WHERE method = 'exact') AS exact, count(*) FILTER (WHERE method = 'fuzzy') AS fuzzy FROM {_PROP})",
     "mat05_model_suggestions": "SELECT txn_id, t.l AS lease_id, round(greatest(0, least(1, c)), 6)::DOUBLE AS confidence, 'model' AS method FROM (SELECT txn_id, CASE WHEN txn_id % 9 <> 0 THEN txn_id // 10 ELSE -1 END AS l, CASE WHEN txn_id % 4 = 0 THEN 0 ELSE (txn_id % 30) / 15.0::DOUBLE - 0.2::DOUBLE END AS c FROM {txns}) t WHERE c >= 0.5 AND l IN (SELECT lease_id FROM {leases})",
     "snk16_decisions": "SELECT txn_id, lease_id, method, coalesce(decided_by, CASE WHEN txn_id % 6 = 0 THEN 'lead' END) AS decided_by FROM {matches}",

@@ -46,7 +46,7 @@ def match_rate(txns: DataFrame, matches: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("transactions"), F.count("hit").alias("matched"), F.count(F.when(F.col("hit").isNotNull() & F.col("decided_by").isNull(), 1)).alias("pending"), F.count("decided_by").alias("approved")).withColumn("rate", F.round(F.col("matched") / F.greatest("transactions", F.lit(1)), 6))
 
 
-def quarantine(statements: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+def quarantine(statements: DataFrame) -> DataFrame:
     """Statements whose checksum is not true, null included."""
     return statements.where(~F.col("checksum_ok").eqNullSafe(True)).select("statement_id", "building_id", "period_start", "period_end")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import consensus, custody, deadlines, detectors, gates, matching, sinks, views
+from .operators import consensus, custody, deadlines, detectors, gates, matching, reports, scalars, sinks, views
 from .sources import delimited, statements
 
-MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, statements, delimited)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, statements, delimited, scalars, reports)
 
 
 def queries() -> dict:

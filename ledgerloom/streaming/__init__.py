@@ -1 +1 @@
-"""streaming of the reconciliation engine."""
+"""Streaming forms of the writes: what a batch run does once, for rows as they come."""
