@@ -8,9 +8,11 @@ child's level and its name, and the smallest draw wins.  A child's draw depends
 nothing but its own name and weight, so a change of weights moves rows only
 between the children whose weights change, and only below them.
 
-``grow`` adds a shard as a region of its own.  No other node's weight changes and
-the new region holds just that shard, so rows move only into the new shard: the
-``key`` law, where the id and the shard count decide.
+The ``key`` law, where the id and the shard count decide and one more shard takes rows
+only into itself, holds at every count.  Up to the size of the base tree a row descends
+again, with fresh draws, until it lands on a shard that exists yet: one more shard takes
+just the rows that landed on it sooner.  Beyond it ``grow`` adds a shard as a region of
+its own, so no other node's weight changes.
 
 Everything is JVM-side expressions.  Slots are ranks inside a shard, made from
 ranks inside (shard, cell) groups plus cell offsets, so that no task ever holds a
@@ -18,7 +20,8 @@ whole shard: cells are hashes of the id and of the size and checksum of the text
 
 Edge cases: a null text has size 8 and checksum 0; a null id draws as a fixed
 value of its own, rows with equal ids go to the same shard, whatever else they
-hold; an empty table gives no rows; extra columns are ignored.
+hold, and rows equal in id, size and checksum take their slots in any order; a very long
+text counts by its size only; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,35 +38,40 @@ from .base import table
 CELLS = 512
 
 
+#: Regions of the base tree, and descents after which a row without a shard goes to shard 0.
+REGIONS, DESCENTS = 3, 16
+
+
 @dataclass(frozen=True)
 class Tree:
-    """regions[region][rack] is a tuple of (shard number, weight)."""
+    """regions[region][rack] is a tuple of (shard number, weight); shards from ``count`` on
+    do not exist yet."""
 
     regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
+    count: int
 
     @staticmethod
     def of(shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
-        """Equal weights; full regions first, and the rest as regions of one shard each."""
-        size, regions, n = racks * per_rack, [], 0
-        while shards - n >= size:
-            regions.append(tuple(tuple((n + r * per_rack + i, 1.0) for i in range(per_rack)) for r in range(racks)))
-            n += size
-        tree = Tree(tuple(regions))
-        while n < shards:
-            tree, n = tree.grow(), n + 1
+        """Equal weights: the base tree, of which the first shards exist, or all and more."""
+        size = racks * per_rack
+        base = tuple(tuple(tuple((n * size + r * per_rack + i, 1.0) for i in range(per_rack)) for r in range(racks)) for n in range(REGIONS))
+        tree = Tree(base, min(shards, REGIONS * size))
+        while tree.count < shards:
+            tree = tree.grow()
         return tree
 
     def shards(self) -> list[int]:
         return sorted(s for region in self.regions for rack in region for s, _ in rack)
 
     def grow(self, weight: float = 1.0) -> Tree:
-        """One more shard, alone in a region of its own."""
-        number = max(self.shards(), default=-1) + 1
-        return Tree((*self.regions, (((number, weight),),)))
+        """One more shard: the next of the tree, or one alone in a region of its own."""
+        if self.count < len(self.shards()):
+            return Tree(self.regions, self.count + 1)
+        return Tree((*self.regions, (((self.count, weight),),)), self.count + 1)
 
     def weighted(self, shard: int, weight: float) -> Tree:
         """The same tree with another weight for one shard."""
-        return Tree(tuple(tuple(tuple((s, weight if s == shard else w) for s, w in rack) for rack in region) for region in self.regions))
+        return Tree(tuple(tuple(tuple((s, weight if s == shard else w) for s, w in rack) for rack in region) for region in self.regions), self.count)
 
 
 def draw(key: Column, level: int, name: int, weight: float) -> Column:
@@ -85,16 +93,24 @@ def choose(key: Column, level: int, children: list[tuple[int, float, Column]]) -
     return out.otherwise(live[-1][2])
 
 
-def shard_of(key: Column, tree: Tree) -> Column:
+def landing(key: Column, tree: Tree, descent: int) -> Column:
     """Names: a node is named by the smallest shard number below it, which growth never changes."""
+    level = 3 * descent
     regions = []
     for region in tree.regions:
         racks = []
         for rack in region:
             shards = [(s, w, F.lit(s)) for s, w in rack]
-            racks.append((min(s for s, _ in rack), sum(w for _, w in rack), choose(key, 3, shards)))
-        regions.append((min(n for n, _, _ in racks), sum(w for _, w, _ in racks), choose(key, 2, racks)))
-    return choose(key, 1, regions)
+            racks.append((min(s for s, _ in rack), sum(w for _, w in rack), choose(key, level + 3, shards)))
+        regions.append((min(n for n, _, _ in racks), sum(w for _, w, _ in racks), choose(key, level + 2, racks)))
+    return choose(key, level + 1, regions)
+
+
+def shard_of(key: Column, tree: Tree) -> Column:
+    if tree.count == len(tree.shards()):
+        return landing(key, tree, 0)
+    tries = [landing(key, tree, i) for i in range(DESCENTS)]
+    return F.coalesce(F.get(F.filter(F.array(*tries), lambda s: s < tree.count), 0) if tree.count > 1 else F.lit(0), F.lit(0))
 
 
 def shard_documents(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,7 +169,7 @@ def test_no_near_pair_within_the_guaranteed_distance_is_missed():
         assert wrong.min() <= minhash.ERRORS
 
 
-def line_brute(rows) -> Counter:
+def line_brute(rows, percent: int = 80) -> Counter:
     lines = []
     for n, r in enumerate(rows):
         for i, line in enumerate((r[1] or "").split("\n")):
@@ -180,7 +180,7 @@ def line_brute(rows) -> Counter:
         for b in lines:
             if (b[0], b[1]) < (a[0], a[1]):
                 common = len(a[2] & b[2])
-                if 100 * common >= 80 * (len(a[2]) + len(b[2]) - common):
+                if 100 * common >= percent * (len(a[2]) + len(b[2]) - common):
                     gone[a[3]].add(a[1])
                     break
     out = Counter()
@@ -307,6 +307,16 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty, sharding.Tree.of(24)).count() == 0
 
 
+def test_one_more_shard_takes_rows_only_into_itself_at_every_count(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
+    counts = [1, 2, 7, 8, 9, 16, 23, 24, 25, 31, 32, 33]
+    pairs = [(n, m) for n in counts for m in (n, n + 1)]
+    rows = ids.select(*[sharding.shard_of(F.col("doc_id"), sharding.Tree.of(m)).alias(f"s{n}_{m}") for n, m in pairs]).collect()
+    for n in counts:
+        assert all(r[f"s{n}_{n + 1}"] in (r[f"s{n}_{n}"], n) and 0 <= r[f"s{n}_{n}"] < n for r in rows)
+        assert any(r[f"s{n}_{n + 1}"] == n for r in rows)
+
+
 def test_weights_move_rows_only_between_changed_subtrees(spark):
     ids = spark.range(4000).select(F.col("id").alias("doc_id"))
     tree = sharding.Tree.of(24)
@@ -459,3 +469,101 @@ def test_ann_recall_with_narrow_windows(spark):
     np.fill_diagonal(exact, -np.inf)
     hits = sum((q, int(v)) in got for q in range(0, 3000, 50) for v in np.argsort(-exact[q])[:10])
     assert hits >= 0.9 * 600
+
+
+def other_rows() -> list[tuple]:
+    """One id with different texts, Thue-Morse words (equal under any polynomial modulo
+    2**64), and passages that repeat."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    a, b = prose(120), prose(120)
+    near = lambda t: t + " extra words"
+    tm = "a"
+    for _ in range(11):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    flipped = tm.translate(str.maketrans("ab", "ba"))
+    lead, tail = prose(20), prose(20)
+    odd = [f"{lead} {w} {tail}" for w in (tm, flipped)]
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (20, odd[0]), (21, odd[1]), (22, tm + " x y z"), (23, flipped + " x y z"), (30, "\n".join([a, b, a]))]
+    return rows + [(40 + i, f"{prose(8)} {a[: 500 + i]} {prose(8)}") for i in range(4)]
+
+
+CLASHES = ("spans", "_k1", "_k2", "key", "key1", "gone", "kept", "n_words", "n_removed", "n_lines", "n_bytes", "node", "words", "bucket", "slot", "label")
+
+
+@pytest.fixture(scope="module")
+def others(spark):
+    frame = spark.createDataFrame(other_rows(), "doc_id long, text string")
+    return durable(frame.select("*", *[F.lit(c).alias(c) for c in CLASHES]))
+
+
+def test_columns_of_any_name_are_carried(others):
+    for frame, own in ((substring_dedup.remove_repeats(others, k=10), {"n_words", "n_removed"}), (suffix_dedup.remove_repeats(others), {"kept", "n_bytes", "n_removed"}), (line_dedup.dedup_lines(others), {"n_lines"})):
+        got = frame.collect()
+        assert len(got) == len(other_rows())
+        assert all(r[c] == c for r in got for c in CLASHES if c not in own)
+        assert not any(isinstance(r[c], str) for r in got for c in own)
+    assert minhash.near_duplicates(others).count() == len(other_rows())
+    assert sharding.shard_documents(others, sharding.Tree.of(24)).count() == len(other_rows())
+    assert packing.token_pieces(others).count() >= len(other_rows())
+    assert bpe.encode_decode(others).count() == len(other_rows())
+    assert quality_rules.ledger(others).count() == len(other_rows())
+
+
+@pytest.mark.parametrize("k", [10, 35])
+def test_substring_dedup_compares_bytes(others, k):
+    rows = other_rows()
+    units = [words(r[1]) for r in rows]
+    want = Counter((r[0], len(u), sum(gone), sha(b" ".join(w for w, g in zip(u, gone, strict=True) if not g))) for r, u, gone in zip(rows, units, covered(units, k), strict=True))
+    assert bag(substring_dedup.remove_repeats(others, k=k).select("doc_id", "n_words", "n_removed", F.sha2("text", 256))) == want
+
+
+@pytest.mark.parametrize("k", [40, 200, 300])
+def test_suffix_dedup_of_any_width(others, k):
+    rows = other_rows()
+    units = [list(r[1].encode()) for r in rows]
+    want = Counter((r[0], sum(gone), sha(bytes(b for b, g in zip(u, gone, strict=True) if not g))) for r, u, gone in zip(rows, units, covered(units, k), strict=True))
+    assert bag(suffix_dedup.remove_repeats(others, k=k).select("doc_id", "n_removed", F.sha2("kept", 256))) == want
+
+
+def test_near_duplicates_of_rows_that_share_an_id(others):
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(others).collect()}
+    assert {(5, 5), (7, 5), (8, 5), (22, 22), (23, 23)} <= got
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 90, 100])
+@pytest.mark.parametrize("hot", [1 << 17, 2])
+def test_line_dedup_at_any_threshold(spark, others, monkeypatch, percent, hot):
+    """With frequent words keyed alone, or together with the words after them."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "HOTTER", 2)
+    rng = random.Random(percent)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = [(d, "\n".join(" ".join(rng.sample(vocabulary[: rng.choice((8, 30))], rng.randint(1, 8))) for _ in range(4))) for d in range(40)]
+    rows += [(100, "aa bb cc"), (101, "aa bb cc dd")] + other_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs, percent).select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256))
+    assert bag(got) == line_brute(rows, percent)
+
+
+def test_near_duplicates_with_keys_in_blocks(spark, monkeypatch):
+    """Families just above and below the threshold, their keys dealt by blocks of two nodes."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng = random.Random(31)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(200)]
+        for n in range(9):
+            text = list(base)
+            for i in rng.sample(range(200), 4 + n):
+                text[i] = f"x{rng.randrange(10**6)}"
+            rows.append((family * 100 + n, " ".join(text)))
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(197)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
