@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.domain import AS_OF, Domain, duck
+from .detectors import as_json
 
 #: Days after which a state is late.
 FLOAT_DAYS, BANK_DAYS, SUB_DAYS, ALLOCATE_DAYS, REFUND_DAYS, VACATED_DAYS = 30, 5, 30, 30, 14, 45
@@ -25,8 +26,8 @@ def has_sub() -> Column:
     return F.nullif(F.col("sub_last4"), F.lit("")).isNotNull() | F.col("sub_opened_on").isNotNull()
 
 
-def _finding(df: DataFrame, kind: str, severity: Column | str, amount: str | Column = "amount") -> DataFrame:
-    return df.select(F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "building_id", (F.col(amount) if isinstance(amount, str) else amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), custody_key()).alias("signature"))
+def _finding(df: DataFrame, kind: str, severity: Column | str, amount: str | Column = "amount", **detail: str | Column) -> DataFrame:
+    return df.select("custody_id", F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "building_id", (F.col(amount) if isinstance(amount, str) else amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), custody_key()).alias("signature"), as_json({"unit": "unit", "tenant": "tenant"} | detail).alias("detail"))
 
 
 def findings(custody: DataFrame, as_of: Column) -> dict[str, DataFrame]:
@@ -34,12 +35,12 @@ def findings(custody: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     since = F.coalesce("cleared_on", "sent_on")
     pooled, held = age(since), age(F.coalesce("sub_opened_on", "cleared_on", "sent_on"))
     return {
-        "funds_returned_not_refunded": _finding(custody.where("returned_on IS NOT NULL AND refunded_on IS NULL"), "funds_returned_not_refunded", F.when(age("returned_on") > REFUND_DAYS, "critical").otherwise("high"), F.coalesce("returned_amount", "amount")),
-        "master_account_float": _finding(custody.where((F.col("in_master") > 0) & (pooled > FLOAT_DAYS)), "master_account_float", F.when(pooled > 3 * FLOAT_DAYS, "critical").otherwise("high"), "in_master"),
-        "deposit_not_sent_to_bank": _finding(custody.where(F.col("sent_on").isNull() & (age("received_on") > BANK_DAYS)), "deposit_not_sent_to_bank", "high"),
-        "subaccount_not_opened": _finding(custody.where(~has_sub() & (age("cleared_on") > SUB_DAYS)), "subaccount_not_opened", "high"),
-        "allocation_pending": _finding(custody.where((F.col("in_master") > 0) & has_sub() & (held.isNull() | (held > ALLOCATE_DAYS))), "allocation_pending", "medium", "in_master"),
-        "vacated_subaccount_open": _finding(custody.where(F.col("refunded_on").isNull() & F.col("bank_closed_on").isNull() & F.col("stage").isin(*OPEN_STAGES) & (age("vacate_on") > VACATED_DAYS)), "vacated_subaccount_open", "medium"),
+        "funds_returned_not_refunded": _finding(custody.where("returned_on IS NOT NULL AND refunded_on IS NULL"), "funds_returned_not_refunded", F.when(age("returned_on") > REFUND_DAYS, "critical").otherwise("high"), F.coalesce("returned_amount", "amount"), funds_returned_on="returned_on", days_since_return=age("returned_on"), stage="stage"),
+        "master_account_float": _finding(custody.where((F.col("in_master") > 0) & (pooled > FLOAT_DAYS)), "master_account_float", F.when(pooled > 3 * FLOAT_DAYS, "critical").otherwise("high"), "in_master", since=since, days_in_master=pooled, threshold_days=F.lit(FLOAT_DAYS)),
+        "deposit_not_sent_to_bank": _finding(custody.where(F.col("sent_on").isNull() & (age("received_on") > BANK_DAYS)), "deposit_not_sent_to_bank", "high", received_on="received_on", days_held=age("received_on"), stage="stage"),
+        "subaccount_not_opened": _finding(custody.where(~has_sub() & (age("cleared_on") > SUB_DAYS)), "subaccount_not_opened", "high", bank_cleared_on="cleared_on", days_since_cleared=age("cleared_on"), stage="stage"),
+        "allocation_pending": _finding(custody.where((F.col("in_master") > 0) & has_sub() & (held.isNull() | (held > ALLOCATE_DAYS))), "allocation_pending", "medium", "in_master", subaccount_last4="sub_last4", subaccount_opened_on="sub_opened_on", days_pending=held),
+        "vacated_subaccount_open": _finding(custody.where(F.col("refunded_on").isNull() & F.col("bank_closed_on").isNull() & F.col("stage").isin(*OPEN_STAGES) & (age("vacate_on") > VACATED_DAYS)), "vacated_subaccount_open", "medium", vacate_date="vacate_on", days_since_vacate=age("vacate_on"), stage="stage"),
     }
 
 
@@ -49,7 +50,7 @@ def all_findings(custody: DataFrame, as_of: Column) -> DataFrame:
 
 def first_by_signature(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """One finding of each signature, those already stored left out."""
-    top = rows.groupBy("signature").agg(F.min(F.struct("kind", "severity", "building_id", "amount")).alias("t")).select("signature", "t.*")
+    top = rows.groupBy("signature").agg(F.min(F.struct("kind", "severity", "building_id", "amount", "custody_id", "detail")).alias("t")).select("signature", "t.*")
     return top if seen is None else top.join(seen.select("signature"), "signature", "left_anti")
 
 
@@ -58,17 +59,18 @@ _KEY = "coalesce(nullif(trim(external_ref), ''), building_id || '|' || unit || '
 _SUB = "(coalesce(sub_last4, '') <> '' OR sub_opened_on IS NOT NULL)"
 
 
-def _f(kind: str, severity: str, where: str, amount: str = "amount") -> str:
-    return f"SELECT '{kind}' AS kind, {severity} AS severity, building_id, ({amount})::BIGINT AS amount, '{kind}:' || {_KEY} AS signature FROM {{custody}} WHERE {where}"
+def _f(kind: str, severity: str, where: str, amount: str = "amount", **detail: str) -> str:
+    fields = ", ".join(f"'{k}', {v}" for k, v in ({"unit": "unit", "tenant": "tenant"} | detail).items())
+    return f"SELECT custody_id, '{kind}' AS kind, {severity} AS severity, building_id, ({amount})::BIGINT AS amount, '{kind}:' || {_KEY} AS signature, json_object({fields})::VARCHAR AS detail FROM {{custody}} WHERE {where}"
 
 
 _SQL = {
-    "funds_returned_not_refunded": _f("funds_returned_not_refunded", f"CASE WHEN {_D} - returned_on > 14 THEN 'critical' ELSE 'high' END", "returned_on IS NOT NULL AND refunded_on IS NULL", "coalesce(returned_amount, amount)"),
-    "master_account_float": _f("master_account_float", f"CASE WHEN {_D} - coalesce(cleared_on, sent_on) > 90 THEN 'critical' ELSE 'high' END", f"in_master > 0 AND {_D} - coalesce(cleared_on, sent_on) > 30", "in_master"),
-    "deposit_not_sent_to_bank": _f("deposit_not_sent_to_bank", "'high'", f"sent_on IS NULL AND {_D} - received_on > 5"),
-    "subaccount_not_opened": _f("subaccount_not_opened", "'high'", f"NOT {_SUB} AND {_D} - cleared_on > 30"),
-    "allocation_pending": _f("allocation_pending", "'medium'", f"in_master > 0 AND {_SUB} AND coalesce({_D} - coalesce(sub_opened_on, cleared_on, sent_on), 31) > 30", "in_master"),
-    "vacated_subaccount_open": _f("vacated_subaccount_open", "'medium'", f"refunded_on IS NULL AND bank_closed_on IS NULL AND stage IN {OPEN_STAGES} AND {_D} - vacate_on > 45"),
+    "funds_returned_not_refunded": _f("funds_returned_not_refunded", f"CASE WHEN {_D} - returned_on > 14 THEN 'critical' ELSE 'high' END", "returned_on IS NOT NULL AND refunded_on IS NULL", "coalesce(returned_amount, amount)", funds_returned_on="returned_on", days_since_return=f"{_D} - returned_on", stage="stage"),
+    "master_account_float": _f("master_account_float", f"CASE WHEN {_D} - coalesce(cleared_on, sent_on) > 90 THEN 'critical' ELSE 'high' END", f"in_master > 0 AND {_D} - coalesce(cleared_on, sent_on) > 30", "in_master", since="coalesce(cleared_on, sent_on)", days_in_master=f"{_D} - coalesce(cleared_on, sent_on)", threshold_days="30"),
+    "deposit_not_sent_to_bank": _f("deposit_not_sent_to_bank", "'high'", f"sent_on IS NULL AND {_D} - received_on > 5", received_on="received_on", days_held=f"{_D} - received_on", stage="stage"),
+    "subaccount_not_opened": _f("subaccount_not_opened", "'high'", f"NOT {_SUB} AND {_D} - cleared_on > 30", bank_cleared_on="cleared_on", days_since_cleared=f"{_D} - cleared_on", stage="stage"),
+    "allocation_pending": _f("allocation_pending", "'medium'", f"in_master > 0 AND {_SUB} AND coalesce({_D} - coalesce(sub_opened_on, cleared_on, sent_on), 31) > 30", "in_master", subaccount_last4="sub_last4", subaccount_opened_on="sub_opened_on", days_pending=f"{_D} - coalesce(sub_opened_on, cleared_on, sent_on)"),
+    "vacated_subaccount_open": _f("vacated_subaccount_open", "'medium'", f"refunded_on IS NULL AND bank_closed_on IS NULL AND stage IN {OPEN_STAGES} AND {_D} - vacate_on > 45", vacate_date="vacate_on", days_since_vacate=f"{_D} - vacate_on", stage="stage"),
 }
 _NAMES = {"cus01_master_float": "master_account_float", "cus02_not_sent": "deposit_not_sent_to_bank", "cus03_subaccount_not_opened": "subaccount_not_opened", "cus04_allocation_pending": "allocation_pending", "cus05_not_refunded": "funds_returned_not_refunded", "cus06_vacated_open": "vacated_subaccount_open"}
 
@@ -81,4 +83,4 @@ QUERIES = {name: (lambda kind: lambda spark, sf_dir: findings(Domain(spark, sf_d
 QUERIES["snk04_new_findings"] = lambda spark, sf_dir: (lambda c: first_by_signature(all_findings(c, _day()), all_findings(c.where("building_id < 5"), _day())))(Domain(spark, sf_dir).custody)
 ORACLE = {name: duck(_SQL[kind]) for name, kind in _NAMES.items()}
 _U = " UNION ALL ".join(_SQL.values())
-ORACLE["snk04_new_findings"] = duck(f"SELECT signature, kind, severity, building_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY kind, severity, building_id, amount) AS n FROM ({_U})) WHERE n = 1 AND signature NOT IN (SELECT signature FROM ({_U}) WHERE building_id < 5)")
+ORACLE["snk04_new_findings"] = duck(f"SELECT signature, kind, severity, building_id, amount, custody_id, detail FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY kind, severity, building_id, amount, custody_id) AS n FROM ({_U})) WHERE n = 1 AND signature NOT IN (SELECT signature FROM ({_U}) WHERE building_id < 5)")

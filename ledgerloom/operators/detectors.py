@@ -18,12 +18,18 @@ from .views import continuity
 BANK_DAYS, DEPOSIT_DAYS, TRANSFER_DAYS, PAYEE, STALE_DAYS = 45, 30, 5, 0.4, 30
 #: Rows of an amount after which transfers are paired in another group, at the next gap.
 RUN_ROWS = 4096
-FINDING = ("kind", "severity", "building_id", "lease_id", "txn_id", "amount", "signature")
+FINDING = ("kind", "severity", "building_id", "lease_id", "txn_id", "amount", "signature", "detail")
 
 
-def finding(df: DataFrame, kind: str, severity: str, ref: Column, building: str | None = "building_id", lease: str | None = None, txn: str | None = None, amount: Column | str | None = "amount") -> DataFrame:
+def as_json(fields: dict[str, Column | str]) -> Column:
+    """The fields as one JSON object, nulls written out."""
+    return F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def finding(df: DataFrame, kind: str, severity: str, ref: Column, building: str | None = "building_id", lease: str | None = None, txn: str | None = None, amount: Column | str | None = "amount", **detail: Column | str) -> DataFrame:
+    """Rows as findings; ``detail`` is what a reader needs to look at each one."""
     col = lambda c: F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c
-    return df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), col(building).cast("long").alias("building_id"), col(lease).cast("long").alias("lease_id"), col(txn).cast("long").alias("txn_id"), col(amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), ref.cast("string")).alias("signature"))
+    return df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), col(building).cast("long").alias("building_id"), col(lease).cast("long").alias("lease_id"), col(txn).cast("long").alias("txn_id"), col(amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), ref.cast("string")).alias("signature"), as_json(detail).alias("detail"))
 
 
 def _refunds(txns: DataFrame) -> DataFrame:
@@ -42,31 +48,31 @@ def unexplained_debit(txns: DataFrame, leases: DataFrame, days: int = BANK_DAYS)
     near = gone.select("b", "gone", F.explode(F.array(*[F.floor(F.unix_date("gone") / days) + i for i in (-1, 0, 1)])).alias("r"))
     t = _refunds(txns.where("account_type = 'escrow'")).withColumn("r0", F.floor(F.unix_date("posted_on") / days))
     left = t.join(near, (t.building_id == near.b) & (t.r0 == near.r) & (F.abs(F.datediff("posted_on", "gone")) <= days), "left_anti")
-    return finding(left, "unexplained_debit", "critical", F.col("txn_id"), txn="txn_id")
+    return finding(left, "unexplained_debit", "critical", F.col("txn_id"), txn="txn_id", posted_on="posted_on", descriptor="descriptor")
 
 
 def deposit_never_banked(txns: DataFrame, leases: DataFrame, days: int = DEPOSIT_DAYS) -> DataFrame:
     t = txns.where("account_type = 'escrow'").select(F.col("building_id").alias("b"), F.col("amount").alias("a"), "posted_on")
     left = leases.join(t, (leases.building_id == t.b) & (leases.deposit == t.a) & (F.abs(F.datediff(F.coalesce("signed_on", "term_start"), "posted_on")) <= days), "left_anti")
-    return finding(left, "deposit_never_banked", "critical", F.col("lease_id"), lease="lease_id", amount="deposit")
+    return finding(left, "deposit_never_banked", "critical", F.col("lease_id"), lease="lease_id", amount="deposit", unit="unit", tenant="tenant", anchor=F.coalesce("signed_on", "term_start"), within_days=F.lit(days))
 
 
 def refund_payee_mismatch(txns: DataFrame, matches: DataFrame, leases: DataFrame, threshold: float = PAYEE) -> DataFrame:
     j = _matched_refunds(txns, matches, leases)
     payee = F.coalesce(F.nullif(tx.normalize_name(F.col("counterparty")), F.lit("")), tx.extract_payer(F.col("descriptor")))
-    j = j.withColumn("payee", payee).where("payee <> ''").where(tx.name_similarity(F.col("payee"), F.col("tenant")) < threshold)
-    return finding(j, "refund_payee_mismatch", "critical", F.col("txn_id"), lease="lease_id", txn="txn_id")
+    j = j.withColumn("payee", payee).where("payee <> ''").withColumn("similarity", tx.name_similarity(F.col("payee"), F.col("tenant"))).where(F.col("similarity") < threshold)
+    return finding(j, "refund_payee_mismatch", "critical", F.col("txn_id"), lease="lease_id", txn="txn_id", payee="payee", tenant_of_record="tenant", similarity=F.round("similarity", 3))
 
 
 def refund_without_vacate(txns: DataFrame, matches: DataFrame, leases: DataFrame) -> DataFrame:
     j = _matched_refunds(txns, matches, leases).where("vacated_on IS NULL AND keys_on IS NULL")
-    return finding(j, "refund_without_vacate", "high", F.col("txn_id"), lease="lease_id", txn="txn_id")
+    return finding(j, "refund_without_vacate", "high", F.col("txn_id"), lease="lease_id", txn="txn_id", tenant="tenant", posted_on="posted_on")
 
 
 def duplicate_refund(txns: DataFrame, matches: DataFrame, leases: DataFrame) -> DataFrame:
-    j = _matched_refunds(txns, matches, leases).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    j = _matched_refunds(txns, matches, leases).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.array_sort(F.collect_list(F.struct("posted_on", "txn_id"))).alias("all"))
     j = j.where("n >= 2").join(leases.select("lease_id", "building_id"), "lease_id")
-    return finding(j, "duplicate_refund", "high", F.col("lease_id"), lease="lease_id")
+    return finding(j, "duplicate_refund", "high", F.col("lease_id"), lease="lease_id", count="n", transaction_ids=F.transform("all", lambda x: x.txn_id), posted=F.transform("all", lambda x: x.posted_on))
 
 
 def escrow_to_operating(txns: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def escrow_to_operating(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     runs = t.where("counterparty IS NOT NULL").select("txn_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("counterparty") - 3, F.lit(1))), lambda i: F.substring("counterparty", i, F.lit(4))))).alias("last4"))
     hit = runs.join(accounts.where("account_type = 'operating'").select("last4").distinct(), "last4").select("txn_id", F.lit(True).alias("hit")).distinct()
     j = t.join(hit, "txn_id", "left").where(F.col("hit") | F.col("descriptor").rlike(tx.TRANSFER))
-    return finding(j, "escrow_to_operating", "high", F.col("txn_id"), txn="txn_id")
+    return finding(j, "escrow_to_operating", "high", F.col("txn_id"), txn="txn_id", descriptor="descriptor", counterparty="counterparty")
 
 
 def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,36 +125,36 @@ def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_R
 
 
 def inter_building_transfer(txns: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
-    return finding(transfer_pairs(txns, days), "inter_building_transfer", "high", F.concat_ws(":", "txn_id", "to_txn"), txn="txn_id")
+    return finding(transfer_pairs(txns, days), "inter_building_transfer", "high", F.concat_ws(":", "txn_id", "to_txn"), txn="txn_id", from_building="building_id", to_building="to_building", debit_txn="txn_id", credit_txn="to_txn", amount_cents=-F.col("amount"))
 
 
 def interest_not_allocated(txns: DataFrame, leases: DataFrame, ledger: DataFrame) -> DataFrame:
     given = ledger.where("entry_type = 'interest_credit'").join(leases.select("lease_id", "building_id"), "lease_id").groupBy("building_id").agg(F.sum("amount").alias("given"))
     t = txns.where(tx.is_interest(F.col("amount"), F.col("descriptor")) & (F.col("account_type") == "escrow"))
     j = t.join(given, "building_id", "left").where(F.coalesce("given", F.lit(0)) <= 0)
-    return finding(j, "interest_not_allocated", "medium", F.col("txn_id"), txn="txn_id")
+    return finding(j, "interest_not_allocated", "medium", F.col("txn_id"), txn="txn_id", posted_on="posted_on", bank_interest_cents="amount", allocated_cents=F.coalesce("given", F.lit(0)))
 
 
 def deposit_exceeds_month(leases: DataFrame) -> DataFrame:
-    return finding(leases.where("deposit > rent"), "deposit_exceeds_one_month", "medium", F.col("lease_id"), lease="lease_id", amount=F.col("deposit") - F.col("rent"))
+    return finding(leases.where("deposit > rent"), "deposit_exceeds_one_month", "medium", F.col("lease_id"), lease="lease_id", amount=F.col("deposit") - F.col("rent"), deposit_cents="deposit", monthly_rent_cents="rent")
 
 
 def stale_credit(leases: DataFrame, ledger: DataFrame, statements: DataFrame, days: int = STALE_DAYS) -> DataFrame:
     sums = ledger.groupBy("lease_id").agg(F.sum("amount").alias("amount")).where("amount > 0")
     last = statements.agg(F.max("period_end").alias("last"))
     j = leases.withColumn("gone", F.coalesce("keys_on", "vacated_on")).where("gone IS NOT NULL").join(sums, "lease_id").join(F.broadcast(last), F.abs(F.datediff("last", "gone")) > days)  # one row
-    return finding(j, "stale_credit", "medium", F.col("lease_id"), lease="lease_id")
+    return finding(j, "stale_credit", "medium", F.col("lease_id"), lease="lease_id", tenant="tenant", gone_on="gone", held_cents="amount", as_of="last")
 
 
 def missing_statement(statements: DataFrame) -> DataFrame:
     c = continuity(statements)
-    return finding(c, "missing_statement_period", "medium", F.concat_ws(":", "building_id", "kind", "period_start"))
+    return finding(c, "missing_statement_period", "medium", F.concat_ws(":", "building_id", "kind", "period_start"), break_kind="kind", prior_end="prior_end", next_start="period_start")
 
 
 def interest_account(buildings: DataFrame, accounts: DataFrame) -> DataFrame:
-    a = accounts.where("account_type = 'escrow'").groupBy("building_id").agg(F.bool_or("interest_bearing").alias("any"))
+    a = accounts.where("account_type = 'escrow'").groupBy("building_id").agg(F.bool_or("interest_bearing").alias("any"), F.array_sort(F.collect_list("last4")).alias("held"))
     j = buildings.where("interest_required").join(a, "building_id").where("NOT any")
-    return finding(j, "interest_account_noncompliant", "high", F.col("building_id"), amount=None)
+    return finding(j, "interest_account_noncompliant", "high", F.col("building_id"), amount=None, name="name", accounts="held")
 
 
 def all_findings(d: Domain) -> DataFrame:
@@ -199,8 +205,12 @@ QUERIES = {
 }
 
 
-def _f(kind: str, severity: str, ref: str, body: str, building: str = "building_id", lease: str = "NULL", txn: str = "NULL", amount: str = "amount", top: str = "") -> str:
-    return f"{top}SELECT '{kind}' AS kind, '{severity}' AS severity, ({building})::BIGINT AS building_id, ({lease})::BIGINT AS lease_id, ({txn})::BIGINT AS txn_id, ({amount})::BIGINT AS amount, '{kind}:' || ({ref})::VARCHAR AS signature FROM {body}"
+def _f(kind: str, severity: str, ref: str, body: str, building: str = "building_id", lease: str = "NULL", txn: str = "NULL", amount: str = "amount", detail: str = "") -> str:
+    return f"SELECT '{kind}' AS kind, '{severity}' AS severity, ({building})::BIGINT AS building_id, ({lease})::BIGINT AS lease_id, ({txn})::BIGINT AS txn_id, ({amount})::BIGINT AS amount, '{kind}:' || ({ref})::VARCHAR AS signature, json_object({detail})::VARCHAR AS detail FROM {body}"
+
+
+def _d(**fields: str) -> str:
+    return ", ".join(f"'{k}', {v}" for k, v in fields.items())
 
 
 _REF = "t.amount < 0 AND regexp_matches(t.descriptor, 'refund|check\\s*paid|return|disburse', 'i')"
@@ -208,18 +218,18 @@ _MR = "{txns} t JOIN {matches} m USING (txn_id) JOIN {leases} l ON l.lease_id =
 _NORM, _PAY, _GRAM = tx.sql_name, tx.sql_payer("t.descriptor"), tx.sql_trigrams
 _CONT = "(SELECT b.building_id, b.period_start, b.opening, a.period_end AS pe, a.closing AS pc FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) a JOIN (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) b ON a.building_id = b.building_id AND b.n = a.n + 1)"
 _SQL = {
-    "det01_unexplained_debit": _f("unexplained_debit", "critical", "txn_id", "{txns} t WHERE account_type = 'escrow' AND " + _REF + " AND NOT EXISTS (SELECT 1 FROM {leases} l WHERE l.building_id = t.building_id AND abs(coalesce(l.keys_on, l.vacated_on) - t.posted_on) <= 45)", txn="txn_id"),
-    "det02_deposit_never_banked": _f("deposit_never_banked", "critical", "lease_id", "{leases} l WHERE NOT EXISTS (SELECT 1 FROM {txns} t WHERE t.account_type = 'escrow' AND t.building_id = l.building_id AND t.amount = l.deposit AND abs(coalesce(l.signed_on, l.term_start) - t.posted_on) <= 30)", lease="lease_id", amount="deposit"),
-    "det03_refund_payee_mismatch": _f("refund_payee_mismatch", "critical", "txn_id", f"(SELECT *, list_distinct(list_concat(x, y)) AS u FROM (SELECT *, {_GRAM('p')} AS x, {_GRAM('q')} AS y FROM (SELECT t.txn_id, t.building_id, l.lease_id, t.amount, coalesce(nullif({_NORM('t.counterparty')}, ''), {_PAY}) AS p, {_NORM('l.tenant')} AS q FROM {_MR}) WHERE p <> '')) WHERE len(list_intersect(x, y)) / len(u) < 0.4", lease="lease_id", txn="txn_id"),
-    "det04_refund_without_vacate": _f("refund_without_vacate", "high", "txn_id", _MR + " AND l.vacated_on IS NULL AND l.keys_on IS NULL", building="t.building_id", lease="l.lease_id", txn="txn_id"),
-    "det05_duplicate_refund": _f("duplicate_refund", "high", "lease_id", "(SELECT l.lease_id, l.building_id, sum(t.amount) AS amount FROM " + _MR + " GROUP BY 1, 2 HAVING count(*) >= 2)", lease="lease_id"),
-    "det06_escrow_to_operating": _f("escrow_to_operating", "high", "txn_id", "{txns} t WHERE account_type = 'escrow' AND amount < 0 AND (regexp_matches(descriptor, 'transfer|xfer|to\\s+oper|to\\s+dda|to\\s+checking', 'i') OR EXISTS (SELECT 1 FROM {accounts} a WHERE a.account_type = 'operating' AND contains(t.counterparty, a.last4)))", txn="txn_id"),
-    "det07_inter_building_transfer": _f("inter_building_transfer", "high", "txn_id || ':' || c", "(SELECT t.txn_id, t.building_id, t.amount, c.txn_id AS c, row_number() OVER (PARTITION BY t.txn_id ORDER BY c.posted_on, c.txn_id) AS n FROM {txns} t JOIN {txns} c ON c.amount = -t.amount AND c.building_id <> t.building_id AND abs(c.posted_on - t.posted_on) <= 5 WHERE t.amount < 0 AND t.account_type = 'escrow' AND c.account_type = 'escrow') WHERE n = 1", txn="txn_id"),
-    "det08_interest_not_allocated": _f("interest_not_allocated", "medium", "txn_id", "{txns} t WHERE account_type = 'escrow' AND amount > 0 AND regexp_matches(descriptor, 'interest', 'i') AND coalesce((SELECT sum(g.amount) FROM {ledger} g JOIN {leases} l USING (lease_id) WHERE l.building_id = t.building_id AND g.entry_type = 'interest_credit'), 0) <= 0", txn="txn_id"),
-    "det09_deposit_exceeds_month": _f("deposit_exceeds_one_month", "medium", "lease_id", "{leases} WHERE deposit > rent", lease="lease_id", amount="deposit - rent"),
-    "det10_stale_credit": _f("stale_credit", "medium", "lease_id", "(SELECT l.lease_id, l.building_id, sum(g.amount) AS amount FROM {leases} l JOIN {ledger} g USING (lease_id) WHERE abs((SELECT max(period_end) FROM {statements} WHERE checksum_ok) - coalesce(l.keys_on, l.vacated_on)) > 30 GROUP BY 1, 2 HAVING sum(g.amount) > 0)", lease="lease_id"),
-    "det11_missing_statement": _f("missing_statement_period", "medium", "building_id || ':calendar_gap:' || period_start", _CONT + " WHERE period_start <> pe + 1", amount="NULL") + " UNION ALL " + _f("missing_statement_period", "medium", "building_id || ':balance_break:' || period_start", _CONT + " WHERE opening <> pc", amount="opening - pc"),
-    "det12_interest_account": _f("interest_account_noncompliant", "high", "building_id", "{buildings} WHERE interest_required AND building_id IN (SELECT building_id FROM {accounts} WHERE account_type = 'escrow' GROUP BY 1 HAVING NOT bool_or(interest_bearing))", amount="NULL"),
+    "det01_unexplained_debit": _f("unexplained_debit", "critical", "txn_id", "{txns} t WHERE account_type = 'escrow' AND " + _REF + " AND NOT EXISTS (SELECT 1 FROM {leases} l WHERE l.building_id = t.building_id AND abs(coalesce(l.keys_on, l.vacated_on) - t.posted_on) <= 45)", txn="txn_id", detail=_d(posted_on="posted_on", descriptor="descriptor")),
+    "det02_deposit_never_banked": _f("deposit_never_banked", "critical", "lease_id", "{leases} l WHERE NOT EXISTS (SELECT 1 FROM {txns} t WHERE t.account_type = 'escrow' AND t.building_id = l.building_id AND t.amount = l.deposit AND abs(coalesce(l.signed_on, l.term_start) - t.posted_on) <= 30)", lease="lease_id", amount="deposit", detail=_d(unit="unit", tenant="tenant", anchor="coalesce(signed_on, term_start)", within_days="30")),
+    "det03_refund_payee_mismatch": _f("refund_payee_mismatch", "critical", "txn_id", f"(SELECT *, list_distinct(list_concat(x, y)) AS u FROM (SELECT *, {_GRAM('p')} AS x, {_GRAM('q')} AS y FROM (SELECT t.txn_id, t.building_id, l.lease_id, l.tenant, t.amount, coalesce(nullif({_NORM('t.counterparty')}, ''), {_PAY}) AS p, {_NORM('l.tenant')} AS q FROM {_MR}) WHERE p <> '')) WHERE len(list_intersect(x, y)) / len(u) < 0.4", lease="lease_id", txn="txn_id", detail=_d(payee="p", tenant_of_record="tenant", similarity="round(len(list_intersect(x, y)) / len(u), 3)")),
+    "det04_refund_without_vacate": _f("refund_without_vacate", "high", "txn_id", _MR + " AND l.vacated_on IS NULL AND l.keys_on IS NULL", building="t.building_id", lease="l.lease_id", txn="txn_id", detail=_d(tenant="l.tenant", posted_on="posted_on")),
+    "det05_duplicate_refund": _f("duplicate_refund", "high", "lease_id", "(SELECT l.lease_id, l.building_id, sum(t.amount) AS amount, count(*) AS n, list(t.txn_id ORDER BY t.posted_on, t.txn_id) AS ids, list(t.posted_on ORDER BY t.posted_on, t.txn_id) AS days FROM " + _MR + " GROUP BY 1, 2 HAVING count(*) >= 2)", lease="lease_id", detail=_d(count="n", transaction_ids="ids", posted="days")),
+    "det06_escrow_to_operating": _f("escrow_to_operating", "high", "txn_id", "{txns} t WHERE account_type = 'escrow' AND amount < 0 AND (regexp_matches(descriptor, 'transfer|xfer|to\\s+oper|to\\s+dda|to\\s+checking', 'i') OR EXISTS (SELECT 1 FROM {accounts} a WHERE a.account_type = 'operating' AND contains(t.counterparty, a.last4)))", txn="txn_id", detail=_d(descriptor="descriptor", counterparty="counterparty")),
+    "det07_inter_building_transfer": _f("inter_building_transfer", "high", "txn_id || ':' || c", "(SELECT t.txn_id, t.building_id, t.amount, c.txn_id AS c, c.building_id AS b, row_number() OVER (PARTITION BY t.txn_id ORDER BY c.posted_on, c.txn_id) AS n FROM {txns} t JOIN {txns} c ON c.amount = -t.amount AND c.building_id <> t.building_id AND abs(c.posted_on - t.posted_on) <= 5 WHERE t.amount < 0 AND t.account_type = 'escrow' AND c.account_type = 'escrow') WHERE n = 1", txn="txn_id", detail=_d(from_building="building_id", to_building="b", debit_txn="txn_id", credit_txn="c", amount_cents="-amount")),
+    "det08_interest_not_allocated": _f("interest_not_allocated", "medium", "txn_id", "{txns} t WHERE account_type = 'escrow' AND amount > 0 AND regexp_matches(descriptor, 'interest', 'i') AND coalesce((SELECT sum(g.amount) FROM {ledger} g JOIN {leases} l USING (lease_id) WHERE l.building_id = t.building_id AND g.entry_type = 'interest_credit'), 0) <= 0", txn="txn_id", detail=_d(posted_on="posted_on", bank_interest_cents="amount", allocated_cents="0")),
+    "det09_deposit_exceeds_month": _f("deposit_exceeds_one_month", "medium", "lease_id", "{leases} WHERE deposit > rent", lease="lease_id", amount="deposit - rent", detail=_d(deposit_cents="deposit", monthly_rent_cents="rent")),
+    "det10_stale_credit": _f("stale_credit", "medium", "lease_id", "(SELECT l.lease_id, l.building_id, l.tenant, coalesce(l.keys_on, l.vacated_on) AS gone, sum(g.amount)::BIGINT AS amount FROM {leases} l JOIN {ledger} g USING (lease_id) WHERE abs((SELECT max(period_end) FROM {statements} WHERE checksum_ok) - coalesce(l.keys_on, l.vacated_on)) > 30 GROUP BY ALL HAVING sum(g.amount) > 0)", lease="lease_id", detail=_d(tenant="tenant", gone_on="gone", held_cents="amount", as_of="(SELECT max(period_end) FROM {statements} WHERE checksum_ok)")),
+    "det11_missing_statement": _f("missing_statement_period", "medium", "building_id || ':calendar_gap:' || period_start", _CONT + " WHERE period_start <> pe + 1", amount="NULL", detail=_d(break_kind="'calendar_gap'", prior_end="pe", next_start="period_start")) + " UNION ALL " + _f("missing_statement_period", "medium", "building_id || ':balance_break:' || period_start", _CONT + " WHERE opening <> pc", amount="opening - pc", detail=_d(break_kind="'balance_break'", prior_end="pe", next_start="period_start")),
+    "det12_interest_account": _f("interest_account_noncompliant", "high", "building_id", "(SELECT b.building_id, b.name, a.held FROM {buildings} b JOIN (SELECT building_id, list(last4 ORDER BY last4) AS held FROM {accounts} WHERE account_type = 'escrow' GROUP BY 1 HAVING NOT bool_or(interest_bearing)) a ON a.building_id = b.building_id WHERE interest_required)", amount="NULL", detail=_d(name="name", accounts="held")),
 }
 _ALL = "(" + " UNION ALL ".join(_SQL.values()) + ")"
 _SQL |= {
