@@ -1,4 +1,12 @@
-"""A corpus clean-up in five stages; each reads what the one before has written."""
+"""A corpus clean-up in five stages; each reads what the one before has written.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, columns
+beside those of documents (left out) and empty tables (no rows).  A document whose text is
+null or has no word goes with the rules, or with the stage that cuts its last word.  Rows
+without an id are kept by the near-duplicate stage; rows that share an id stay or go
+together there, and elsewhere each row is a document of its own.  Of near duplicates the
+least id stays; of lines the first by id and line.
+"""
 
 from __future__ import annotations
 
