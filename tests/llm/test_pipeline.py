@@ -74,3 +74,41 @@ def test_substring_stage(written):
 def test_packing_stage_holds_every_document(written):
     ids = {r[0] for r in written[4].select("doc_id").collect()}
     assert ids == {r[0] for r in written[5].select("doc_id").collect()}
+
+
+def test_run_gives_what_the_stages_give(spark, written, tmp_path):
+    spark.createDataFrame(fixture_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert bag(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32")) == bag(written[5].select("doc_id", "piece", "start", "length", "ids_crc32"))
+
+
+def test_stages_take_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
+def test_stages_take_nulls_everywhere(spark):
+    rows = [(None, None, None, None, None, None, None), (1, None, None, None, None, None, None), (2, "word", None, None, None, None, None), (None, "a few words here", None, None, None, None, None)]
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+        assert {r[0] for r in got.select("doc_id").collect()} <= {None, 1, 2}
+
+
+def test_packing_stage_is_gapless_and_whole(written):
+    """The pieces of each document follow each other, and sequences have no gap or overlap."""
+    rows = written[5].collect()
+    parts, places = {}, {}
+    for r in rows:
+        parts.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in [x for d, x in parts.items() if d is not None]:
+        at = 0
+        for n, (piece, start, length) in enumerate(sorted(held)):
+            assert (piece, start) == (n, at) and 0 < length <= 4096
+            at += length
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 4096
