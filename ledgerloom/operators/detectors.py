@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..plans.domain import Domain, duck
+from ..plans.shared import write_once
 from .views import continuity
 
 #: Default windows in days and the payee threshold.
 BANK_DAYS, DEPOSIT_DAYS, TRANSFER_DAYS, PAYEE, STALE_DAYS = 45, 30, 5, 0.4, 30
 #: Rows of an amount after which transfers are paired in another group, at the next gap.
 RUN_ROWS = 4096
+#: Groups in which runs travel, for each shuffle partition.
+GROUPS = 8
 FINDING = ("kind", "severity", "building_id", "lease_id", "txn_id", "amount", "signature", "detail")
 
 
@@ -57,20 +60,20 @@ def deposit_never_banked(txns: DataFrame, leases: DataFrame, days: int = DEPOSIT
     return finding(left, "deposit_never_banked", "critical", F.col("lease_id"), lease="lease_id", amount="deposit", unit="unit", tenant="tenant", anchor=F.coalesce("signed_on", "term_start"), within_days=F.lit(days))
 
 
-def refund_payee_mismatch(txns: DataFrame, matches: DataFrame, leases: DataFrame, threshold: float = PAYEE) -> DataFrame:
-    j = _matched_refunds(txns, matches, leases)
+def refund_payee_mismatch(txns: DataFrame, matches: DataFrame, leases: DataFrame, threshold: float = PAYEE, refunds: DataFrame | None = None) -> DataFrame:
+    j = refunds if refunds is not None else _matched_refunds(txns, matches, leases)
     payee = F.coalesce(F.nullif(tx.normalize_name(F.col("counterparty")), F.lit("")), tx.extract_payer(F.col("descriptor")))
     j = j.withColumn("payee", payee).where("payee <> ''").withColumn("similarity", tx.name_similarity(F.col("payee"), F.col("tenant"))).where(F.col("similarity") < threshold)
     return finding(j, "refund_payee_mismatch", "critical", F.col("txn_id"), lease="lease_id", txn="txn_id", payee="payee", tenant_of_record="tenant", similarity=F.round("similarity", 3))
 
 
-def refund_without_vacate(txns: DataFrame, matches: DataFrame, leases: DataFrame) -> DataFrame:
-    j = _matched_refunds(txns, matches, leases).where("vacated_on IS NULL AND keys_on IS NULL")
+def refund_without_vacate(txns: DataFrame, matches: DataFrame, leases: DataFrame, refunds: DataFrame | None = None) -> DataFrame:
+    j = (refunds if refunds is not None else _matched_refunds(txns, matches, leases)).where("vacated_on IS NULL AND keys_on IS NULL")
     return finding(j, "refund_without_vacate", "high", F.col("txn_id"), lease="lease_id", txn="txn_id", tenant="tenant", posted_on="posted_on")
 
 
-def duplicate_refund(txns: DataFrame, matches: DataFrame, leases: DataFrame) -> DataFrame:
-    j = _matched_refunds(txns, matches, leases).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.array_sort(F.collect_list(F.struct("posted_on", "txn_id"))).alias("all"))
+def duplicate_refund(txns: DataFrame, matches: DataFrame, leases: DataFrame, refunds: DataFrame | None = None) -> DataFrame:
+    j = (refunds if refunds is not None else _matched_refunds(txns, matches, leases)).groupBy("lease_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.array_sort(F.collect_list(F.struct("posted_on", "txn_id"))).alias("all"))
     j = j.where("n >= 2").join(leases.select("lease_id", "building_id"), "lease_id")
     return finding(j, "duplicate_refund", "high", F.col("lease_id"), lease="lease_id", count="n", transaction_ids=F.transform("all", lambda x: x.txn_id), posted=F.transform("all", lambda x: x.posted_on))
 
@@ -85,14 +88,16 @@ def escrow_to_operating(txns: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one pairing of one absolute amount: each debit, by day and id, takes the
+    """Greedy one-to-one pairing within each (size, run): each debit, by day and id, takes the
     first free credit, by day and id, of another building within the window."""
-    rows = rows.sort_values(["posted_on", "txn_id"])
+    rows = rows.sort_values(["size", "run", "posted_on", "txn_id"])
     day = pd.to_datetime(rows["posted_on"]).to_numpy().astype("datetime64[D]").astype("int64")
+    group = rows.groupby(["size", "run"], sort=False).ngroup().to_numpy()
+    place = group * (1 << 32) + day  # days of one group never meet another's
     building, txn, amount = (rows[c].to_numpy() for c in ("building_id", "txn_id", "amount"))
     debits, credits = (amount < 0).nonzero()[0], (amount > 0).nonzero()[0]
-    window = int(rows["window"].iloc[0])
-    low, high = (day[credits].searchsorted(day[debits] + s * window, side) for s, side in ((-1, "left"), (1, "right")))
+    window = int(rows["window"].iloc[0]) if len(rows) else 0
+    low, high = (place[credits].searchsorted(place[debits] + s * window, side) for s, side in ((-1, "left"), (1, "right")))
     free = [True] * len(credits)
     out = []
     for d, first, stop in zip(debits.tolist(), low.tolist(), high.tolist(), strict=True):
@@ -105,11 +110,11 @@ def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["building_id", "txn_id", "to_building", "to_txn", "amount"])
 
 
-def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
-    """Debits paired with credits of equal amount elsewhere. Only amounts that some debit
-    and some credit of different buildings share within the window reach the pairing, and
-    an amount is cut where no row lies within the window of the day before, since no pair
-    and no choice reaches over such a gap; runs that start within ``most`` rows go together."""
+def transfer_runs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
+    """Rows of amounts (size) that some debit and some credit of different buildings share
+    within the window, in runs: an amount is cut where no row lies within the window of the
+    day before, since no pair and no choice reaches over such a gap; runs that start within
+    ``most`` rows are one."""
     t = txns.where("account_type = 'escrow' AND amount <> 0").select("txn_id", "building_id", "amount", "posted_on", F.abs("amount").alias("size"))
     c = t.where("amount > 0").select(F.col("size").alias("s"), F.col("building_id").alias("b"), F.col("posted_on").alias("p"))
     d = t.where("amount < 0")
@@ -120,8 +125,14 @@ def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_R
     before = F.sum("n").over(by) - F.col("n")
     dates = dates.withColumn("cut", F.when(F.col("gap"), F.floor(before / most)).otherwise(0))
     runs = dates.select(F.col("size").alias("s"), F.col("posted_on").alias("p"), F.max("cut").over(by).alias("run"))
-    t = t.join(runs, (t.size == runs.s) & t.posted_on.eqNullSafe(runs.p)).drop("s", "p")
-    return t.withColumn("window", F.lit(days)).groupBy("size", "run").applyInPandas(pair_transfers, "building_id long, txn_id long, to_building long, to_txn long, amount long")
+    return t.join(runs, (t.size == runs.s) & t.posted_on.eqNullSafe(runs.p)).drop("s", "p").withColumn("window", F.lit(days))
+
+
+def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
+    """Debits paired with credits of equal amount elsewhere. Runs travel together in groups, as
+    most hold few rows."""
+    group = F.pmod(F.xxhash64("size", "run"), F.lit(GROUPS * int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return transfer_runs(txns, days, most).groupBy(group).applyInPandas(pair_transfers, "building_id long, txn_id long, to_building long, to_txn long, amount long")
 
 
 def inter_building_transfer(txns: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
@@ -160,9 +171,10 @@ def interest_account(buildings: DataFrame, accounts: DataFrame) -> DataFrame:
 def all_findings(d: Domain) -> DataFrame:
     """All detectors in order; statements with a failing checksum are left out."""
     good = d.statements.where("checksum_ok")
+    refunds = write_once(_matched_refunds(d.txns, d.matches, d.leases))  # three detectors read it
     parts = [
-        unexplained_debit(d.txns, d.leases), deposit_never_banked(d.txns, d.leases), refund_payee_mismatch(d.txns, d.matches, d.leases), refund_without_vacate(d.txns, d.matches, d.leases),
-        duplicate_refund(d.txns, d.matches, d.leases), escrow_to_operating(d.txns, d.accounts), inter_building_transfer(d.txns), interest_not_allocated(d.txns, d.leases, d.ledger),
+        unexplained_debit(d.txns, d.leases), deposit_never_banked(d.txns, d.leases), refund_payee_mismatch(d.txns, d.matches, d.leases, refunds=refunds), refund_without_vacate(d.txns, d.matches, d.leases, refunds),
+        duplicate_refund(d.txns, d.matches, d.leases, refunds), escrow_to_operating(d.txns, d.accounts), inter_building_transfer(d.txns), interest_not_allocated(d.txns, d.leases, d.ledger),
         deposit_exceeds_month(d.leases), stale_credit(d.leases, d.ledger, good), missing_statement(good), interest_account(d.buildings, d.accounts),
     ]
     return reduce(DataFrame.unionByName, parts)

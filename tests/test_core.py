@@ -69,7 +69,7 @@ def test_without_keeps_each_row_once(spark):
     assert sorted(str(r["k"]) for r in matching.without(rows, gone, "k").collect()) == ["2", "2", "None"]
 
 
-def test_transfers_of_a_common_amount_are_paired_in_runs_of_days(spark, monkeypatch):
+def test_transfers_of_a_common_amount_are_paired_in_runs_of_days(spark):
     import datetime
     import random
 
@@ -80,10 +80,9 @@ def test_transfers_of_a_common_amount_are_paired_in_runs_of_days(spark, monkeypa
     rows = [(i, rng.randrange(3), rng.choice((-500, 500)), start + datetime.timedelta(days=d), "escrow") for i, d in enumerate(days)]
     rows += [(1000, 1, -700, start, "escrow"), (1001, 2, 700, start + datetime.timedelta(days=5), "escrow")]
     txns = spark.createDataFrame(rows, "txn_id long, building_id long, amount long, posted_on date, account_type string")
-    whole = pd.DataFrame(rows, columns=txns.columns).assign(window=5)
-    want = pd.concat(detectors.pair_transfers((), g) for _, g in whole.groupby(whole["amount"].abs()))
+    whole = pd.DataFrame(rows, columns=txns.columns).assign(window=5, run=0, size=lambda x: x["amount"].abs())
+    want = pd.concat(detectors.pair_transfers((), g) for _, g in whole.groupby("size"))
     assert len(want) > 12
     for most in (1, 25, 4096):
         assert sorted(map(tuple, detectors.transfer_pairs(txns, 5, most).collect())) == sorted(want.itertuples(index=False, name=None))
-    monkeypatch.setattr(detectors, "pair_transfers", lambda key, rows: rows.head(1).assign(to_building=0, to_txn=0, amount=len(rows))[["building_id", "txn_id", "to_building", "to_txn", "amount"]])
-    assert max(r["amount"] for r in detectors.transfer_pairs(txns, 5, 1).collect()) <= 9
+    assert max(r["count"] for r in detectors.transfer_runs(txns, 5, 1).groupBy("size", "run").count().collect()) <= 9
