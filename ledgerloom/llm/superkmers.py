@@ -11,7 +11,12 @@ Copies therefore cost a few bytes each, and a passage with very many copies reac
 its bucket as one string from each task.
 
 The number of buckets follows the bytes of text, so that a bucket's strings stay near
-BUCKET_BYTES whatever the input.
+BUCKET_BYTES whatever the input.  An m-gram that stands in very many places would gather
+all their surroundings in one bucket; grams that occur more often than a bucket can hold
+are therefore counted first and stand behind all others in the order.  A window on the
+edge of a common passage then takes a gram of what surrounds the passage, and only
+windows of nothing but frequent grams, which are the passage itself, keep one of them.
+The order is the same for every window, so equal windows still meet.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ from .base import BYTE_MUL, WORD_MUL, U64, Words, free_name, mix, powers, rolled
 BUCKET_BYTES, SPREAD = 4 << 20, 3.2
 #: Text bytes of a slice; bytes of strings that a task packs at once.
 SLICE, FLUSH = 1 << 20, 24 << 20
+#: Grams that a task counts at once; times that one must occur among them to be reported.
+COUNTED, REPORTED = 1 << 22, 4
+#: Frequent grams that the order knows, the most frequent: 8 bytes each go to every task.
+FREQUENT = 1 << 16
 
 
 def tokens_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,12 +51,51 @@ def tokens_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray, np
     return data, data.astype(U64) + U64(1), n[:-1], n[1:], at
 
 
-def runs(values: np.ndarray, row_at: np.ndarray, k: int, m: int, words: bool, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gram_hashes(values: np.ndarray, m: int, words: bool) -> np.ndarray:
+    """Hashes below 2**63 of every m consecutive tokens."""
+    return mix(rolled(values, m, WORD_MUL if words else BYTE_MUL)) >> U64(1)
+
+
+def frequent_grams(docs: DataFrame, text_col: str, k: int, m: int, words: bool) -> np.ndarray:
+    """Sorted hashes of the grams that occur too often for one bucket, at most FREQUENT.
+    Every word gram is counted, and every byte gram whose hash is in the lowest quarter,
+    where nearly all minimisers are.  A gram that no task meets REPORTED times among
+    COUNTED others is left out, as are grams less frequent than the FREQUENT first: what
+    is left out costs the balance of buckets and changes no result."""
+    below = U64(1 << 63 if words else 1 << 61)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counts() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            often = n >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(gram[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["gram", "n"])
+
+        for batch in slices(batches, "text", SLICE):
+            grams = gram_hashes(tokens_of(batch.column(0), words)[1], m, words)
+            held.append(grams[grams < below])
+            if sum(map(len, held)) >= COUNTED:
+                yield counts()
+        if held:
+            yield counts()
+
+    least = BUCKET_BYTES // (2 * k * (8 if words else 1))
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > least).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64)).astype(U64)
+
+
+def runs(values: np.ndarray, row_at: np.ndarray, k: int, m: int, words: bool, most: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of every super-k-mer."""
     none = np.zeros(0, np.int64)
     if len(values) < k:
         return none, none, none.astype(U64)
-    least = sliding_min(mix(rolled(values, m, WORD_MUL if words else BYTE_MUL)), k - m + 1)
+    grams = gram_hashes(values, m, words)
+    if len(frequent):
+        grams[frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams] |= U64(1 << 63)
+    least = sliding_min(grams, k - m + 1)
     n = len(least)
     row_end = np.repeat(row_at[1:], np.diff(row_at))[:n]
     valid = np.arange(n) + k <= row_end
@@ -91,7 +139,7 @@ def unpack_block(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.n
     return [body[a:b] for a, b in zip([at, *stops[:-1]], stops, strict=True)], out[1], out[2], out[3], out[4], out[5]
 
 
-def blocks(keyed: DataFrame, k: int, m: int, words: bool, buckets: int, most: int) -> DataFrame:
+def blocks(keyed: DataFrame, k: int, m: int, words: bool, buckets: int, most: int, frequent: np.ndarray) -> DataFrame:
     """(bucket, block) rows of a frame (_k1, _k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +170,7 @@ def blocks(keyed: DataFrame, k: int, m: int, words: bool, buckets: int, most: in
 
         for batch in slices(batches, "text", SLICE):
             data, values, starts, ends, row_at = tokens_of(batch.column(2), words)
-            first, n, least = runs(values, row_at, k, m, words, most)
+            first, n, least = runs(values, row_at, k, m, words, most, frequent)
             if not len(first):
                 continue
             row = np.searchsorted(row_at, first, "right") - 1
@@ -202,7 +250,8 @@ def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, find: Callable[
         a, b, start, stop = bucket.spans(*find(bucket, k))
         return pa.table({"_k1": pa.array(a, pa.int64()), "_k2": pa.array(b.astype(np.int32), pa.int32()), "span": pa.array((start << 32) | stop, pa.int64())})
 
-    found = blocks(keyed, k, m, words, buckets, most).groupBy("bucket").applyInArrow(count, "_k1 long, _k2 int, span long")
+    frequent = frequent_grams(docs, text_col, k, m, words)
+    found = blocks(keyed, k, m, words, buckets, most, frequent).groupBy("bucket").applyInArrow(count, "_k1 long, _k2 int, span long")
     return found.groupBy("_k1", "_k2").agg(F.collect_list("span").alias("spans"))
 
 

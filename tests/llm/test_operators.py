@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.base import durable
-from ledgerloom.llm import bpe, hilbert_ann, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from ledgerloom.llm import bpe, hilbert_ann, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, superkmers
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("bucket", T.StringType()), ("label", T.StringType()))])
@@ -115,6 +115,38 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def headed(spark):
+    """Texts of their own words around one passage that is shorter than a window."""
+    rng = random.Random(11)
+    passage = " ".join(f"head{i}" for i in range(20))
+    rows = [(i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(40)), passage, *(f"w{rng.randrange(10**6)}" for _ in range(40))])) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    return rows, durable(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+
+
+@pytest.mark.parametrize(("by_words", "k", "m", "operator"), [(True, 35, 4, substring_dedup), (False, 200, 24, suffix_dedup)])
+def test_frequent_grams_do_not_gather_in_a_bucket(headed, monkeypatch, by_words, k, m, operator):
+    rows, docs = headed
+    monkeypatch.setattr(superkmers, "BUCKET_BYTES", 2 * k * (8 if by_words else 1) * 50)
+    frequent = superkmers.frequent_grams(docs, "text", k, m, by_words)
+    # the passage's grams and no others (of bytes the lowest quarter), with those cut from one of its words
+    assert 5 < len(frequent) <= (17 if by_words else 140)
+
+    def largest(grams):
+        blocks = superkmers.blocks(docs.select(F.col("doc_id").alias("_k1"), F.lit(0).alias("_k2"), "text"), k, m, by_words, 64, k, grams)
+        strings = defaultdict(set)
+        for bucket, block in blocks.collect():
+            strings[bucket].update(superkmers.unpack_block(block)[0])
+        return max(map(len, strings.values())) / sum(map(len, strings.values()))
+
+    assert largest(frequent) < 0.06 < 0.12 < largest(frequent[:0])
+    units = [words(t) if by_words else list(t.encode()) for _, t in rows]
+    want = Counter((r[0], len(u), sum(gone)) for r, u, gone in zip(rows, units, covered(units, k), strict=True))
+    assert bag(operator.remove_repeats(docs).select("doc_id", "n_words" if by_words else "n_bytes", "n_removed")) == want
+    assert superkmers.frequent_grams(docs.where("false"), "text", k, m, by_words).tolist() == []
+
+
 def test_collection_transform_of_small_strings():
     rng = random.Random(3)
     for _ in range(20):
