@@ -11,7 +11,7 @@ bucket's strings are then the documents of one collection, all inserted at once,
 their last symbol to their first: round j inserts the suffix of length j of every
 string that has one.  With B[p] the symbol before the suffix at place p, the suffix cX
 goes to the place after all suffixes of smaller first symbol and as many of symbol c
-as B holds before X.  The two sequences, transform and common prefixes, lie in two
+as B holds before X.  The two sequences, transform and common prefixes, lie in
 sequential files; a round reads them from front to back and writes them anew with the
 round's symbols put in.  The common prefix of cX and its neighbour cY is one more than the
 least common prefix between X and Y; prefixes are kept up to ``k``.  The files are nameless
@@ -49,25 +49,28 @@ OPEN = 0xFF
 
 
 class Sequence:
-    """One of the sequences: a file that is read from front to back, then written anew."""
+    """One of the sequences, which only grows: a round reads one file from front to back
+    and writes the other anew, and the two change places."""
 
     def __init__(self, kind: type, values: np.ndarray):
-        self.kind, self.file = kind, None
+        self.kind, self.file, self.spare = kind, tempfile.TemporaryFile(), tempfile.TemporaryFile()
         self.write(values)
 
     def read(self) -> np.ndarray:
+        out = np.empty(self.size, self.kind)
         self.file.seek(0)
-        return np.fromfile(self.file, self.kind)
+        self.file.readinto(out)
+        return out
 
     def write(self, values: np.ndarray) -> None:
-        fresh = tempfile.TemporaryFile()
-        values.astype(self.kind).tofile(fresh)
-        self.close()
-        self.file = fresh
+        self.size = len(values)
+        self.spare.seek(0)
+        self.spare.write(values.astype(self.kind, copy=False))
+        self.file, self.spare = self.spare, self.file
 
     def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+        self.file.close()
+        self.spare.close()
 
 
 def collection(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +100,8 @@ def collection(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
         rank[order] = np.arange(total)
         r = rank[p]
         # One more than the least common prefix on the way from the last equal symbol, and to the next.
-        symbols = bwt[order]
         prev, follow = np.maximum(r - 1, 0), np.minimum(r + 1, total - 1)
-        has_prev, has_next = (r > 0) & (symbols[prev] == c), (r + 1 < total) & (symbols[follow] == c)
+        has_prev, has_next = (r > 0) & (bwt[order[prev]] == c), (r + 1 < total) & (bwt[order[follow]] == c)
         back, ahead = np.zeros((2, going), of_prefix)
         for has, lo, hi, to in ((has_prev, order[prev], p, back), (has_next, p, order[follow], ahead)):
             if has.any():
