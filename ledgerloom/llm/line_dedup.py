@@ -56,7 +56,8 @@ WIDE = 48
 CHUNK = 1 << 20
 #: Bits of the table of lines whose sets are wanted.
 WANTED = 1 << 25
-BUCKET_BYTES = 8 << 20
+#: Bytes planned for a bucket, and bytes of postings that a task packs at once.
+BUCKET_BYTES, FLUSH = 8 << 20, 24 << 20
 SETS = (("k1", np.int64), ("line", np.int32), ("s1", np.uint64), ("s2", np.uint64))
 PREFIXES = (("token", np.uint32), ("n", np.uint32), ("pos", np.uint32), ("k1", np.int64), ("line", np.int32), ("s1", np.uint64), ("b1", np.uint64), ("b2", np.uint64))
 
@@ -226,10 +227,11 @@ def postings(keyed: DataFrame, counts: np.ndarray, percent: int, buckets: int) -
                 order = np.argsort(cols[0], kind="stable")
                 cols = [c[order] for c in cols]
                 cuts = np.flatnonzero(np.diff(cols[0], prepend=-1))
-                ids = [int(cols[0][a]) for a in cuts]
-                out = [pack([c[a:b] for c in cols[1:]], fields) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-                for lo in range(0, len(ids), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 64], pa.int32()), pa.array(out[lo : lo + 64], pa.binary())], ["bucket", "block"])
+                bounds = list(zip(cuts, [*cuts[1:], len(order)], strict=True))
+                for lo in range(0, len(bounds), 64):
+                    some = bounds[lo : lo + 64]
+                    out = [pack([c[a:b] for c in cols[1:]], fields) for a, b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(cols[0][a]) for a, _ in some], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
 
         for batch in slices(batches, "text", 2 << 20):
             h, start, row, line = line_sets(batch.column(1), rank_of)
@@ -255,7 +257,7 @@ def postings(keyed: DataFrame, counts: np.ndarray, percent: int, buckets: int) -
                 at = one[which]
                 held[PREFIXES].append([(token % U64(buckets)).astype(np.int64) * 2, token >> U64(32), n[at], pos, k1[at], line[at], s1[at], b1[at], b2[at]])
                 size += 42 * len(at)
-            if size >= 64 << 20:
+            if size >= FLUSH:
                 yield from flush()
                 size = 0
         yield from flush()
