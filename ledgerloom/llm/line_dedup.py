@@ -53,11 +53,11 @@ HOT, HOTTER, DEEPEST = 1 << 17, 1 << 7, 4
 #: Words above which a set has 128 bits.
 WIDE = 48
 #: Pairs compared at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits of the table of lines whose sets are wanted.
 WANTED = 1 << 25
 #: Bytes planned for a bucket, and bytes of postings that a task packs at once.
-BUCKET_BYTES, FLUSH = 8 << 20, 24 << 20
+BUCKET_BYTES, FLUSH = 4 << 20, 24 << 20
 SETS = (("k1", np.int64), ("line", np.int32), ("s1", np.uint64), ("s2", np.uint64))
 PREFIXES = (("token", np.uint32), ("n", np.uint32), ("pos", np.uint32), ("k1", np.int64), ("line", np.int32), ("s1", np.uint64), ("b1", np.uint64), ("b2", np.uint64))
 
