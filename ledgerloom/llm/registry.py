@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert_ann, line_dedup, minhash, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, hilbert_ann, line_dedup, minhash, packing, periodic_runs, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
-MODULES = (substring_dedup, quality_classifier, sharding, suffix_dedup, hilbert_ann, bpe, minhash, packing, line_dedup, quality_rules)
+MODULES = (substring_dedup, quality_classifier, sharding, suffix_dedup, hilbert_ann, bpe, minhash, packing, line_dedup, quality_rules, periodic_runs)
 
 
 def queries() -> dict:
