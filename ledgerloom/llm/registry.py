@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert_ann, lexical_search, line_dedup, minhash, packing, periodic_runs, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, hilbert_ann, lexical_search, line_dedup, minhash, packing, periodic_runs, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, toxicity
 
-MODULES = (substring_dedup, quality_classifier, sharding, suffix_dedup, hilbert_ann, bpe, minhash, packing, line_dedup, quality_rules, periodic_runs, lexical_search)
+MODULES = (substring_dedup, quality_classifier, sharding, suffix_dedup, hilbert_ann, bpe, minhash, packing, line_dedup, quality_rules, toxicity, periodic_runs, lexical_search)
 
 
 def queries() -> dict:
