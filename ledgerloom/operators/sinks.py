@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.domain import Domain, duck
+from ..plans.versions import Store
 
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -32,23 +33,39 @@ def by_content(new: DataFrame, stored: DataFrame, content: str, order: str) -> D
     return j.withColumn("status", F.when(F.col("_stored") | (F.col(order) != F.col("_first")), "duplicate").otherwise("new")).drop("_first", "_stored")
 
 
-def upsert(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """The table after the write: stored rows, those of a key in ``new`` replaced, and new ones."""
-    return stored.join(new.select(*keys).distinct(), same(stored, new, keys), "left_anti").unionByName(new)
+def last_of(new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the last by ``order`` (without one the greatest), without it."""
+    rest = [c for c in new.columns if c not in keys and c != order]
+    row = F.struct(*rest or [F.lit(0).alias("_")])
+    one = new.groupBy(*keys).agg((F.max_by(row, order) if order else F.max(row)).alias("_r"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in new.columns if c != order])
 
 
-def merge_columns(new: DataFrame, stored: DataFrame, keys: list[str], columns: list[str], seed: dict[str, Column]) -> DataFrame:
-    """The table after a partial merge: ``columns`` of stored rows come from ``new``, and a key
-    that is not stored seeds a row, its other columns from ``seed`` (expressions over ``new``)."""
-    n = new.select(*[F.col(c).alias(f"_{c}") for c in new.columns])
+def upsert(new: DataFrame, stored: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The table after the write: stored rows, those of a key in ``new`` replaced by its last
+    row by ``order``, and new ones."""
+    one = last_of(new, keys, order)
+    return stored.join(one.select(*keys), same(stored, one, keys), "left_anti").unionByName(one)
+
+
+def merge_columns(new: DataFrame, stored: DataFrame, keys: list[str], columns: list[str], seed: dict[str, Column], order: str, required: list[str] = ()) -> DataFrame:
+    """The table after a partial merge: ``columns`` of stored rows come from the last row of
+    their key by ``order``; a key that is not stored seeds a row, whose other columns come
+    from ``seed`` (expressions over the key's first row, its columns with ``_`` before their
+    names).  Rows that lack a ``required`` value are skipped."""
+    for c in required:
+        new = new.where(F.col(c).isNotNull())
+    rest = [c for c in new.columns if c not in keys and c != order]
+    row = F.struct(*rest)
+    n = new.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.min_by(row, order).alias("_first"), F.max_by(row, order).alias("_last")).select(*[f"_{c}" for c in keys], *[F.col(f"_first.{c}").alias(f"_{c}") for c in rest], "_last")
     j = stored.join(n, reduce(lambda x, y: x & y, [stored[k].eqNullSafe(n[f"_{k}"]) for k in keys]), "full_outer").withColumn("_seeded", F.coalesce(*[F.col(k) for k in keys]).isNull())
-    hit = F.coalesce(*[F.col(f"_{k}") for k in keys]).isNotNull()
+    hit = F.col("_last").isNotNull()
 
     def value(c: str) -> Column:
         if c in keys:
             return F.coalesce(F.col(c), F.col(f"_{c}"))
         if c in columns:
-            return F.when(hit, F.col(f"_{c}")).otherwise(F.col(c))
+            return F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(c))
         return F.when(F.col("_seeded"), seed[c]).otherwise(F.col(c)) if c in seed else F.col(c)
 
     return j.select(*[value(c).alias(c) for c in stored.columns])
@@ -93,11 +110,54 @@ def _custody(d: Domain) -> DataFrame:
     return d.custody.select("custody_id", "building_id", F.trim("external_ref").alias("external_ref"), "tenant", "stage", "amount", "bank_balance", "sub_last4").where("external_ref <> ''")
 
 
+def _read_twice(d: Domain) -> DataFrame:
+    """Balances as a statement's readers list them: some twice, the second time corrected,
+    some unread, and accounts that the office does not know."""
+    c = _custody(d).where("custody_id % 3 = 0")
+    one = c.select("building_id", "external_ref", F.when(F.col("custody_id") % 5 != 0, F.col("amount") + 1).alias("bank_balance"), F.lit(1).alias("at"))
+    two = c.where("custody_id % 2 = 0").select("building_id", "external_ref", F.when(F.col("custody_id") % 4 != 0, F.col("amount") + 2).alias("bank_balance"), F.lit(2).alias("at"))
+    new = d.buildings.select("building_id", F.concat(F.lit("N"), "bbl").alias("external_ref"), F.lit(500).cast("long").alias("bank_balance"), F.lit(1).alias("at"))
+    again = new.where("building_id % 2 = 0").select("building_id", "external_ref", F.lit(501).cast("long"), F.lit(2))
+    return one.union(two).union(new).union(again).withColumn("sub_last4", F.substring("external_ref", -4, 4))
+
+
 def _merge(d: Domain) -> DataFrame:
-    stored = _custody(d)
-    new = stored.where("custody_id % 3 = 0").select("building_id", "external_ref", (F.col("amount") + 1).alias("bank_balance"), F.substring("external_ref", -4, 4).alias("sub_last4"))
-    new = new.union(d.buildings.select("building_id", F.concat(F.lit("N"), "bbl"), F.lit(500).cast("long"), F.lit("0500")))
-    return merge_columns(new, stored, ["building_id", "external_ref"], ["bank_balance", "sub_last4"], {"tenant": F.lit("(unnamed subaccount)"), "stage": F.lit("in_subaccount"), "amount": F.col("_bank_balance")})
+    seed = {"tenant": F.lit("(unnamed subaccount)"), "stage": F.lit("in_subaccount"), "amount": F.col("_bank_balance")}
+    return merge_columns(_read_twice(d), _custody(d), ["building_id", "external_ref"], ["bank_balance", "sub_last4"], seed, "at", ["bank_balance"])
+
+
+CUSTODY = {"custody": "custody_id long, building_id long, external_ref string, tenant string, stage string, amount long, bank_balance long, sub_last4 string", "audit": "action string, inserted long, updated long, changed long"}
+
+
+def post_balances(store: Store, balances: DataFrame, batch: str) -> dict[str, int]:
+    """Bank balances (building_id, external_ref, bank_balance, at) merged into the store's
+    custody: stored rows take only the balance, unknown accounts seed a row; rows without an
+    account or balance are skipped and counted, and the counts land in the same version."""
+    seen = balances.withColumn("external_ref", F.trim("external_ref"))
+    good = seen.where((F.col("external_ref") != "") & F.col("bank_balance").isNotNull())
+    update = {"bank_balance": F.col("bank_balance"), "sub_last4": F.substring("external_ref", -4, 4)}
+    seed = {"tenant": F.lit("(unnamed subaccount)"), "stage": F.lit("in_subaccount"), "amount": F.col("bank_balance")}
+    audit = lambda n: {"audit": store.spark.createDataFrame([("post_bank_balances", n["inserted"], n["updated"], n["changed"])], CUSTODY["audit"])}
+    return store.merge("custody", good, batch, "at", update, seed, audit)
+
+
+def load_custody(store: Store, records: DataFrame, batch: str) -> dict[str, int]:
+    """Tracker records (the table's columns and ``at``): every column of a stored row is
+    replaced by its key's last record."""
+    update = {c: F.col(c) for c in records.columns if c not in ("at", "building_id", "external_ref", "custody_id")}
+    audit = lambda n: {"audit": store.spark.createDataFrame([("load_custody", n["inserted"], n["updated"], n["changed"])], CUSTODY["audit"])}
+    return store.merge("custody", records, batch, "at", update, {"custody_id": F.col("custody_id")}, audit)
+
+
+def _versions(d: Domain) -> DataFrame:
+    """The tracker loaded, balances posted, the same again: the table of the last version, and
+    in how many versions it took."""
+    store = Store.temporary(d.spark, CUSTODY, {"custody": ("building_id", "external_ref")}, buckets=8)
+    load_custody(store, _custody(d).withColumn("at", F.col("custody_id")), "load")
+    for run in ("post", "again"):
+        post_balances(store, _read_twice(d), run)
+    totals = store.read("audit").agg(F.sum("inserted").alias("i"), F.sum("updated").alias("u")).first()
+    return store.read("custody").select("*", F.lit(totals["i"]).alias("n_inserted"), F.lit(totals["u"]).alias("n_updated"), F.lit(store.version()).alias("versions"))
 
 
 def _changes(d: Domain) -> DataFrame:
@@ -113,7 +173,9 @@ def _absent(d: Domain) -> DataFrame:
 
 def _upsert(d: Domain) -> DataFrame:
     c = _custody(d).select("custody_id", "building_id", "external_ref", "amount", "stage")
-    return upsert(c.where("custody_id % 4 = 0").withColumn("stage", F.lit("closed")).withColumn("amount", F.col("amount") * 2), c, ["building_id", "external_ref"])
+    new = c.where("custody_id % 4 = 0").withColumn("stage", F.lit("closed")).withColumn("amount", F.col("amount") * 2).withColumn("at", F.lit(1))
+    again = new.where("custody_id % 8 = 0").withColumn("amount", -F.col("amount")).withColumn("at", F.lit(2))
+    return upsert(new.union(again), c, ["building_id", "external_ref"], "at")
 
 
 def _content(d: Domain) -> DataFrame:
@@ -130,13 +192,16 @@ def _q(f):
     return lambda spark, sf_dir: f(Domain(spark, sf_dir))
 
 
-QUERIES = {"snk02_content_dedup": _q(_content), "snk05_insert_absent": _q(_absent), "snk06_upsert": _q(_upsert), "snk07_merge_balances": _q(_merge), "snk15_changes": _q(_changes), "snk17_uploads": _q(_uploads)}
+QUERIES = {"snk02_content_dedup": _q(_content), "snk05_insert_absent": _q(_absent), "snk06_upsert": _q(_upsert), "snk07_merge_balances": _q(_merge), "snk14_versions": _q(_versions), "snk15_changes": _q(_changes), "snk17_uploads": _q(_uploads)}
 _C = "(SELECT custody_id, building_id, trim(external_ref) AS external_ref, tenant, stage, amount, bank_balance, sub_last4 FROM {custody} WHERE trim(external_ref) <> '')"
+_BANK = "CASE WHEN custody_id % 6 = 0 AND custody_id % 4 <> 0 THEN amount + 2 WHEN custody_id % 3 = 0 AND custody_id % 5 <> 0 THEN amount + 1 ELSE bank_balance END"
+_AFTER = f"SELECT custody_id, building_id, external_ref, tenant, stage, amount, {_BANK} AS bank_balance, CASE WHEN custody_id % 3 = 0 AND (custody_id % 5 <> 0 OR custody_id % 2 = 0 AND custody_id % 4 <> 0) THEN right(external_ref, 4) ELSE sub_last4 END AS sub_last4 FROM {_C} UNION ALL SELECT NULL, building_id, 'N' || bbl, '(unnamed subaccount)', 'in_subaccount', 500, 500 + (building_id + 1) % 2, right('N' || bbl, 4) FROM {{buildings}}"
 ORACLE = {k: duck(v) for k, v in {
     "snk02_content_dedup": "SELECT doc_id, sha256(c) AS sha256, CASE WHEN c IN (SELECT building_id || '|' || unit || '|' || kind FROM {custody} WHERE custody_id % 50 = 0) OR row_number() OVER (PARTITION BY c ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'new' END AS status FROM (SELECT custody_id AS doc_id, building_id || '|' || unit || '|' || kind AS c FROM {custody})",
     "snk05_insert_absent": "SELECT building_id, unit, tenant, term_start, min(lease_id) AS lease_id FROM {leases} GROUP BY ALL HAVING count(*) FILTER (WHERE lease_id % 3 = 0) = 0",
-    "snk06_upsert": f"SELECT custody_id, building_id, external_ref, CASE WHEN custody_id % 4 = 0 THEN amount * 2 ELSE amount END AS amount, CASE WHEN custody_id % 4 = 0 THEN 'closed' ELSE stage END AS stage FROM {_C}",
-    "snk07_merge_balances": f"SELECT custody_id, building_id, external_ref, tenant, stage, amount, CASE WHEN custody_id % 3 = 0 THEN amount + 1 ELSE bank_balance END AS bank_balance, CASE WHEN custody_id % 3 = 0 THEN right(external_ref, 4) ELSE sub_last4 END AS sub_last4 FROM {_C} UNION ALL SELECT NULL, building_id, 'N' || bbl, '(unnamed subaccount)', 'in_subaccount', 500, 500, '0500' FROM {{buildings}}",
+    "snk06_upsert": f"SELECT custody_id, building_id, external_ref, CASE WHEN custody_id % 8 = 0 THEN amount * -2 WHEN custody_id % 4 = 0 THEN amount * 2 ELSE amount END AS amount, CASE WHEN custody_id % 4 = 0 THEN 'closed' ELSE stage END AS stage FROM {_C}",
+    "snk07_merge_balances": _AFTER,
+    "snk14_versions": f"SELECT x.*, n_inserted, n_updated, 2 AS versions FROM ({_AFTER}) x, (SELECT count(*) + (SELECT count(*) FROM {{buildings}}) AS n_inserted, count(*) FILTER (WHERE custody_id % 3 = 0 AND custody_id % 5 <> 0) + count(*) FILTER (WHERE custody_id % 6 = 0 AND custody_id % 4 <> 0) + (SELECT count(*) FROM {{buildings}} WHERE building_id % 2 = 0) AS n_updated FROM {_C})",
     "snk15_changes": "SELECT custody_id, CASE WHEN custody_id % 5 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, amount AS amount_before, CASE WHEN custody_id % 5 <> 0 THEN amount + 1 END AS amount_after FROM {custody} WHERE custody_id % 5 = 0 OR custody_id % 7 = 0 UNION ALL SELECT -building_id - 1, 'INSERT', NULL, 1 FROM {buildings}",
     "snk17_uploads": "SELECT name, bytes, regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g') AS stored_as, CASE WHEN i % 4 IN (1, 3) THEN 'type' WHEN bytes > 52428800 THEN 'size' END AS refused FROM (SELECT custody_id AS i, tenant || ' ' || custody_id || CASE custody_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.exe' WHEN 2 THEN '.CSV' ELSE '.' END AS name, custody_id * 100000 AS bytes FROM {custody})",
 }.items()}

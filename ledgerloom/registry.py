@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import consensus, custody, deadlines, detectors, gates, matching, reports, scalars, sinks, views
+from .operators import consensus, custody, deadlines, detectors, gates, ingest, matching, reports, scalars, sinks, views
 from .sources import delimited, scans, statements
 
-MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, statements, delimited, scans, scalars, reports)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, ingest, statements, delimited, scans, scalars, reports)
 
 
 def queries() -> dict:
