@@ -14,25 +14,31 @@ def to_cents(text: Column, dot_alone: int | None = 0) -> Column:
     """Cents of a written amount; null where it cannot be read.
 
     A leading ``-`` or ``(`` or a trailing ``-`` makes it negative; everything but digits
-    and dots is dropped; further decimals are cut, not rounded.  A dot alone is
-    ``dot_alone``; more than one dot cannot be read.
+    and dots is dropped; the two places after the first dot are the cents, further ones
+    are cut, not rounded.  A dot alone is ``dot_alone``; places that are no whole number of
+    cents (as in 1..5) cannot be read.
     """
     t = F.btrim(text)
     bare = F.regexp_replace(t, "[^0-9.]", "")
     whole = F.substring_index(bare, ".", 1)
-    rest = F.when(F.contains(bare, F.lit(".")), F.substring_index(bare, ".", -1)).otherwise("")
-    value = F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("bigint")) * 100 + F.rpad(F.substring(rest, 1, 2), 2, "0").cast("long")
+    dot = F.instr(bare, ".")
+    places = F.rpad(F.when(dot > 0, F.substring(bare, dot + 1, F.lit(2))).otherwise(""), 2, "0")
+    cents = F.when(F.substring(places, 1, 1) != ".", F.regexp_replace(places, r"\.$", "")).when(places == ".0", "0").try_cast("bigint")
+    value = F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("bigint")) * 100 + cents
     sign = F.when(t.startswith("-") | t.startswith("(") | t.endswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    dots = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
-    return F.when((bare == "") | (dots > 1), F.lit(None).cast("long")).when(bare == ".", F.lit(dot_alone).cast("long")).otherwise(sign * value)
+    return F.when(bare == "", F.lit(None).cast("long")).when(bare == ".", F.lit(dot_alone).cast("long")).otherwise(sign * value)
+
+
+#: Fixed value: what may be typed for an amount, signs and separators apart.
+TYPED = r"^\d*\.?\d*$"
 
 
 def input_cents(text: Column) -> Column:
-    """An edited amount: blank is 0, only a leading minus is negative, else digits with at most one dot."""
+    """An edited amount: blank is 0, only a leading minus is negative, else digits with at most
+    one dot; a lone minus or dot cannot be read."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[$,\s]", "")
     body = F.regexp_replace(t, "^-", "")
-    good = body.rlike(r"^\d*\.?\d*$")
-    return F.when(t == "", F.lit(0).cast("long")).when(good & (body != "") & (body != "."), to_cents(t)).when(good, F.lit(0).cast("long"))
+    return F.when(t == "", F.lit(0).cast("long")).when(body.rlike(TYPED) & ~body.isin("", "."), to_cents(t))
 
 
 def format_cents(cents: Column, missing: str | None = None) -> Column:

@@ -18,7 +18,7 @@ def _money(d: Domain) -> DataFrame:
 
 def _inputs(d: Domain) -> DataFrame:
     i = F.col("custody_id")
-    typed = F.when(i % 5 == 0, " ").when(i % 5 == 1, F.concat(F.lit("$ "), F.format_number((F.col("amount") / 100).cast("decimal(18,2)"), 2))).when(i % 5 == 2, F.concat(F.lit("-"), F.col("amount").cast("string"))).when(i % 5 == 3, "12a").otherwise(F.concat(F.lit("("), F.col("amount").cast("string"), F.lit(")")))
+    typed = F.when(i % 7 == 0, "-").when(i % 7 == 1, " .").when(i % 7 == 2, "-$.5").when(i % 5 == 0, " ").when(i % 5 == 1, F.concat(F.lit("$ "), F.format_number((F.col("amount") / 100).cast("decimal(18,2)"), 2))).when(i % 5 == 2, F.concat(F.lit("-"), F.col("amount").cast("string"))).when(i % 5 == 3, "12a").otherwise(F.concat(F.lit("("), F.col("amount").cast("string"), F.lit(")")))
     return d.custody.select("custody_id", money.input_cents(typed).alias("cents"))
 
 
@@ -59,23 +59,44 @@ def resolve_documents(names: DataFrame, buildings: DataFrame) -> DataFrame:
     return r.groupBy("doc_id").agg(F.countDistinct("building_id").alias("n_buildings"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("building_id").cast("string")))).alias("buildings"), F.concat_ws("; ", F.array_sort(F.collect_set(F.when(F.col("building_id").isNull(), F.col("label"))))).alias("unresolved"))
 
 
+#: Letters of an override by which labels that may hold it are found.
+GRAM = 4
+
+
+def overridden(labels: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(label, buildings) of labels in which an override stands, in any case, inside words and
+    over blanks; of several the one of least ``ordinal`` holds, with all its buildings.
+
+    An override is found by its first GRAM letters (all of a shorter one) among the places of a
+    label, by one equi join, and then compared whole, so neither side need be small."""
+    o = overrides.select("ordinal", F.upper("word").alias("w"), "building_id").where("w <> ''").withColumn("g", F.substring("w", 1, GRAM))
+    key = F.upper(F.trim("label"))
+    text = labels.select("label", key.alias("k")).distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("k"), i, n)))))
+    hit = text.select("label", "k", F.explode(grams).alias("g")).join(o, "g").where(F.contains("k", F.col("w")))
+    first = hit.groupBy("label", "ordinal").agg(F.array_sort(F.collect_set("building_id")).alias("ids"))  # an override's buildings
+    return first.groupBy("label").agg(F.min_by("ids", "ordinal").alias("ids"))
+
+
 def match_label(labels: DataFrame, buildings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Buildings of each label, in tiers, of which the first that finds any holds: an override
-    whose text stands in the label; equal digit streams; a run of its digits that begins a
-    building's stream; its whole stream, which begins one.  ``buildings`` and ``overrides`` are
-    dimensions of the portfolio (Spark broadcasts them while they are small)."""
+    """Buildings of each label, in tiers, of which the first that finds any holds: the first
+    override (ordinal, word, building_id) whose text stands in the label; equal digit streams;
+    a run of at least three of its digits that begins a building's stream; a building's
+    stream that begins its whole one.  Empty overrides are left out."""
     stream = buildings.select("building_id", tx.digits(F.col("name")).alias("s")).where("s <> ''")
     base = labels.select("label").distinct().withColumn("d", tx.digits(F.col("label")))
-    runs = base.select("label", F.explode(F.array_distinct(F.regexp_extract_all("label", F.lit(r"(\d{2,})"), F.lit(1)))).alias("run"))
-    starts = stream.select("building_id", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("s"), F.lit(2))), lambda n: F.substring("s", F.lit(1), n))).alias("p")).distinct()
-    words = base.select("label", F.explode(F.array_distinct(F.split(F.lower("label"), r"\s+"))).alias("w"))
+    runs = base.select("label", F.explode(F.array_distinct(F.regexp_extract_all("label", F.lit(r"(\d{3,})"), F.lit(1)))).alias("run"))
+    begins = lambda c, least: F.when(F.length(c) >= least, F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda n: F.substring(c, F.lit(1), n)))
+    starts = stream.select("building_id", F.explode(begins(F.col("s"), 3)).alias("p"))
+    heads = base.select("label", F.explode(begins(F.col("d"), 1)).alias("p"))
     tiers = [
-        words.join(overrides.select(F.lower("word").alias("w"), "building_id"), "w").select("label", F.lit(0).alias("tier"), "building_id"),
+        overridden(base, overrides).select("label", F.lit(0).alias("tier"), F.explode("ids").alias("building_id")),
         base.where("d <> ''").join(stream, F.col("d") == F.col("s")).select("label", F.lit(1).alias("tier"), "building_id"),
         runs.join(starts, F.col("run") == F.col("p")).select("label", F.lit(2).alias("tier"), "building_id"),
-        base.where("d <> ''").join(starts, F.col("d") == F.col("p")).select("label", F.lit(3).alias("tier"), "building_id"),
+        heads.join(stream, F.col("p") == F.col("s")).select("label", F.lit(3).alias("tier"), "building_id"),
     ]
-    found = tiers[0].union(tiers[1]).union(tiers[2]).union(tiers[3]).distinct()
+    found = tiers[0].union(tiers[1]).union(tiers[2]).union(tiers[3])
     one = found.groupBy("label", "tier").agg(F.array_sort(F.collect_set("building_id")).alias("ids"))
     return base.select("label").join(one.groupBy("label").agg(F.min(F.struct("tier", "ids")).alias("b")), "label", "left").select("label", F.col("b.tier").alias("tier"), F.concat_ws(",", F.col("b.ids").cast("array<string>")).alias("buildings"))
 
@@ -94,10 +115,21 @@ def _resolve(d: Domain) -> DataFrame:
 
 
 def _labels(d: Domain) -> DataFrame:
+    """One label for each building and kind: an override inside a word and over a blank, the
+    address without its hyphen, its first run, the address with more behind it, two digits."""
     b = _addresses(d)
-    i = F.col("building_id")
-    label = F.when(i % 4 == 0, F.concat(F.lit("LLC Zebra"), i.cast("string"), F.lit(" 99"))).when(i % 4 == 1, F.replace("name", F.lit("-"), F.lit(" "))).when(i % 4 == 2, F.concat((i * 37 + 100).cast("string"), F.lit(" Some St"))).otherwise(F.lit("nothing"))
-    return match_label(b.select(label.alias("label")), b, b.where("building_id % 4 = 0").select(F.concat(F.lit("zebra"), F.col("building_id").cast("string")).alias("word"), "building_id"))
+    i, n = F.col("building_id"), F.col("building_id") * 37 + 100
+    kinds = [
+        F.concat(F.lit("The myZebra "), n.cast("string"), F.lit("Court, 99 9")),
+        F.replace("name", F.lit("-"), F.lit(" ")),
+        F.concat(n.cast("string"), F.lit(" Some St")),
+        F.concat("name", F.lit(" "), (i % 3 + 4).cast("string"), F.lit("F")),
+        F.concat(F.lit("lot "), F.substring(n.cast("string"), 1, 2)),
+    ]
+    shown = b.select(F.explode(F.array(*kinds)).alias("label"))
+    first = b.select(F.lit(2).cast("long").alias("ordinal"), F.lit("zebra").alias("word"), "building_id").where("building_id < 3")
+    own = b.where("building_id % 4 = 0").select((i * 0 + 1).alias("ordinal"), F.concat(F.lit("ZEBRA "), n.cast("string"), F.lit("c")).alias("word"), "building_id")
+    return match_label(shown, b, own.union(first))
 
 
 def _q(f):
@@ -110,10 +142,20 @@ _SHOW = "CASE WHEN cents < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', abs
 _PICK = lambda *xs: "CASE " + " ".join(f"WHEN lease_id % {len(xs)} = {i} THEN {x}" for i, x in enumerate(xs)) + " END"
 ORACLE = {
     "fn01_money": duck("SELECT id, cents, SHOWN AS shown, CASE WHEN cents < 0 THEN '-' ELSE '' END || abs(cents) // 100 || '.' || lpad((abs(cents) % 100)::VARCHAR, 2, '0') AS edit, CASE WHEN trim(s) IN ('', 'n/a', 'na', 'none', '-') THEN 0 ELSE cents END AS or_zero, CASE WHEN trim(s) IN ('', 'n/a', 'na', 'none', '-') THEN NULL ELSE cents END AS or_null FROM " + _A).replace("SHOWN", _SHOW.replace("{{:,}}", "{:,}")),
-    "fn03_input_money": duck("SELECT custody_id, CASE custody_id % 5 WHEN 0 THEN 0 WHEN 1 THEN amount WHEN 2 THEN -amount * 100 END::BIGINT AS cents FROM {custody}"),
+    "fn03_input_money": duck("SELECT custody_id, CASE WHEN custody_id % 7 IN (0, 1) THEN NULL WHEN custody_id % 7 = 2 THEN -50 WHEN custody_id % 5 = 0 THEN 0 WHEN custody_id % 5 = 1 THEN amount WHEN custody_id % 5 = 2 THEN -amount * 100 END::BIGINT AS cents FROM {custody}"),
     "fn06_money_tokens": duck("SELECT lease_id, 4 AS n, deposit AS first, -1200 AS second, -310 AS third, 50 AS last, -310 AS after FROM {leases}"),
     "fn08_dates": duck("SELECT lease_id, CASE WHEN lease_id % 6 < 4 THEN signed_on END AS day, signed_on AS in_year, signed_on + 1 AS next_day, abs(signed_on - vacated_on) AS days, DATE '2001-08-01' - signed_on AS age FROM {leases}"),
     "fn19_words": duck("SELECT lease_id, " + _PICK("'in_master'", "'in_subaccount'", "'bank_closing'", "'closed'", "'received'") + " AS stage, " + _PICK("'additional'", "'initial'", "'additional'", "'initial'") + " AS kind, lease_id % 4 <> 3 AS lease_flag, lease_id % 4 < 2 AS seed_flag, '7011' || lease_id AS digits, replace(replace(tenant, '#', '_'), ' ', '_') || '_a_.pdf' AS safe, replace(lower(tenant), '#', ' ') || ' jr' AS name FROM {leases}"),
-    "fn16_building_labels": duck("SELECT l AS label, CASE building_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS tier, CASE WHEN building_id % 4 = 3 THEN '' ELSE building_id::VARCHAR END AS buildings FROM (SELECT building_id, CASE building_id % 4 WHEN 0 THEN 'LLC Zebra' || building_id || ' 99' WHEN 1 THEN (building_id * 37 + 100) || ' ' || (building_id % 7 + 10) || ' Street' WHEN 2 THEN (building_id * 37 + 100) || ' Some St' ELSE 'nothing' END AS l FROM {buildings}) WHERE building_id % 4 <> 3 OR building_id = 3"),
+    "fn16_building_labels": duck("""WITH b AS (SELECT building_id AS i, building_id * 37 + 100 AS n, (building_id * 37 + 100) || '-' || (building_id % 7 + 10) || ' Street' AS name FROM {buildings}),
+s AS (SELECT i, n, regexp_replace(name, '[^0-9]', '', 'g') AS s, name FROM b),
+l AS (SELECT DISTINCT unnest(['The myZebra ' || n || 'Court, 99 9', replace(name, '-', ' '), n || ' Some St', name || ' ' || (i % 3 + 4) || 'F', 'lot ' || left(n::VARCHAR, 2)]) AS label FROM s),
+o AS (SELECT 1 AS ordinal, 'ZEBRA ' || n || 'C' AS w, i FROM s WHERE i % 4 = 0 UNION ALL SELECT 2, 'ZEBRA', i FROM s WHERE i < 3),
+h AS (SELECT label, ordinal, i FROM l JOIN o ON contains(upper(label), w)),
+f AS (SELECT label, 0 AS tier, i FROM h WHERE ordinal = (SELECT min(ordinal) FROM h AS g WHERE g.label = h.label)
+ UNION ALL SELECT label, 1, i FROM l JOIN s ON regexp_replace(label, '[^0-9]', '', 'g') = s
+ UNION ALL SELECT label, 2, i FROM (SELECT label, unnest(regexp_extract_all(label, '[0-9]{{3,}}')) AS r FROM l) JOIN s ON starts_with(s, r)
+ UNION ALL SELECT label, 3, i FROM l JOIN s ON starts_with(regexp_replace(label, '[^0-9]', '', 'g'), s)),
+t AS (SELECT *, min(tier) OVER (PARTITION BY label) AS best FROM f)
+SELECT l.label, any_value(best) AS tier, coalesce(array_to_string(list_sort(list(DISTINCT i) FILTER (WHERE i IS NOT NULL)), ','), '') AS buildings FROM l LEFT JOIN t ON t.label = l.label AND tier = best GROUP BY l.label""").replace("{{3,}}", "{3,}"),
     "fn18_document_buildings": duck("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE count(DISTINCT building_id) END AS n_buildings, CASE WHEN doc_id % 3 = 2 THEN '' ELSE string_agg(DISTINCT building_id::VARCHAR, ',' ORDER BY building_id::VARCHAR) END AS buildings, CASE WHEN doc_id % 3 = 2 THEN 'none 0' || doc_id ELSE '' END AS unresolved FROM (SELECT DISTINCT lease_id % 400 AS doc_id, building_id FROM {leases}) GROUP BY doc_id"),
 }

@@ -72,7 +72,7 @@ FRAMES: dict[str, str] = {
         for reader in (1, 2, 3)
     ),
     "journal": """SELECT user_id AS path, event_type AS status, event_id AS ordinal, ts FROM {events}""",
-    "money": """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '$' || a WHEN 1 THEN '(' || a || ')' WHEN 2 THEN a || '-' WHEN 3 THEN '-' || a WHEN 4 THEN '  ' || a || ' ' ELSE CASE WHEN c_custkey % 4 = 1 THEN '.' WHEN c_custkey % 4 = 3 THEN 'n/a' ELSE '' END END AS s
+    "money": """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '$' || a WHEN 1 THEN '(' || a || ')' WHEN 2 THEN a || '-' WHEN 3 THEN '-' || a WHEN 4 THEN '  ' || a || ' ' ELSE CASE WHEN c_custkey % 8 = 5 THEN '12.34.56' WHEN c_custkey % 4 = 1 THEN '.' WHEN c_custkey % 4 = 3 THEN 'n/a' ELSE '' END END AS s
         FROM (SELECT c_custkey, cast(cast(floor(abs(c_acctbal)) AS bigint) AS string) || CASE c_custkey % 4 WHEN 0 THEN '.5' WHEN 1 THEN '.25' WHEN 2 THEN '' ELSE '.999' END AS a FROM {customer}) m""",
 }
 

@@ -67,15 +67,21 @@ def lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "page_no", (F.col("at") + 1).alias("line_no"), "line")
 
 
+#: Fixed value: a row's date.
+ROW_DATE = r"^\d{1,2}/\d{1,2}(/\d{2,4})?$"
+
+
 def _found(text: str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def header(pages: DataFrame, layout: Layout) -> DataFrame:
-    """Per document: period, balances in cents, account, and the first field that is missing."""
-    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p.text), "\n").alias("all"), F.max(F.when(F.col("page_no") == 1, F.col("text"))).alias("head"))
-    day = lambda g: F.try_to_date(_found("head", layout.period, g), "MM/dd/yyyy")
-    parts = docs.select("doc_id", day(1).alias("period_start"), day(2).alias("period_end"), to_cents(_found("all", layout.opening)).alias("opening"), to_cents(_found("all", layout.closing)).alias("closing"), _found("head", layout.last4).alias("account_last4"))
+    """Per document: period, balances in cents, account, and the first field that is missing.
+    Fields are read page by page, the first page that has one decides: no document is gathered."""
+    first = lambda pattern: F.min_by(_found("text", pattern), F.when(F.col("text").rlike(pattern), F.col("page_no")))
+    docs = pages.groupBy("doc_id").agg(first(layout.opening).alias("opening"), first(layout.closing).alias("closing"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 1))).alias("since"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 2))).alias("until"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.last4))).alias("account_last4"))
+    day = lambda c: F.try_to_date(c, "MM/dd/yyyy")
+    parts = docs.select("doc_id", day("since").alias("period_start"), day("until").alias("period_end"), to_cents(F.col("opening")).alias("opening"), to_cents(F.col("closing")).alias("closing"), "account_last4")
     missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"could not locate {what}")) for c, what in (("period_end", "statement period"), ("opening", "opening balance"), ("closing", "closing balance"), ("account_last4", "account number"))])
     return parts.withColumn("problem", missing)
 
@@ -102,7 +108,7 @@ def fixed_width(pages: DataFrame, layout: Layout) -> DataFrame:
         at = F.filter(F.transform("s", lambda c, i: F.struct(c.key.alias("key"), F.when(i == 0, 1).otherwise(c.start).alias("lo"), F.coalesce(F.get("s", i + 1).start, F.lit(1 << 20)).alias("hi"))), lambda c: c.key == key)[0]
         return F.coalesce(F.btrim(F.substring("line", at.lo, at.hi - at.lo)), F.lit(""))
 
-    cut = rows.select("doc_id", "page_no", "line_no", *[cell(k).alias(k) for k in ("date", "desc", "check", "debit", "credit")]).where(F.col("date").rlike(r"^\d{1,2}/\d{1,2}(/\d{2,4})?$") & (F.concat("debit", "credit") != ""))
+    cut = rows.select("doc_id", "page_no", "line_no", *[cell(k).alias(k) for k in ("date", "desc", "check", "debit", "credit")]).where(F.col("date").rlike(ROW_DATE) & (F.concat("debit", "credit") != ""))
     both = (F.col("debit") != "") & (F.col("credit") != "")
     amount = F.when(~both, F.when(F.col("debit") != "", -F.abs(to_cents(F.col("debit")))).otherwise(F.abs(to_cents(F.col("credit")))))
     return _transactions(cut.select("doc_id", "page_no", "line_no", "date", "desc", "check", amount.alias("amount"), F.when(both, "debit and credit in one row").alias("problem")), header(pages, layout))
