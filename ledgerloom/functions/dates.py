@@ -34,3 +34,13 @@ def days_between(a: Column, b: Column) -> Column:
 
 def age(day: Column, as_of: Column) -> Column:
     return F.datediff(as_of, day)
+
+
+def day_range(day: Column, days: int) -> Column:
+    """Number of the range of ``days`` days that a day lies in."""
+    return F.floor(F.unix_date(day) / max(days, 1))
+
+
+def near_days(day: Column, days: int) -> Column:
+    """The ranges of days that are at most ``days`` away: a key for joins within a window."""
+    return F.array(*[day_range(day, days) + i for i in (-1, 0, 1)])

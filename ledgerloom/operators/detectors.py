@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions import text as tx
 from ..plans.domain import Domain, duck
 from ..plans.shared import write_once
@@ -19,6 +20,8 @@ from .views import continuity
 BANK_DAYS, DEPOSIT_DAYS, TRANSFER_DAYS, PAYEE, STALE_DAYS = 45, 30, 5, 0.4, 30
 #: Rows of an amount after which transfers are paired in another group, at the next gap.
 RUN_ROWS = 4096
+#: Rows of a run that are paired in one task, whole days.
+PART_ROWS = 1 << 16
 #: Groups in which runs travel, for each shuffle partition.
 GROUPS = 8
 FINDING = ("kind", "severity", "building_id", "lease_id", "txn_id", "amount", "signature", "detail")
@@ -48,15 +51,16 @@ def unexplained_debit(txns: DataFrame, leases: DataFrame, days: int = BANK_DAYS)
     """Days are cut into ranges of the window's length, and a move-out stands in its own
     and both neighbouring ranges: the join key is (building, range), never a whole building."""
     gone = leases.select(F.col("building_id").alias("b"), F.coalesce("keys_on", "vacated_on").alias("gone")).where("gone IS NOT NULL")
-    near = gone.select("b", "gone", F.explode(F.array(*[F.floor(F.unix_date("gone") / days) + i for i in (-1, 0, 1)])).alias("r"))
-    t = _refunds(txns.where("account_type = 'escrow'")).withColumn("r0", F.floor(F.unix_date("posted_on") / days))
+    near = gone.select("b", "gone", F.explode(dates.near_days(F.col("gone"), days)).alias("r"))
+    t = _refunds(txns.where("account_type = 'escrow'")).withColumn("r0", dates.day_range(F.col("posted_on"), days))
     left = t.join(near, (t.building_id == near.b) & (t.r0 == near.r) & (F.abs(F.datediff("posted_on", "gone")) <= days), "left_anti")
     return finding(left, "unexplained_debit", "critical", F.col("txn_id"), txn="txn_id", posted_on="posted_on", descriptor="descriptor")
 
 
 def deposit_never_banked(txns: DataFrame, leases: DataFrame, days: int = DEPOSIT_DAYS) -> DataFrame:
-    t = txns.where("account_type = 'escrow'").select(F.col("building_id").alias("b"), F.col("amount").alias("a"), "posted_on")
-    left = leases.join(t, (leases.building_id == t.b) & (leases.deposit == t.a) & (F.abs(F.datediff(F.coalesce("signed_on", "term_start"), "posted_on")) <= days), "left_anti")
+    t = txns.where("account_type = 'escrow'").select(F.col("building_id").alias("b"), F.col("amount").alias("a"), "posted_on", F.explode(dates.near_days(F.col("posted_on"), days)).alias("r"))
+    anchor = F.coalesce("signed_on", "term_start")
+    left = leases.join(t, (leases.building_id == t.b) & (leases.deposit == t.a) & (dates.day_range(anchor, days) == F.col("r")) & (F.abs(F.datediff(anchor, "posted_on")) <= days), "left_anti")
     return finding(left, "deposit_never_banked", "critical", F.col("lease_id"), lease="lease_id", amount="deposit", unit="unit", tenant="tenant", anchor=F.coalesce("signed_on", "term_start"), within_days=F.lit(days))
 
 
@@ -87,52 +91,106 @@ def escrow_to_operating(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     return finding(j, "escrow_to_operating", "high", F.col("txn_id"), txn="txn_id", descriptor="descriptor", counterparty="counterparty")
 
 
+PAIR = "building_id long, txn_id long, to_building long, to_txn long, amount long"
+
+
 def pair_transfers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy one-to-one pairing within each (size, run): each debit, by day and id, takes the
-    first free credit, by day and id, of another building within the window."""
-    rows = rows.sort_values(["size", "run", "posted_on", "txn_id"])
+    """Greedy one-to-one pairing within each (size, run, part): each debit, by day and id, takes
+    the first free credit, by day and id, of another building within the window."""
+    by = [c for c in ("size", "run", "part") if c in rows]
+    rows = rows.sort_values([*by, "posted_on", "txn_id"])
     day = pd.to_datetime(rows["posted_on"]).to_numpy().astype("datetime64[D]").astype("int64")
-    group = rows.groupby(["size", "run"], sort=False).ngroup().to_numpy()
+    group = rows.groupby(by, sort=False).ngroup().to_numpy()
     place = group * (1 << 32) + day  # days of one group never meet another's
     building, txn, amount = (rows[c].to_numpy() for c in ("building_id", "txn_id", "amount"))
     debits, credits = (amount < 0).nonzero()[0], (amount > 0).nonzero()[0]
     window = int(rows["window"].iloc[0]) if len(rows) else 0
     low, high = (place[credits].searchsorted(place[debits] + s * window, side) for s, side in ((-1, "left"), (1, "right")))
-    free = [True] * len(credits)
+    after = list(range(len(credits) + 1))  # the next credit that may be free, with paths cut short
+
+    def free_from(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
     out = []
     for d, first, stop in zip(debits.tolist(), low.tolist(), high.tolist(), strict=True):
-        for i in range(first, stop):
+        i = free_from(first)
+        while i < stop and building[credits[i]] == building[d]:
+            i = free_from(i + 1)
+        if i < stop:
+            after[i] = i + 1
             c = credits[i]
-            if free[i] and building[c] != building[d]:
-                free[i] = False
-                out.append((building[d], txn[d], building[c], txn[c], amount[d]))
-                break
+            out.append((building[d], txn[d], building[c], txn[c], amount[d]))
     return pd.DataFrame(out, columns=["building_id", "txn_id", "to_building", "to_txn", "amount"])
 
 
-def transfer_runs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
+def transfer_runs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS, part: int | None = None) -> DataFrame:
     """Rows of amounts (size) that some debit and some credit of different buildings share
     within the window, in runs: an amount is cut where no row lies within the window of the
     day before, since no pair and no choice reaches over such a gap; runs that start within
-    ``most`` rows are one."""
+    ``most`` rows are one.  With ``part``, a run's days are dealt to parts of about so many rows."""
     t = txns.where("account_type = 'escrow' AND amount <> 0").select("txn_id", "building_id", "amount", "posted_on", F.abs("amount").alias("size"))
-    c = t.where("amount > 0").select(F.col("size").alias("s"), F.col("building_id").alias("b"), F.col("posted_on").alias("p"))
-    d = t.where("amount < 0")
-    shared = d.join(c, (d.size == c.s) & (d.building_id != c.b) & (F.abs(F.datediff("posted_on", "p")) <= days), "left_semi").select("size").distinct()
+    # of the credits of an amount and day all that matters here is whether there are two buildings, or which one
+    c = t.where("amount > 0").groupBy(F.col("size").alias("s"), F.col("posted_on").alias("p")).agg(F.min("building_id").alias("lo"), F.max("building_id").alias("hi"))
+    c = c.select("s", "p", "lo", "hi", F.explode(dates.near_days(F.col("p"), days)).alias("r"))
+    d = t.where("amount < 0").select("size", "building_id", "posted_on").distinct()
+    shared = d.join(c, (d.size == c.s) & (dates.day_range(F.col("posted_on"), days) == c.r) & ((d.building_id != c.lo) | (d.building_id != c.hi)) & (F.abs(F.datediff("posted_on", "p")) <= days), "left_semi").select("size").distinct()
     t = t.join(shared, "size")
     by = Window.partitionBy("size").orderBy("posted_on")  # one row a day, however many an amount has
-    dates = t.groupBy("size", "posted_on").agg(F.count("*").alias("n")).withColumn("gap", F.datediff("posted_on", F.lag("posted_on").over(by)) > days)
+    days_of = t.groupBy("size", "posted_on").agg(F.count("*").alias("n")).withColumn("gap", F.datediff("posted_on", F.lag("posted_on").over(by)) > days)
     before = F.sum("n").over(by) - F.col("n")
-    dates = dates.withColumn("cut", F.when(F.col("gap"), F.floor(before / most)).otherwise(0))
-    runs = dates.select(F.col("size").alias("s"), F.col("posted_on").alias("p"), F.max("cut").over(by).alias("run"))
+    days_of = days_of.withColumn("cut", F.when(F.col("gap"), F.floor(before / most)).otherwise(0)).withColumn("part", F.floor(before / part) if part else F.lit(0))
+    runs = days_of.select(F.col("size").alias("s"), F.col("posted_on").alias("p"), F.max("cut").over(by).alias("run"), *(["part"] if part else []))
     return t.join(runs, (t.size == runs.s) & t.posted_on.eqNullSafe(runs.p)).drop("s", "p").withColumn("window", F.lit(days))
 
 
-def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS) -> DataFrame:
-    """Debits paired with credits of equal amount elsewhere. Runs travel together in groups, as
-    most hold few rows."""
-    group = F.pmod(F.xxhash64("size", "run"), F.lit(GROUPS * int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return transfer_runs(txns, days, most).groupBy(group).applyInPandas(pair_transfers, "building_id long, txn_id long, to_building long, to_txn long, amount long")
+def _paired(rows: DataFrame) -> DataFrame:
+    """Runs or parts of runs travel together in groups, as most hold few rows."""
+    by = [c for c in ("size", "run", "part") if c in rows.columns]
+    group = F.pmod(F.xxhash64(*by), F.lit(GROUPS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.groupBy(group).applyInPandas(pair_transfers, PAIR)
+
+
+def transfer_pairs(txns: DataFrame, days: int = TRANSFER_DAYS, most: int = RUN_ROWS, part: int = PART_ROWS) -> DataFrame:
+    """Debits paired with credits of equal amount elsewhere, as if one by one.
+
+    A run of more than about ``part`` rows is paired in parts of whole days, at once: each
+    part's debits choose among the credits within the window, then whatever credit an earlier
+    part has chosen is taken from the later ones, and the parts for which that makes a
+    difference choose again.  Earlier debits come first in the one-by-one order too, so the
+    first part is final at once, and every round makes at least one more part final; when
+    nothing changes, the choices are those of one task.  Mostly a few rounds do, since choices
+    part ways only where credits are short.  A part holds at least a day of its amount."""
+    rows = transfer_runs(txns, days, most, part)
+    rows = write_once(rows)
+    long = write_once(rows.groupBy("size", "run").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("size", "run"))
+    short = _paired(rows.join(long, ["size", "run"], "left_anti").drop("part"))
+    if long.isEmpty():
+        return short
+    own = rows.join(long, ["size", "run"], "left_semi")
+    days_of = own.where("amount < 0").select("size", "run", F.col("part").alias("to_part"), "posted_on").distinct()
+    reach = days_of.select("size", "run", "to_part", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda i: F.date_add("posted_on", i))).alias("posted_on")).distinct()
+    credits = own.where("amount > 0").drop("part").join(reach, ["size", "run", "posted_on"]).withColumnRenamed("to_part", "part")
+    seen = write_once(own.where("amount < 0").unionByName(credits))
+    place = seen.where("amount < 0").select("txn_id", "size", "run", "part")
+    chosen = write_once(_paired(seen).join(place, "txn_id"))
+    taken = None
+    while True:
+        c = chosen.select(F.col("to_txn").alias("txn_id"), F.col("part").alias("by_part"))
+        now = write_once(seen.where("amount > 0").join(c.groupBy("txn_id").agg(F.min("by_part").alias("by_part")), "txn_id").where("by_part < part").select("size", "run", "part", "txn_id"))
+        if taken is None:
+            changed = now
+        else:
+            changed = now.join(taken, now.columns, "left_anti").union(taken.join(now, now.columns, "left_anti"))
+        changed = write_once(changed.select("size", "run", "part").distinct())
+        if changed.isEmpty():
+            return short.unionByName(chosen.select(*short.columns))
+        again = seen.join(changed, ["size", "run", "part"], "left_semi").join(now, ["size", "run", "part", "txn_id"], "left_anti")
+        kept = chosen.join(changed, ["size", "run", "part"], "left_anti")
+        chosen = write_once(kept.unionByName(_paired(again).join(place, "txn_id")))
+        taken = now
 
 
 def inter_building_transfer(txns: DataFrame, days: int = TRANSFER_DAYS) -> DataFrame:
@@ -228,11 +286,14 @@ def _d(**fields: str) -> str:
 _REF = "t.amount < 0 AND regexp_matches(t.descriptor, 'refund|check\\s*paid|return|disburse', 'i')"
 _MR = "{txns} t JOIN {matches} m USING (txn_id) JOIN {leases} l ON l.lease_id = m.lease_id WHERE " + _REF
 _NORM, _PAY, _GRAM = tx.sql_name, tx.sql_payer("t.descriptor"), tx.sql_trigrams
+#: Refunds first, then their matches; trigrams of every distinct name once.
+_NAMED = f"(WITH r AS MATERIALIZED (SELECT * FROM {{txns}} t WHERE {_REF}), k AS MATERIALIZED (SELECT m.txn_id, m.lease_id FROM {{matches}} m SEMI JOIN r USING (txn_id)) SELECT t.txn_id, t.building_id, l.lease_id, l.tenant, t.amount, coalesce(nullif({_NORM('t.counterparty')}, ''), {_PAY}) AS p, {_NORM('l.tenant')} AS q FROM r t JOIN k USING (txn_id) JOIN {{leases}} l ON l.lease_id = k.lease_id) WHERE p <> ''"
+_GRAMS = f"(SELECT w, {_GRAM('w')} AS x FROM (SELECT p AS w FROM {_NAMED} UNION SELECT q FROM {_NAMED}))"
 _CONT = "(SELECT b.building_id, b.period_start, b.opening, a.period_end AS pe, a.closing AS pc FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) a JOIN (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY period_start, period_end, statement_id) AS n FROM {statements} WHERE checksum_ok) b ON a.building_id = b.building_id AND b.n = a.n + 1)"
 _SQL = {
     "det01_unexplained_debit": _f("unexplained_debit", "critical", "txn_id", "{txns} t WHERE account_type = 'escrow' AND " + _REF + " AND NOT EXISTS (SELECT 1 FROM {leases} l WHERE l.building_id = t.building_id AND abs(coalesce(l.keys_on, l.vacated_on) - t.posted_on) <= 45)", txn="txn_id", detail=_d(posted_on="posted_on", descriptor="descriptor")),
     "det02_deposit_never_banked": _f("deposit_never_banked", "critical", "lease_id", "{leases} l WHERE NOT EXISTS (SELECT 1 FROM {txns} t WHERE t.account_type = 'escrow' AND t.building_id = l.building_id AND t.amount = l.deposit AND abs(coalesce(l.signed_on, l.term_start) - t.posted_on) <= 30)", lease="lease_id", amount="deposit", detail=_d(unit="unit", tenant="tenant", anchor="coalesce(signed_on, term_start)", within_days="30")),
-    "det03_refund_payee_mismatch": _f("refund_payee_mismatch", "critical", "txn_id", f"(SELECT *, list_distinct(list_concat(x, y)) AS u FROM (SELECT *, {_GRAM('p')} AS x, {_GRAM('q')} AS y FROM (SELECT t.txn_id, t.building_id, l.lease_id, l.tenant, t.amount, coalesce(nullif({_NORM('t.counterparty')}, ''), {_PAY}) AS p, {_NORM('l.tenant')} AS q FROM {_MR}) WHERE p <> '')) WHERE len(list_intersect(x, y)) / len(u) < 0.4", lease="lease_id", txn="txn_id", detail=_d(payee="p", tenant_of_record="tenant", similarity="round(len(list_intersect(x, y)) / len(u), 3)")),
+    "det03_refund_payee_mismatch": _f("refund_payee_mismatch", "critical", "txn_id", f"(SELECT r.*, n / (len(a.x) + len(b.x) - n) AS s FROM (SELECT * FROM {_NAMED}) r JOIN {_GRAMS} a ON a.w = r.p JOIN {_GRAMS} b ON b.w = r.q, LATERAL (SELECT len(list_intersect(a.x, b.x)) AS n)) WHERE s < 0.4", lease="lease_id", txn="txn_id", detail=_d(payee="p", tenant_of_record="tenant", similarity="round(s, 3)")),
     "det04_refund_without_vacate": _f("refund_without_vacate", "high", "txn_id", _MR + " AND l.vacated_on IS NULL AND l.keys_on IS NULL", building="t.building_id", lease="l.lease_id", txn="txn_id", detail=_d(tenant="l.tenant", posted_on="posted_on")),
     "det05_duplicate_refund": _f("duplicate_refund", "high", "lease_id", "(SELECT l.lease_id, l.building_id, sum(t.amount) AS amount, count(*) AS n, list(t.txn_id ORDER BY t.posted_on, t.txn_id) AS ids, list(t.posted_on ORDER BY t.posted_on, t.txn_id) AS days FROM " + _MR + " GROUP BY 1, 2 HAVING count(*) >= 2)", lease="lease_id", detail=_d(count="n", transaction_ids="ids", posted="days")),
     "det06_escrow_to_operating": _f("escrow_to_operating", "high", "txn_id", "{txns} t WHERE account_type = 'escrow' AND amount < 0 AND (regexp_matches(descriptor, 'transfer|xfer|to\\s+oper|to\\s+dda|to\\s+checking', 'i') OR EXISTS (SELECT 1 FROM {accounts} a WHERE a.account_type = 'operating' AND contains(t.counterparty, a.last4)))", txn="txn_id", detail=_d(descriptor="descriptor", counterparty="counterparty")),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions import text as tx
 from ..plans.domain import Domain, duck
 from ..plans.shared import write_once
@@ -28,9 +29,10 @@ def without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
 
 def exact_tier(txns: DataFrame, ledger: DataFrame, leases: DataFrame, o: Options = Options()) -> DataFrame:
     """Transactions with exactly one ledger entry of their building and amount within the
-    window; confidence 1 where the check number stands in its note."""
-    g = ledger.join(leases.select("lease_id", "building_id"), "lease_id").select(F.col("building_id").alias("b"), F.col("amount").alias("a"), "entry_date", "ledger_id", "lease_id", "note")
-    j = txns.join(g, (txns.building_id == g.b) & (txns.amount == g.a) & (F.abs(F.datediff("posted_on", "entry_date")) <= o.days))
+    window; confidence 1 where the check number stands in its note.  Days are part of the
+    join's key: a building's usual amount meets itself only in neighbouring ranges of days."""
+    g = ledger.join(leases.select("lease_id", "building_id"), "lease_id").select(F.col("building_id").alias("b"), F.col("amount").alias("a"), "entry_date", "ledger_id", "lease_id", "note", F.explode(dates.near_days(F.col("entry_date"), o.days)).alias("r"))
+    j = txns.join(g, (txns.building_id == g.b) & (txns.amount == g.a) & (dates.day_range(F.col("posted_on"), o.days) == F.col("r")) & (F.abs(F.datediff("posted_on", "entry_date")) <= o.days))
     # one row for each transaction after the map-side step: a count and its only candidate
     one = j.groupBy("txn_id").agg(F.count("*").alias("n"), F.min(F.struct("ledger_id", "lease_id", F.coalesce(F.contains("note", F.col("check_no")), F.lit(False)).alias("check"))).alias("c"))
     return one.where("n = 1").select("txn_id", F.col("c.ledger_id").alias("ledger_id"), F.col("c.lease_id").alias("lease_id"), F.lit("exact").alias("method"), F.when(F.col("c.check"), 1.0).otherwise(0.95).alias("confidence"))

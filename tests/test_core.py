@@ -86,3 +86,33 @@ def test_transfers_of_a_common_amount_are_paired_in_runs_of_days(spark):
     for most in (1, 25, 4096):
         assert sorted(map(tuple, detectors.transfer_pairs(txns, 5, most).collect())) == sorted(want.itertuples(index=False, name=None))
     assert max(r["count"] for r in detectors.transfer_runs(txns, 5, 1).groupBy("size", "run").count().collect()) <= 9
+
+
+def test_parts_of_a_long_run_are_paired_as_one(spark):
+    """A common amount on every day, of few buildings, with too few credits on many days."""
+    import datetime
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(8)
+    start = datetime.date(2020, 1, 1)
+    rows = []
+    for day in range(120):
+        share = rng.choice((0.2, 0.5, 0.8))
+        rows += [(len(rows) + k, rng.randrange(3), 500 if rng.random() < share else -500, start + datetime.timedelta(days=day), "escrow") for k in range(rng.randrange(1, 9))]
+    rows += [(9000, 1, -700, start, "escrow"), (9001, 2, 700, start, "escrow")]
+    txns = spark.createDataFrame(rows, "txn_id long, building_id long, amount long, posted_on date, account_type string")
+    whole = pd.DataFrame(rows, columns=txns.columns).assign(window=5, run=0, size=lambda x: x["amount"].abs())
+    want = sorted(x for _, g in whole.groupby("size") for x in detectors.pair_transfers((), g).itertuples(index=False, name=None))
+    # the rule itself, one debit after another
+    plain, used = [], set()
+    by_day = sorted(rows, key=lambda r: (r[3], r[0]))
+    for d in (r for r in by_day if r[2] < 0):
+        c = next((c for c in by_day if c[2] == -d[2] and c[1] != d[1] and c[0] not in used and abs((c[3] - d[3]).days) <= 5), None)
+        if c:
+            used.add(c[0])
+            plain.append((d[1], d[0], c[1], c[0], d[2]))
+    assert want == sorted(plain) and len(want) > 100
+    for part in (20, 100):
+        assert sorted(map(tuple, detectors.transfer_pairs(txns, 5, 4096, part).collect())) == want
