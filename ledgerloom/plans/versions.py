@@ -193,7 +193,7 @@ class Store:
         from the counts: rows inserted, updated (as if one by one) and changed in the end."""
         keys = self.keys[table]
         seed = seed or {}
-        first, last = F.min_by(F.struct(*[c.alias(n) for n, c in seed.items()] or [F.lit(0).alias("_")]), ordinal), F.max_by(F.struct(*[c.alias(n) for n, c in update.items()]), ordinal)
+        first, last = F.min_by(F.struct(*[c.alias(n) for n, c in seed.items()] or [F.lit(0).alias("_")]), ordinal), F.max_by(F.struct(*[c.alias(n) for n, c in update.items()] or [F.lit(0).alias("_")]), ordinal)
         one = new.groupBy(*keys).agg(first.alias("_first"), last.alias("_last"), F.count("*").alias("_n")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
         touched = one.select("bucket").distinct()
         n = one.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], "_first", "_last", "_n", F.col("bucket").alias("_bucket"))
