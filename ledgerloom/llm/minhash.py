@@ -48,9 +48,9 @@ CHUNKS, WIDTH, ERRORS = 14, 5, 1
 SIZE = CHUNKS * WIDTH
 #: Bits of the exact filter.
 BITS = 1024
-#: Groups of keys for each shuffle partition; nodes of a key that are compared with each other
-#: at once; pairs that a task holds.
-KEY_GROUPS, BLOCK, CHUNK = 8, 4096, 1 << 16
+#: Rows of a group of keys (about 300 bytes each, held in a task a few times); nodes of a key
+#: that are compared with each other at once; pairs that a task holds.
+GROUP_ROWS, BLOCK, CHUNK = 1 << 14, 4096, 1 << 16
 #: The distance that the index guarantees.
 REACH = CHUNKS * (ERRORS + 1) - 1
 #: Fixed odd multipliers of the hash functions, from a rule.
@@ -208,13 +208,14 @@ def apart_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     """Candidate pairs between components, from the keys whose nodes lie in several."""
     labelled = shared.join(labels, "node", "left").select("key", "size", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(split, "key", "left_semi")
+    rest = durable(labelled.join(split, "key", "left_semi"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.hash("node"), blocks)
     slots = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
     dealt = rest.select("key", "node", "label", F.explode(slots).alias("slot")).join(nodes.select("node", "n", "sig", "bits"), "node")
-    # Keys travel together in groups, as most hold few nodes.
-    group = F.pmod(F.xxhash64("key", "slot"), F.lit(KEY_GROUPS * shuffle_partitions(shared)))
+    # Keys travel together, as most hold few nodes, in groups that do not grow with the table.
+    total = rest.agg(F.sum(blocks)).first()[0] or 0
+    group = F.pmod(F.xxhash64("key", "slot"), F.lit(max(shuffle_partitions(shared), -(-total // GROUP_ROWS))))
     return dealt.groupBy(group).applyInArrow(lambda key, rows: cross_pairs(key, rows, percent, every), "a long, b long").distinct()
 
 
