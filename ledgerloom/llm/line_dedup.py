@@ -411,16 +411,16 @@ def concern(rows: pa.Table, percent: int) -> pa.Table:
     by_line = np.lexsort((x["line"], x["k1"]))
     rank[by_line] = np.arange(len(order))
     earliest, closest = np.full((2, len(order)), 1 << 62)
-    held = []
+    some = 0
     for a, b, differ in passing(group, x, percent):
         ok = x["open"][b]
         a, b, differ = a[ok], b[ok], differ[ok]
         np.minimum.at(earliest, b, rank[a])
         np.minimum.at(closest, b, (differ << 40) | rank[a])
-        held.append((a, b))
+        some += len(a)
     keep = np.zeros(len(order), bool)
-    for a, b in held:
-        ok = (rank[a] != earliest[b]) & (rank[a] != closest[b] & ((1 << 40) - 1))
+    for a, b, _ in passing(group, x, percent) if some else ():  # again, as the pairs have no bound
+        ok = x["open"][b] & (rank[a] != earliest[b]) & (rank[a] != closest[b] & ((1 << 40) - 1))
         keep[a[ok]] = keep[b[ok]] = True
     return rows.take(pa.array(order[keep]))
 

@@ -204,8 +204,9 @@ def cross_pairs(key: tuple, rows: pa.Table, percent: int, every: bool) -> pa.Tab
     return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
-def apart_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs between components, from the keys whose nodes lie in several."""
+def apart_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs between components, from the keys whose nodes lie in several, and the
+    table of those that they are made from."""
     labelled = shared.join(labels, "node", "left").select("key", "size", "node", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rest = durable(labelled.join(split, "key", "left_semi"))
@@ -216,7 +217,7 @@ def apart_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     # Keys travel together, as most hold few nodes, in groups that do not grow with the table.
     total = rest.agg(F.sum(blocks)).first()[0] or 0
     group = F.pmod(F.xxhash64("key", "slot"), F.lit(max(shuffle_partitions(shared), -(-total // GROUP_ROWS))))
-    return dealt.groupBy(group).applyInArrow(lambda key, rows: cross_pairs(key, rows, percent, every), "a long, b long").distinct()
+    return dealt.groupBy(group).applyInArrow(lambda key, rows: cross_pairs(key, rows, percent, every), "a long, b long").distinct(), rest
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +246,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     labels = components(links)
     every = False
     while True:
-        more = durable(apart_pairs(shared, nodes, labels, percent, every).join(tested, ["a", "b"], "left_anti"))
+        pairs, rest = apart_pairs(shared, nodes, labels, percent, every)
+        more = durable(pairs.join(tested, ["a", "b"], "left_anti"), spent=[rest])
         new = durable(confirm(more))
         found = not new.isEmpty()
         if found:
