@@ -4,12 +4,14 @@ wherever the rows go; orders over many rows are ranks within a building."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.domain import AS_OF, Domain, duck
-from . import custody, detectors, gates, views
+from ..plans.shared import write_once
+from . import custody, deadlines, detectors, gates, views
 
 #: Extraction methods whose figures a machine read.
 MACHINE_READ = ("text_layer", "csv")
@@ -85,15 +87,42 @@ def domain_violations(rows: DataFrame, key: str, domains: dict[str, tuple[str, .
     return rows.select(key, F.explode(bad).alias("b")).select(key, "b.column", "b.value")
 
 
-def write_report(tieout: DataFrame, findings: DataFrame, path: str) -> None:
+def summary(tieout: DataFrame, latest: DataFrame, statements: DataFrame, findings: DataFrame, match_rate: DataFrame, deadlines: DataFrame) -> DataFrame:
+    """The report's other frames as rows (section, key, n, amount): the portfolio over buildings
+    with a statement and those without, how passing statements were read, findings by severity
+    and by kind, the match rate, open deadlines.  ``latest`` has each building's last statement,
+    ``statements`` have their method; aggregates of a few rows each."""
+    row = lambda df, section, key, n, amount=None: df.select(F.lit(section).alias("section"), (F.lit(key) if isinstance(key, str) else key).alias("key"), n.cast("long").alias("n"), (F.lit(None) if amount is None else amount).cast("long").alias("amount"))
+    has = F.col("bank_total").isNotNull()
+    t = tieout.agg(F.count("*").alias("all"), F.count(F.when(has, 1)).alias("with"), *[F.sum(F.when(has, F.col(c))).alias(a) for a, c in (("bank", "bank_total"), ("expected", "expected_total"), ("variance", "expected_variance"))])
+    one = F.lit(1)
+    parts = [
+        row(t, "portfolio", "buildings", F.col("all")),
+        row(t, "portfolio", "reconciled", F.col("with")),
+        row(t, "portfolio", "without a statement", F.col("all") - F.col("with")),
+        *[row(t, "portfolio", k, F.col("with"), F.col(k)) for k in ("bank", "expected", "variance")],
+        row(latest.agg(F.count(F.when(~F.col("checksum_ok"), one)).alias("bad")), "portfolio", "checksum failed", F.col("bad")),
+        row(extraction_mix(statements), "provenance", F.concat_ws(", ", "method", "class"), F.col("n")),
+        row(detectors.counts(findings), "findings", F.coalesce("kind", "severity"), F.col("n"), F.col("amount")),
+        *[row(match_rate, "matching", k, F.col(k)) for k in ("transactions", "matched", "approved")],
+        row(deadlines.agg(F.count("*").alias("open")), "deadlines", "open", F.col("open")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(tieout: DataFrame, findings: DataFrame, path: str, rest: DataFrame | None = None) -> None:
     """The tie-out and the findings as a Markdown file and a JSON one.  Both frames have one
     row a building or a kind, so they are rendered on the driver, and Spark writes them."""
     spark = tieout.sparkSession
     buildings = [r.asDict() for r in tieout.orderBy("place").collect()]
     kinds = [r.asDict() for r in findings.orderBy("place").collect()]
     table = lambda rows: [] if not rows else ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *("| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |" for r in rows)]
-    text = "\n".join(["# Reconciliation", "", "## Tie-out by building", "", *table(buildings), "", "## Findings", "", *table(kinds), ""])
-    for name, body in (("markdown", text), ("json", json.dumps({"buildings": buildings, "findings": kinds}, default=str))):
+    sections: dict[str, list[dict]] = {}
+    for r in rest.collect() if rest is not None else []:  # a few rows a section
+        sections.setdefault(r["section"], []).append({"key": r["key"], "n": r["n"], "amount": r["amount"]})
+    more = [line for name, rows in sections.items() for line in (f"## {name.capitalize()}", "", *table(rows), "")]
+    text = "\n".join(["# Reconciliation", "", *more, "## Tie-out by building", "", *table(buildings), "", "## Findings", "", *table(kinds), ""])
+    for name, body in (("markdown", text), ("json", json.dumps({"buildings": buildings, "findings": kinds} | sections, default=str))):
         spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
@@ -125,6 +154,14 @@ def _mix(d: Domain) -> DataFrame:
     return extraction_mix(d.statements.withColumn("method", F.element_at(methods, (F.col("statement_id") % 4 + 1).cast("int"))))
 
 
+def _summary(d: Domain) -> DataFrame:
+    methods = F.array(*map(F.lit, ("text_layer", "csv", "ocr", "vision")))
+    read = d.statements.withColumn("method", F.element_at(methods, (F.col("statement_id") % 4 + 1).cast("int")))
+    tie = write_once(views.building_tieout(d.buildings, d.leases, d.ledger, d.statements))
+    rate = write_once(views.match_rate(d.txns, d.matches))
+    return summary(tie, views.latest_statement(d.statements), read, detectors.all_findings(d), rate, deadlines.open_deadlines(d.leases, d.ledger))
+
+
 def _domains(d: Domain) -> DataFrame:
     i = F.col("custody_id")
     return domain_violations(d.custody.select("custody_id", F.when(i % 100 == 0, "half").otherwise(F.col("kind")).alias("kind"), F.when(i % 150 == 0, "lost").when(i % 151 == 0, F.lit(None)).otherwise(F.col("stage")).alias("stage")), "custody_id")
@@ -137,6 +174,7 @@ def _q(f, prepared: bool = False):
 QUERIES = {
     "rpt01_tieout": _q(_tie, True), "rpt02_findings": _q(lambda d: findings_report(detectors.all_findings(d)), True), "agg13_extraction_mix": _q(_mix), "rpt04_aging": _q(lambda d: aging_report(d.custody, _day())), "rpt05_recon": _q(lambda d: recon_report(d.custody)),
     "rpt07_needs_attention": _q(lambda d: needs_attention(d.journal, ("purchase", "view"))), "agg21_status_counts": _q(lambda d: status_counts(d.journal)), "flt09_open_findings": _q(lambda d: open_findings(_custody_findings(d), _status(d))), "snk16_triage": _q(_triage), "int03_domains": _q(_domains),
+    "rpt02_summary": _q(_summary, True),
 }
 _PLACE = lambda sql, order, cols, by="": f"SELECT row_number() OVER ({by} ORDER BY {order}) AS place, {cols} FROM ({sql})"
 _TIE = views._TIE
@@ -150,6 +188,14 @@ ORACLE = {k: duck(v) for k, v in {
     "rpt01_tieout": f"SELECT row_number() OVER w AS place, building_id, bank_total, expected_variance, (sum(coalesce(bank_total, 0)) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS running_bank FROM ({_TIE}) WINDOW w AS (ORDER BY expected_variance ASC NULLS LAST, building_id)",
     "rpt02_findings": _PLACE(_KIND, f"list_position({list(detectors.SEVERITIES)}, severity), n DESC, kind", "kind, severity, n, amount"),
     "agg13_extraction_mix": "SELECT CASE statement_id % 4 WHEN 0 THEN 'text_layer' WHEN 1 THEN 'csv' WHEN 2 THEN 'ocr' ELSE 'vision' END AS method, count(*) AS n, CASE WHEN min(statement_id % 4) < 2 THEN 'machine-read' ELSE 'model-read' END AS class FROM {statements} WHERE checksum_ok GROUP BY 1",
+    "rpt02_summary": f"""WITH t AS MATERIALIZED (SELECT * FROM ({_TIE})), h AS (SELECT * FROM t WHERE bank_total IS NOT NULL), f AS MATERIALIZED ({detectors._ALL[1:-1]}), r AS (SELECT count(*) AS transactions, count(m.txn_id) AS matched, count(decided_by) AS approved FROM {{txns}} t LEFT JOIN {{matches}} m USING (txn_id))
+SELECT 'portfolio' AS section, 'buildings' AS key, count(*) AS n, NULL::BIGINT AS amount FROM t UNION ALL SELECT 'portfolio', 'reconciled', count(*), NULL FROM h UNION ALL SELECT 'portfolio', 'without a statement', (SELECT count(*) FROM t) - count(*), NULL FROM h
+UNION ALL SELECT 'portfolio', 'bank', count(*), sum(bank_total)::BIGINT FROM h UNION ALL SELECT 'portfolio', 'expected', count(*), sum(expected_total)::BIGINT FROM h UNION ALL SELECT 'portfolio', 'variance', count(*), (sum(bank_total) - sum(expected_total))::BIGINT FROM h
+UNION ALL SELECT 'portfolio', 'checksum failed', count(*), NULL FROM (SELECT DISTINCT ON (building_id) checksum_ok FROM {{statements}} ORDER BY building_id, period_end DESC, statement_id DESC) WHERE NOT checksum_ok
+UNION ALL SELECT 'provenance', CASE statement_id % 4 WHEN 0 THEN 'text_layer, machine-read' WHEN 1 THEN 'csv, machine-read' WHEN 2 THEN 'ocr, model-read' ELSE 'vision, model-read' END, count(*), NULL FROM {{statements}} WHERE checksum_ok GROUP BY 2
+UNION ALL SELECT 'findings', kind, count(*), sum(amount)::BIGINT FROM f GROUP BY 2 UNION ALL SELECT 'findings', severity, count(*), sum(amount)::BIGINT FROM f GROUP BY 2
+UNION ALL SELECT 'matching', 'transactions', transactions, NULL FROM r UNION ALL SELECT 'matching', 'matched', matched, NULL FROM r UNION ALL SELECT 'matching', 'approved', approved, NULL FROM r
+UNION ALL SELECT 'deadlines', 'open', count(*), NULL FROM {{leases}} l WHERE keys_on IS NOT NULL AND coalesce((SELECT -sum(amount) FROM {{ledger}} g WHERE g.lease_id = l.lease_id AND entry_type = 'refund'), 0) = 0""",
     "rpt04_aging": _PLACE(f"SELECT *, DATE '{AS_OF}' - coalesce(cleared_on, sent_on) AS days FROM {{custody}} WHERE in_master > 0", "days DESC NULLS LAST, custody_id", "building_id, custody_id, days, in_master", "PARTITION BY building_id"),
     "rpt05_recon": _PLACE("SELECT *, bank_balance - books_balance AS variance FROM {custody} WHERE bank_balance IS NOT NULL OR books_balance IS NOT NULL", "variance ASC NULLS LAST, custody_id", "building_id, custody_id, variance", "PARTITION BY building_id"),
     "rpt07_needs_attention": f"SELECT * FROM {_LAST} WHERE status NOT IN ('purchase', 'view')",

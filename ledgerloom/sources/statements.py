@@ -19,7 +19,9 @@ from ..plans.domain import Domain, duck
 @dataclass(frozen=True)
 class Layout:
     """A bank's format.  Patterns of header fields have the value as their first group;
-    ``columns`` are header words by offset, else ``line`` has the groups date, description, amount."""
+    ``columns`` are header words by offset, else ``line`` reads a row; ``parts`` has the numbers of
+    its groups: date, desc, amount (or debit and credit), check; ``iso`` dates are yyyy-mm-dd,
+    in rows and in the period."""
 
     id: str
     version: str
@@ -31,6 +33,8 @@ class Layout:
     columns: dict[str, str] = field(default_factory=dict)
     line: str = ""
     ignore: tuple[str, ...] = ()
+    parts: dict[str, int] = field(default_factory=lambda: {"date": 1, "desc": 2, "amount": 3})
+    iso: bool = False
 
 
 _DAY = r"(\d{2}/\d{2}/\d{4})"
@@ -80,16 +84,18 @@ def header(pages: DataFrame, layout: Layout) -> DataFrame:
     Fields are read page by page, the first page that has one decides: no document is gathered."""
     first = lambda pattern: F.min_by(_found("text", pattern), F.when(F.col("text").rlike(pattern), F.col("page_no")))
     docs = pages.groupBy("doc_id").agg(first(layout.opening).alias("opening"), first(layout.closing).alias("closing"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 1))).alias("since"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 2))).alias("until"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.last4))).alias("account_last4"))
-    day = lambda c: F.try_to_date(c, "MM/dd/yyyy")
+    day = lambda c: F.try_to_date(c, "yyyy-MM-dd" if layout.iso else "MM/dd/yyyy")
     parts = docs.select("doc_id", day("since").alias("period_start"), day("until").alias("period_end"), to_cents(F.col("opening")).alias("opening"), to_cents(F.col("closing")).alias("closing"), "account_last4")
     missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"could not locate {what}")) for c, what in (("period_end", "statement period"), ("opening", "opening balance"), ("closing", "closing balance"), ("account_last4", "account number"))])
     return parts.withColumn("problem", missing)
 
 
-def _transactions(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Dates without a year take that of the period's end."""
-    j = rows.join(heads.select("doc_id", F.year("period_end").alias("_year")), "doc_id")
-    return j.select("doc_id", "page_no", "line_no", dates.us_date(F.col("date"), F.col("_year")).alias("posted_on"), "amount", F.regexp_replace(F.btrim("desc"), r"\s{2,}", " ").alias("descriptor"), F.nullif("check", F.lit("")).alias("check_no"), "problem")
+def _transactions(rows: DataFrame, heads: DataFrame, iso: bool = False) -> DataFrame:
+    """Dates without a year take that of the period's end; a statement whose header has a problem
+    has no rows."""
+    j = rows.join(heads.where("problem IS NULL").select("doc_id", F.year("period_end").alias("_year")), "doc_id")
+    day = F.try_to_date("date", "yyyy-MM-dd") if iso else dates.us_date(F.col("date"), F.col("_year"))
+    return j.select("doc_id", "page_no", "line_no", day.alias("posted_on"), "amount", F.regexp_replace(F.btrim("desc"), r"\s{2,}", " ").alias("descriptor"), F.nullif("check", F.lit("")).alias("check_no"), "problem")
 
 
 def fixed_width(pages: DataFrame, layout: Layout) -> DataFrame:
@@ -115,12 +121,21 @@ def fixed_width(pages: DataFrame, layout: Layout) -> DataFrame:
 
 
 def by_pattern(pages: DataFrame, layout: Layout) -> DataFrame:
-    """Transactions of a layout whose lines one pattern reads; the amount carries its sign."""
+    """Transactions of a layout whose lines one pattern reads: the amount carries its sign, or
+    stands in one of two columns; a line with neither is no transaction."""
     rows = lines(pages).where(F.col("line").rlike(layout.line))
     for pattern in layout.ignore:
         rows = rows.where(~F.col("line").rlike(pattern))
-    group = lambda i: F.regexp_extract("line", layout.line, i)
-    return _transactions(rows.select("doc_id", "page_no", "line_no", group(1).alias("date"), group(2).alias("desc"), F.lit("").alias("check"), to_cents(group(3)).alias("amount"), F.lit(None).cast("string").alias("problem")), header(pages, layout))
+    part = {k: F.btrim(F.regexp_extract("line", layout.line, i)) for k, i in layout.parts.items()}
+    both, problem = F.lit(False), F.lit(None).cast("string")
+    if "amount" in part:
+        amount = to_cents(part["amount"])
+    else:
+        both = (part["debit"] != "") & (part["credit"] != "")
+        amount = F.when(~both, F.when(part["credit"] != "", F.abs(to_cents(part["credit"]))).otherwise(-F.abs(to_cents(part["debit"]))))
+        rows = rows.where(F.concat(part["debit"], part["credit"]) != "")
+        problem = F.when(both, "debit and credit in one row")
+    return _transactions(rows.select("doc_id", "page_no", "line_no", part["date"].alias("date"), part["desc"].alias("desc"), part.get("check", F.lit("")).alias("check"), amount.alias("amount"), problem.alias("problem")), header(pages, layout), layout.iso)
 
 
 def parse(pages: DataFrame, layout: Layout) -> DataFrame:

@@ -139,3 +139,13 @@ def test_report_files(spark, tmp_path):
     reports.write_report(tie, found, str(tmp_path / "r"))
     assert any("stale_credit" in r[0] for r in spark.read.text(str(tmp_path / "r" / "markdown")).collect())
     assert spark.read.json(str(tmp_path / "r" / "json")).select(F.col("buildings")[0]["building_id"]).first()[0] == 5
+
+
+def test_pattern_layout_with_two_columns_checks_and_iso_dates(spark):
+    layout = statements.Layout(
+        id="t", version="1", detect="T BANK", period=r"From (\S+) to (\S+)", opening=r"Open ([\d.]+)", closing=r"Close ([\d.]+)", last4=r"No (\d{4})",
+        line=r"^(\d{4}-\d{2}-\d{2})\|([^|]*)\|(\d*)\|([\d.]*)\|([\d.]*)$", parts={"date": 1, "desc": 2, "check": 3, "debit": 4, "credit": 5}, iso=True,
+    )
+    text = "T BANK No 1234\nFrom 2024-01-01 to 2024-01-31\nOpen 5.00\n2024-01-02|RENT  A|77|1.00|\n2024-01-03|IN|||2.50\n2024-01-04|NONE|||\n2024-01-05|BOTH||1.00|1.00\nClose 6.50"
+    got = statements.parse(pages(spark, text, text.replace("Close", "Shut")), layout).orderBy("doc_id", "line_no").collect()
+    assert [(r["doc_id"], r["posted_on"], r["amount"], r["descriptor"], r["check_no"], r["problem"]) for r in got] == [(0, DAY(2024, 1, 2), -100, "RENT A", "77", None), (0, DAY(2024, 1, 3), 250, "IN", None, None), (0, DAY(2024, 1, 5), None, "BOTH", None, "debit and credit in one row")]
