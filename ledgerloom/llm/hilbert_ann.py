@@ -3,33 +3,37 @@
 Every distinct vector is projected to DIMS dimensions, shifted and put on a Hilbert
 curve; CURVES curves use projections and shifts of their own.  A curve is cut into
 ranges of about RANGE_ROWS keys at quantiles of a bounded sample, and Spark groups vectors
-by (curve, range).  There a query meets the vectors whose keys are the WINDOW next ones on
-either side of its own; a query near an end of its range also goes to the next range, where
-it meets the WINDOW keys at that end.  Windows are searched in single precision, and only
-their best leave the group; the bests of all groups are merged and reranked in double
-precision on the original vectors.
-
-So a query costs the same whatever the table's size, and the whole grows as sorting does.
-What that buys depends on the data: isotropic 64-dimensional data is the worst case, as
-near vectors are hardly nearer on any curve, and recall falls slowly as such a table grows
-(measured figures stand in the README).
+by (curve, range).  There a query meets the vectors whose keys are within its window, and it
+goes to every range that its window may reach.  Windows are searched in single precision,
+and only their best leave the group; the bests of all groups are merged and reranked in
+double precision on the original vectors.
+
+How wide a window must be depends on the data, so it is measured: the true neighbours of at
+most PROBES queries are found among all rows, and the window is the least in which, on some
+curve, TARGET of them lie, counted in keys of the sample.  A query stands on a curve at its
+own place or, as near vectors of isotropic data lie further out, at its projection times
+OUTWARD, whichever needs the narrower window.  Isotropic data of many dimensions is the worst
+case: a window is a share of the table there (figures stand in the README).  Where the sample
+cannot cut finely enough, ranges are dealt to slices by a hash of the id; a query goes to
+every slice, with its share of the window in each, so no group grows with the table.
 
 Copies of a vector are one entry with its smallest ids, so a vector that fills a third of
 the table takes no more room than another, and ties go to smaller ids.  Vectors of one
 direction share their keys; a hash of the vector orders equal keys and cuts between them,
-so such a key is dealt to several ranges.  The only thing fitted is the cut points, on at
-most SAMPLE rows; a curve has SAMPLE / 10 ranges at most, which grow beyond that.
-
-Edge cases: vectors that are null, zero or hold null or non-finite components, and
-those of another length than the commonest (the longer of equally common ones), take no
-part, also as queries; null ids take no part; fewer candidates than k give fewer rows;
-rows that repeat are candidates of their own; a condition that is null is no query; an
-empty table gives no rows; extra columns are ignored.
+so such a key is dealt to several ranges.  What is fitted: the cut points and the window, on
+at most SAMPLE rows and PROBES queries.
+
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part,
+also as queries; vectors of different lengths have no inner product, so each length is
+searched apart; null ids take no part; fewer candidates than k give fewer rows; rows that
+repeat are candidates of their own; a condition that is null is no query; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,12 @@ from pyspark.sql import functions as F
 
 from .base import U64, durable, mix, table
 
-CURVES, DIMS, BITS = 32, 4, 12
-#: Keys that a query meets on either side of its own on each curve.
-WINDOW = 1024
-#: Vectors of a range; parts of a range, of which the outer ones' queries also go to the next.
+CURVES, DIMS, BITS = 32, 6, 8
+#: Queries whose true neighbours are looked up, and the share of these that windows must hold.
+PROBES, TARGET = 128, 0.95
+#: How far out a query may stand on the curves, and the least window.
+OUTWARD, LEAST = (1.0, 1.5), 64
+#: Vectors of a range; parts of a range, in which a query's reach is counted.
 RANGE_ROWS, PARTS = 8192, 8
 #: Queries of neighbouring keys searched at once; candidates kept beyond k for the rerank.
 BLOCK, MARGIN = 64, 8
@@ -86,10 +92,10 @@ class Curves:
         self.shifts = rng.uniform(-0.08, 0.08, (curves, dims))
         self.scale = 6 / np.sqrt(width)
 
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
+    def keys(self, vectors: np.ndarray, outward: float = 1.0) -> np.ndarray:
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         top = (1 << self.bits) - 1
-        return np.array([hilbert(np.clip(((unit @ a) / self.scale + 0.5 + s) * (1 << self.bits), 0, top).astype(np.int64), self.bits) for a, s in zip(self.axes, self.shifts, strict=True)])
+        return np.array([hilbert(np.clip(((unit @ a) * (outward / self.scale) + 0.5 + s) * (1 << self.bits), 0, top).astype(np.int64), self.bits) for a, s in zip(self.axes, self.shifts, strict=True)])
 
 
 def matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
@@ -101,16 +107,55 @@ def ordered_keys(keys: np.ndarray, vid: np.ndarray) -> np.ndarray:
     return (keys << 15) | (mix(vid.astype(np.int64).view(U64)) >> U64(49)).astype(np.int64)
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", window: int = WINDOW) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", window: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which the SQL
-    condition ``is_query`` holds, by inner product in double precision."""
+    condition ``is_query`` holds, by inner product in double precision.  ``window`` keys on
+    either side are met on each curve; by default as many as TARGET asks for."""
     fine = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q")).where(
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     fine = fine.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    common = fine.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")).orderBy(F.desc("n"), F.desc("width")).first()
-    width, top = (common["width"], common["top"]) if common else (0, 1.0)
-    fine = fine.where(F.size("v") == width)
+    lengths = fine.groupBy(F.size("v").alias("width")).agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")).orderBy("width").collect()  # one row a length
+    found = [of_width(fine.where(F.size("v") == r["width"]), k, r["width"], r["top"], window) for r in lengths]
+    return reduce(DataFrame.unionByName, found) if found else fine.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
+
+def needed(base: DataFrame, k: int, width: int, top: float, curves: Curves, sample: np.ndarray, total: int) -> tuple[int, float]:
+    """The window and the outward factor with which TARGET of the true neighbours of at most
+    PROBES queries are met; ``sample`` has sorted keys of each curve."""
+    asked = base.where("q").select("vid", "v").orderBy(F.xxhash64("vid")).limit(PROBES).toArrow()  # bounded: PROBES rows
+    qid, q = asked.column("vid").to_numpy(), matrix(asked.column("v"), width)
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids = np.zeros((len(unit), 0)), np.zeros((len(unit), 0), np.int64)
+        for b in batches:
+            x = matrix(b.column(1), width) / top
+            score = np.concatenate([score, unit @ x.T], axis=1)
+            ids = np.concatenate([ids, np.broadcast_to(b.column(0).to_numpy(), (len(unit), len(x)))], axis=1)
+            if score.shape[1] > k + 1:
+                pick = np.argpartition(-score, k, axis=1)[:, : k + 1]
+                score, ids = np.take_along_axis(score, pick, 1), np.take_along_axis(ids, pick, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(unit), dtype=np.int64), score.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], ["probe", "c", "score"])
+
+    near = ranked(base.select("vid", "v").mapInArrow(best, "probe long, c long, score double"), "probe", "c", k + 1).select("probe", "c")
+    true = base.select(F.col("vid").alias("c"), "v").join(F.broadcast(near), "c").toArrow()  # bounded: PROBES * (k + 1) rows
+    probe, c = true.column("probe").to_numpy(), true.column("c").to_numpy()
+    other = c != qid[probe]
+    if not other.any():
+        return LEAST, OUTWARD[0]
+    probe, c, there = probe[other], c[other], curves.keys(matrix(true.column("v"), width)[other])
+    windows = []
+    for outward in OUTWARD:
+        here = curves.keys(q, outward)
+        away = np.min([np.abs(np.searchsorted(s, ordered_keys(a, qid))[probe] - np.searchsorted(s, ordered_keys(b, c))) for s, a, b in zip(sample, here, there, strict=True)], axis=0)
+        windows.append((int(np.ceil((np.sort(away)[int(np.ceil(TARGET * len(away))) - 1] + 1) * total / sample.shape[1])), outward))
+    least, outward = min(windows)
+    return max(least, LEAST), outward
+
+
+def of_width(fine: DataFrame, k: int, width: int, top: float, window: int | None) -> DataFrame:
+    """``nearest`` among vectors of one length, whose largest component is ``top``."""
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,38 +169,49 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
 
     total = base.count()
     ranges = max(1, min(-(-total // RANGE_ROWS), SAMPLE // 10))
-    curves = Curves(width or 1)
+    slices = max(1, -(-total // (ranges * RANGE_ROWS * 2)))
+    curves = Curves(width)
     sample = base.select("v", "vid").sample(min(1.0, SAMPLE / max(total, 1)), SEED).limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
-    cuts = np.zeros((CURVES, ranges * PARTS - 1), np.int64)  # of parts; every PARTS-th is one of ranges
-    if sample.num_rows:
-        vid = sample.column("vid").to_numpy()
-        for cut, keys in zip(cuts, curves.keys(matrix(sample.column("v"), width)), strict=True):
-            cut[:] = np.sort(ordered_keys(keys, vid))[np.arange(1, ranges * PARTS) * len(vid) // (ranges * PARTS)]
+    vid = sample.column("vid").to_numpy()
+    seen = np.sort([ordered_keys(keys, vid) for keys in curves.keys(matrix(sample.column("v"), width))], axis=1)
+    outward = OUTWARD[0]
+    if window is None:
+        window, outward = needed(base, k, width, top, curves, seen, total)
+    cuts = seen[:, np.arange(1, ranges * PARTS) * len(vid) // (ranges * PARTS)]  # of parts; every PARTS-th is one of ranges
+    reach = -(-window * ranges * PARTS // total)
+    window = -(-window // slices)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, vid = matrix(b.column(0), width), b.column(1).to_numpy()
-            keys = curves.keys(x)
             size = np.abs(x).max(axis=1)
             small = pa.array([r.tobytes() for r in (x / size[:, None]).astype(np.float32)], pa.binary())
-            asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            asks = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            stands, asked = curves.keys(x), curves.keys(x[asks], outward)
+            own = (mix(vid.astype(np.int64).view(U64)) % U64(slices)).astype(np.int32)
+
+            def dealt(curve: int, key: np.ndarray, pick: np.ndarray, part: np.ndarray, slice_: np.ndarray, role: int) -> pa.RecordBatch:
+                n = len(pick)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(part.astype(np.int32)), pa.array(slice_.astype(np.int32)), pa.array(key), pa.array(vid[pick]), small.take(pa.array(pick)), pa.array(size[pick] / top), pa.array(np.full(n, role, np.int32))], ["curve", "part", "slice", "key", "vid", "v", "size", "role"])
+
             for curve in range(CURVES):
-                key = ordered_keys(keys[curve], vid)
+                key = ordered_keys(stands[curve], vid)
+                yield dealt(curve, key, np.arange(len(key)), np.searchsorted(cuts[curve], key, "right") // PARTS, own, 0)
+                key = ordered_keys(asked[curve], vid[asks])
                 part = np.searchsorted(cuts[curve], key, "right")
-                own = part // PARTS
-                low, high = asks & (part % PARTS == 0) & (own > 0), asks & (part % PARTS == PARTS - 1) & (own < ranges - 1)
-                # 0: a candidate; 1: a candidate that asks; 2: a query of another range.
-                for pick, to, role in ((np.arange(len(key)), own, asks.astype(np.int32)), (np.flatnonzero(low), own - 1, None), (np.flatnonzero(high), own + 1, None)):
-                    n = len(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, np.int32)), pa.array(to[pick].astype(np.int32)), pa.array(key[pick]), pa.array(vid[pick]), small.take(pa.array(pick)), pa.array(size[pick] / top), pa.array(np.full(n, 2, np.int32) if role is None else role[pick])], ["curve", "part", "key", "vid", "v", "size", "role"])
+                low, high = np.maximum(part - reach, 0) // PARTS, np.minimum(part + reach, ranges * PARTS - 1) // PARTS
+                for at in range(int((high - low).max(initial=-1)) + 1):
+                    to = np.flatnonzero(low + at <= high)
+                    for slice_ in range(slices):
+                        yield dealt(curve, key[to], asks[to], low[to] + at, np.full(len(to), slice_), 1)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         group = group.take(pa.array(np.argsort(group.column("key").to_numpy(), kind="stable")))
         role, keys, ids = (group.column(c).to_numpy() for c in ("role", "key", "vid"))
         x = matrix(group.column("v"), width, np.float32)
-        here = role < 2
+        here = role == 0
         c, cid, size, place = x[here], ids[here], group.column("size").to_numpy()[here], np.searchsorted(keys[here], keys)
         asks = np.flatnonzero(role > 0)
         kept = k + 1 + MARGIN
@@ -174,7 +230,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
             score = (matrix(b.column(2), width) * matrix(b.column(3), width)).sum(axis=1) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], ["qv", "c", "score"])
 
-    met = base.select("v", "vid", "q").mapInArrow(spread, "curve int, part int, key long, vid long, v binary, size double, role int").groupBy("curve", "part").applyInArrow(meet, "qv long, c long, score double")
+    met = base.select("v", "vid", "q").mapInArrow(spread, "curve int, part int, slice int, key long, vid long, v binary, size double, role int").groupBy("curve", "part", "slice").applyInArrow(meet, "qv long, c long, score double")
     near = ranked(met.groupBy("qv", "c").agg(F.max("score").alias("score")), "qv", "c", k + 1 + MARGIN).select("qv", "c")
     sides = near.join(base.select(F.col("vid").alias("qv"), F.col("v").alias("x")), "qv").join(base.select(F.col("vid").alias("c"), F.col("v").alias("y")), "c")
     exact = sides.select("qv", "c", "x", "y").mapInArrow(rerank, "qv long, c long, score double")

@@ -471,12 +471,12 @@ def test_classifier_on_hosts_and_paths_of_urls(spark):
 
 
 def test_ann_of_mixed_lengths_doubles_and_one_direction(spark):
-    """The commonest length takes part; scores are exact for doubles; vectors of one direction
+    """Each length is searched apart; scores are exact for doubles; vectors of one direction
     share their keys and are still searched."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 8))
     x[100:200] = np.outer(np.arange(1, 101) * 1e40, x[100])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0] * 9)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0] * 9)] + [(1000 + i, [float(i), 2.0, -1.0]) for i in range(4)]
     got = hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", k=5).collect()
     exact = x @ x.T
     for q in range(0, 300, 50):
@@ -484,6 +484,25 @@ def test_ann_of_mixed_lengths_doubles_and_one_direction(spark):
         found = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         assert [v for _, v, _ in found] == [v for _, v in best]
         assert all(abs(s - exact[q, v]) <= 1e-12 * abs(exact[q, v]) for _, v, s in found)
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 1000] == [(1001, 5.0), (1002, 5.0), (1003, 5.0)]
+    assert not [r for r in got if r["query_id"] == 900]
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_ann_measures_its_window(spark, monkeypatch, kind):
+    """Ranges and slices far smaller than the table: the window follows the data."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 24))
+    if kind == "clustered":
+        x = x[rng.integers(0, 60, 3000)] + 0.2 * x
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("SAMPLE", 500), ("RANGE_ROWS", 20), ("PROBES", 40)):
+        monkeypatch.setattr(hilbert_ann, name, value)
+    got = {(r["query_id"], r["vec_id"]) for r in hilbert_ann.nearest(docs, "vec_id % 20 = 0", k=10).collect()}
+    exact = x @ x.T
+    np.fill_diagonal(exact, -np.inf)
+    hits = sum((q, int(v)) in got for q in range(0, 3000, 20) for v in np.argsort(-exact[q])[:10])
+    assert len(got) == 1500 and hits >= 0.9 * 1500
 
 
 def test_ann_recall_with_narrow_windows(spark):
