@@ -46,10 +46,10 @@ CURVES, DIMS, BITS = 32, 6, 8
 #: Queries whose true neighbours are looked up, and the share of these that windows must hold.
 PROBES, TARGET = 128, 0.95
 #: How far out a query may stand on the curves, and the least window.
-OUTWARD, LEAST = (1.0, 1.5), 64
+OUTWARD, LEAST = (1.0, 1.5), 16
 #: Vectors of a range; parts of a range, in which a query's reach is counted.
 RANGE_ROWS, PARTS = 8192, 8
-#: Queries of neighbouring keys searched at once; candidates kept beyond k for the rerank.
+#: Queries searched at once, if they span no more than half a window; candidates kept beyond k for the rerank.
 BLOCK, MARGIN = 64, 8
 #: Vectors on which the cut points are fitted.
 SAMPLE = 20_000
@@ -216,8 +216,10 @@ def of_width(fine: DataFrame, k: int, width: int, top: float, window: int | None
         asks = np.flatnonzero(role > 0)
         kept = k + 1 + MARGIN
         found: list[tuple] = []
-        for at in range(0, len(asks) if len(c) else 0, BLOCK):
-            q = asks[at : at + BLOCK]
+        stands, at = place[asks], 0 if len(c) else len(asks)
+        while at < len(asks):
+            q = asks[at : min(at + BLOCK, int(np.searchsorted(stands, stands[at] + window // 2, "right")))]
+            at += len(q)
             lo, hi = max(int(place[q[0]]) - window, 0), int(place[q[-1]]) + window + 1
             s = (x[q] @ c[lo:hi].T) * size[lo:hi]
             best = np.argpartition(-s, kept - 1, axis=1)[:, :kept] if s.shape[1] > kept else np.tile(np.arange(s.shape[1]), (len(s), 1))
