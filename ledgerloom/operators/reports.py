@@ -126,6 +126,22 @@ def write_report(tieout: DataFrame, findings: DataFrame, path: str, rest: DataFr
         spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
+def continuity_report(statements: DataFrame, buildings: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Breaks in the series of passing statements, with the building's name, how many statements
+    the series has, what is wrong in words, and whether ``recorded`` (signature) lacks it, so
+    that a run which writes stores each break once, whoever found it first."""
+    good = statements.where("checksum_ok")
+    length = good.groupBy("building_id").agg(F.count("*").alias("statements"))
+    first, last = F.date_add("prior_end", 1), F.date_sub("period_start", 1)
+    between = lambda what, a, b: F.concat(F.lit(what), a.cast("string"), F.lit(" to "), b.cast("string"))
+    said = F.when(F.col("kind") == "balance_break", "opening is not the prior closing").when(last >= first, between("no statement for ", first, last)).otherwise(between("periods overlap, ", F.col("period_start"), F.col("prior_end")))
+    signature = F.concat_ws(":", F.lit("missing_statement_period"), "building_id", "kind", "period_start")
+    rows = views.continuity(good).withColumns({"signature": signature, "message": said})
+    stored = recorded.select("signature", F.lit(True).alias("_stored")).distinct()
+    j = rows.join(length, "building_id").join(buildings.select("building_id", "name"), "building_id", "left").join(stored, "signature", "left")
+    return j.select("building_id", "name", "statements", "prior_end", "period_start", "kind", "amount", "message", "signature", F.col("_stored").isNull().alias("is_new"))
+
+
 def _day() -> Column:
     return F.lit(AS_OF).cast("date")
 
@@ -175,6 +191,7 @@ QUERIES = {
     "rpt01_tieout": _q(_tie, True), "rpt02_findings": _q(lambda d: findings_report(detectors.all_findings(d)), True), "agg13_extraction_mix": _q(_mix), "rpt04_aging": _q(lambda d: aging_report(d.custody, _day())), "rpt05_recon": _q(lambda d: recon_report(d.custody)),
     "rpt07_needs_attention": _q(lambda d: needs_attention(d.journal, ("purchase", "view"))), "agg21_status_counts": _q(lambda d: status_counts(d.journal)), "flt09_open_findings": _q(lambda d: open_findings(_custody_findings(d), _status(d))), "snk16_triage": _q(_triage), "int03_domains": _q(_domains),
     "rpt02_summary": _q(_summary, True),
+    "rpt03_continuity": _q(lambda d: continuity_report(d.statements, d.buildings, detectors.missing_statement(d.statements.where("checksum_ok AND building_id % 2 = 0")))),
 }
 _PLACE = lambda sql, order, cols, by="": f"SELECT row_number() OVER ({by} ORDER BY {order}) AS place, {cols} FROM ({sql})"
 _TIE = views._TIE
@@ -196,6 +213,9 @@ UNION ALL SELECT 'provenance', CASE statement_id % 4 WHEN 0 THEN 'text_layer, ma
 UNION ALL SELECT 'findings', kind, count(*), sum(amount)::BIGINT FROM f GROUP BY 2 UNION ALL SELECT 'findings', severity, count(*), sum(amount)::BIGINT FROM f GROUP BY 2
 UNION ALL SELECT 'matching', 'transactions', transactions, NULL FROM r UNION ALL SELECT 'matching', 'matched', matched, NULL FROM r UNION ALL SELECT 'matching', 'approved', approved, NULL FROM r
 UNION ALL SELECT 'deadlines', 'open', count(*), NULL FROM {{leases}} l WHERE keys_on IS NOT NULL AND coalesce((SELECT -sum(amount) FROM {{ledger}} g WHERE g.lease_id = l.lease_id AND entry_type = 'refund'), 0) = 0""",
+    "rpt03_continuity": """WITH g AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS statements, lag(period_end) OVER w AS prior_end, lag(closing) OVER w AS c FROM {statements} WHERE checksum_ok WINDOW w AS (PARTITION BY building_id ORDER BY period_start)),
+      k AS (SELECT *, 'calendar_gap' AS kind, NULL::BIGINT AS amount, CASE WHEN period_start > prior_end + 1 THEN 'no statement for ' || (prior_end + 1) || ' to ' || (period_start - 1) ELSE 'periods overlap, ' || period_start || ' to ' || prior_end END AS message FROM g WHERE period_start <> prior_end + 1 UNION ALL SELECT *, 'balance_break', opening - c, 'opening is not the prior closing' FROM g WHERE opening <> c)
+      SELECT k.building_id, b.name, statements, prior_end, period_start, kind, amount, message, 'missing_statement_period:' || k.building_id || ':' || kind || ':' || period_start AS signature, k.building_id % 2 <> 0 AS is_new FROM k LEFT JOIN {buildings} b USING (building_id)""",
     "rpt04_aging": _PLACE(f"SELECT *, DATE '{AS_OF}' - coalesce(cleared_on, sent_on) AS days FROM {{custody}} WHERE in_master > 0", "days DESC NULLS LAST, custody_id", "building_id, custody_id, days, in_master", "PARTITION BY building_id"),
     "rpt05_recon": _PLACE("SELECT *, bank_balance - books_balance AS variance FROM {custody} WHERE bank_balance IS NOT NULL OR books_balance IS NOT NULL", "variance ASC NULLS LAST, custody_id", "building_id, custody_id, variance", "PARTITION BY building_id"),
     "rpt07_needs_attention": f"SELECT * FROM {_LAST} WHERE status NOT IN ('purchase', 'view')",

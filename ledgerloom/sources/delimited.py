@@ -74,15 +74,24 @@ def lease_rows(rows: DataFrame, m: dict[str, str]) -> DataFrame:
     return rows.select(*keep, t("building").alias("building"), t("unit").alias("unit"), t("tenant").alias("tenant"), day("term_start").alias("term_start"), day("vacated_on").alias("vacated_on"), day("keys_on").alias("keys_on"), rent.alias("rent"), deposit.alias("deposit"), tx.truthy(t("stabilized")).alias("stabilized"), problem.alias("problem"), F.when(problem.isNull(), F.concat_ws("; ", notes)).otherwise("").alias("notes"))
 
 
+#: Further columns of a custody tracker: days and texts.
+TRACKED_DAYS = ("cleared_on", "sub_opened_on", "allocated_on", "balance_as_of", "vacate_on", "bank_closed_on", "returned_on", "refunded_on")
+TRACKED_TEXTS = ("external_ref", "sub_last4", "employee", "next_action", "final_status")
+
+
 def custody_rows(rows: DataFrame, m: dict[str, str]) -> DataFrame:
-    """A custody tracker's rows, as above."""
+    """A custody tracker's rows, as above.  Days, texts and amounts that the mapping lacks or the
+    file leaves blank are null; an amount that cannot be read is a problem."""
     t = lambda k: text_of(rows, m.get(k))
     day = lambda k: dates.opt_date(t(k))
     amount, pooled = to_cents(t("amount")), optional_cents(t("in_master"))
-    problem = _first(((t("building") == "") | (t("unit") == "") | (t("tenant") == ""), "missing building, unit, or tenant"), (F.coalesce(amount, F.lit(0)) <= 0, "deposit amount must be positive"), (pooled < 0, "in-master amount cannot be negative"))
+    balances = {k: optional_cents(t(k), None) for k in ("bank_balance", "books_balance")}
+    paid = {k: F.when(t(k) != "", optional_cents(t(k))) for k in ("returned_amount", "refunded_amount")}
+    unread = [(v.isNull() & ~F.lower(t(k)).isin(*(dates.NO_DATE if k in balances else ("",))), f"{k} cannot be read") for k, v in (balances | paid).items()]
+    problem = _first(((t("building") == "") | (t("unit") == "") | (t("tenant") == ""), "missing building, unit, or tenant"), (F.coalesce(amount, F.lit(0)) <= 0, "deposit amount must be positive"), (pooled.isNull(), "in_master cannot be read"), (pooled < 0, "in-master amount cannot be negative"), *unread)
     notes = F.array_compact(F.array(F.when(pooled > amount, "in-master exceeds the deposit"), F.when(day("sent_on") < day("received_on"), "sent to bank before received")))
     keep = [x for x in rows.columns if x not in m.values()]
-    return rows.select(*keep, t("building").alias("building"), t("unit").alias("unit"), t("tenant").alias("tenant"), tx.norm_kind(t("kind")).alias("kind"), amount.alias("amount"), day("received_on").alias("received_on"), day("sent_on").alias("sent_on"), pooled.alias("in_master"), tx.norm_stage(t("stage")).alias("stage"), optional_cents(t("bank_balance"), None).alias("bank_balance"), problem.alias("problem"), F.when(problem.isNull(), F.concat_ws("; ", notes)).otherwise("").alias("notes"))
+    return rows.select(*keep, t("building").alias("building"), t("unit").alias("unit"), t("tenant").alias("tenant"), tx.norm_kind(t("kind")).alias("kind"), amount.alias("amount"), day("received_on").alias("received_on"), day("sent_on").alias("sent_on"), pooled.alias("in_master"), tx.norm_stage(t("stage")).alias("stage"), *[v.alias(k) for k, v in balances.items()], *[day(k).alias(k) for k in TRACKED_DAYS], *[F.nullif(t(k), F.lit("")).alias(k) for k in TRACKED_TEXTS], *[v.alias(k) for k, v in paid.items()], problem.alias("problem"), F.when(problem.isNull(), F.concat_ws("; ", notes)).otherwise("").alias("notes"))
 
 
 def resolved(rows: DataFrame, buildings: DataFrame, column: str = "building") -> DataFrame:
@@ -112,8 +121,8 @@ def _leases(d: Domain) -> DataFrame:
 
 def _custody(d: Domain) -> DataFrame:
     i = F.col("custody_id")
-    raw = d.custody.select("custody_id", F.col("building_id").cast("string").alias("B"), F.col("unit").alias("U"), F.col("tenant").alias("T"), F.when(F.col("kind") == "additional", "Top-up").otherwise("first").alias("K"), F.when(i % 31 == 0, "(5.00)").otherwise(format_cents(F.col("amount"))).alias("A"), F.date_format("received_on", "M/d/yyyy").alias("R"), F.coalesce(F.date_format(F.date_sub("sent_on", 2), "yyyy-MM-dd"), F.lit("pending")).alias("S"), F.when(i % 29 == 0, "-1.00").when(F.col("in_master") == 0, "n/a").otherwise(format_cents(F.col("in_master") + 1)).alias("M"), F.when(F.col("stage") == "in_master", " In Master Account").otherwise(F.upper("stage")).alias("G"), F.coalesce(format_cents(F.col("bank_balance")), F.lit("tbd")).alias("X"))
-    return custody_rows(raw, {"building": "B", "unit": "U", "tenant": "T", "kind": "K", "amount": "A", "received_on": "R", "sent_on": "S", "in_master": "M", "stage": "G", "bank_balance": "X"}).drop("unit", "tenant", "building")
+    raw = d.custody.select("custody_id", F.col("building_id").cast("string").alias("B"), F.col("unit").alias("U"), F.col("tenant").alias("T"), F.when(F.col("kind") == "additional", "Top-up").otherwise("first").alias("K"), F.when(i % 31 == 0, "(5.00)").otherwise(format_cents(F.col("amount"))).alias("A"), F.date_format("received_on", "M/d/yyyy").alias("R"), F.coalesce(F.date_format(F.date_sub("sent_on", 2), "yyyy-MM-dd"), F.lit("pending")).alias("S"), F.when(i % 29 == 0, "-1.00").when(F.col("in_master") == 0, "n/a").otherwise(format_cents(F.col("in_master") + 1)).alias("M"), F.when(F.col("stage") == "in_master", " In Master Account").otherwise(F.upper("stage")).alias("G"), F.coalesce(format_cents(F.col("bank_balance")), F.lit("tbd")).alias("X"), F.coalesce(format_cents(F.col("books_balance")), F.lit("-")).alias("Y"), F.coalesce(format_cents(F.col("returned_amount")), F.lit("")).alias("Z"), *[F.coalesce(F.date_format(k, "M/d/yyyy"), F.lit("n/a")).alias(f"D_{k}") for k in TRACKED_DAYS if k in d.custody.columns], "external_ref", "sub_last4")
+    return custody_rows(raw, {"building": "B", "unit": "U", "tenant": "T", "kind": "K", "amount": "A", "received_on": "R", "sent_on": "S", "in_master": "M", "stage": "G", "bank_balance": "X", "books_balance": "Y", "returned_amount": "Z", "external_ref": "external_ref", "sub_last4": "sub_last4"} | {k: f"D_{k}" for k in TRACKED_DAYS if k in d.custody.columns}).drop("unit", "tenant", "building")
 
 
 def _q(f):
@@ -128,5 +137,5 @@ ORACLE = {k: duck(v) for k, v in {
     "src05_bank_csv": f"SELECT txn_id, posted_on, amount, descriptor, problem FROM {_BANK}",
     "agg20_csv_period": f"SELECT building_id, min(posted_on) AS period_start, max(posted_on) AS period_end FROM {_BANK} WHERE problem IS NULL GROUP BY 1",
     "src06_rent_roll": f"SELECT lease_id, CASE WHEN lease_id % 2 = 0 OR lease_id % 5 <> 0 THEN building_id END AS building_id, CASE WHEN lease_id % 41 = 0 THEN '' ELSE unit END AS unit, CASE WHEN lease_id % 43 <> 0 THEN term_start END AS term_start, vacated_on, keys_on - 20 AS keys_on, CASE WHEN lease_id % 47 = 0 THEN 0 ELSE rent END AS rent, deposit, stabilized, {_P} AS problem, CASE WHEN {_P} IS NULL THEN concat_ws('; ', CASE WHEN deposit > rent THEN 'deposit exceeds one month rent' END, CASE WHEN keys_on - 20 < vacated_on THEN 'keys returned before vacate date' END) ELSE '' END AS notes FROM {{leases}}",
-    "src07_custody_tracker": f"SELECT custody_id, kind, CASE WHEN custody_id % 31 = 0 THEN -500 ELSE amount END AS amount, received_on, sent_on - 2 AS sent_on, CASE WHEN custody_id % 29 = 0 THEN -100 WHEN in_master = 0 THEN 0 ELSE in_master + 1 END AS in_master, stage, bank_balance, {_PC} AS problem, CASE WHEN {_PC} IS NULL THEN concat_ws('; ', CASE WHEN in_master > 0 THEN 'in-master exceeds the deposit' END, CASE WHEN sent_on - 2 < received_on THEN 'sent to bank before received' END) ELSE '' END AS notes FROM {{custody}}",
+    "src07_custody_tracker": f"SELECT custody_id, kind, CASE WHEN custody_id % 31 = 0 THEN -500 ELSE amount END AS amount, received_on, sent_on - 2 AS sent_on, CASE WHEN custody_id % 29 = 0 THEN -100 WHEN in_master = 0 THEN 0 ELSE in_master + 1 END AS in_master, stage, bank_balance, books_balance, cleared_on, sub_opened_on, NULL::DATE AS allocated_on, NULL::DATE AS balance_as_of, vacate_on, bank_closed_on, returned_on, refunded_on, nullif(trim(external_ref), '') AS external_ref, nullif(sub_last4, '') AS sub_last4, NULL::VARCHAR AS employee, NULL::VARCHAR AS next_action, NULL::VARCHAR AS final_status, returned_amount, NULL::BIGINT AS refunded_amount, {_PC} AS problem, CASE WHEN {_PC} IS NULL THEN concat_ws('; ', CASE WHEN in_master > 0 THEN 'in-master exceeds the deposit' END, CASE WHEN sent_on - 2 < received_on THEN 'sent to bank before received' END) ELSE '' END AS notes FROM {{custody}}",
 }.items()}

@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import consensus, detectors, gates, matching, reports, sinks
+from ledgerloom.operators import consensus, detectors, edits, gates, matching, reports, sinks
 from ledgerloom.sources import delimited, statements
 from ledgerloom.streaming import findings as stream
 
@@ -149,3 +149,26 @@ def test_pattern_layout_with_two_columns_checks_and_iso_dates(spark):
     text = "T BANK No 1234\nFrom 2024-01-01 to 2024-01-31\nOpen 5.00\n2024-01-02|RENT  A|77|1.00|\n2024-01-03|IN|||2.50\n2024-01-04|NONE|||\n2024-01-05|BOTH||1.00|1.00\nClose 6.50"
     got = statements.parse(pages(spark, text, text.replace("Close", "Shut")), layout).orderBy("doc_id", "line_no").collect()
     assert [(r["doc_id"], r["posted_on"], r["amount"], r["descriptor"], r["check_no"], r["problem"]) for r in got] == [(0, DAY(2024, 1, 2), -100, "RENT A", "77", None), (0, DAY(2024, 1, 3), 250, "IN", None, None), (0, DAY(2024, 1, 5), None, "BOTH", None, "debit and credit in one row")]
+
+
+def test_custody_drafts_are_checked_field_by_field(spark):
+    fields = ("custody_id", "building_id", "unit", "tenant", "amount", "in_master", "bank_balance", "ordinal")
+    typed = [(1, 7, " 2A ", "Ana", "$1,200.50", "", "", 0), (2, 7, "2B", "Bo", "12.3.4", "", "", 0), (3, 7, "2C", "Cy", "100", "100.01", "", 0), (4, 7, "2D", " ", "100", "0", "", 0), (5, 7, "2E", "Di", "100", "-1", "", 0), (6, 7, "2F", "Ed", "100", "5", "-", 0), (7, 7, None, "Flo", "1", "", "", 0), (1, 7, "2A", "Ana", "1300", "", "0", 1)]
+    drafts = spark.createDataFrame(typed, "custody_id long, building_id long, unit string, tenant string, amount string, in_master string, bank_balance string, ordinal int")
+    assert drafts.columns == list(fields)
+    got = {(r["custody_id"], r["ordinal"]): r for r in edits.checked(drafts).collect()}
+    assert {k: r["refused"] for k, r in got.items()} == {(1, 0): None, (2, 0): "amount cannot be read", (3, 0): "in_master exceeds the amount", (4, 0): "no tenant", (5, 0): "in_master is negative", (6, 0): "bank_balance cannot be read", (7, 0): "no unit", (1, 1): None}
+    assert (got[1, 0]["unit"], got[1, 0]["amount"], got[1, 0]["in_master"], got[1, 0]["bank_balance"], got[1, 1]["bank_balance"]) == ("2A", 120050, 0, None, 0)
+    stored = spark.createDataFrame([(1, 7, "2A", "Ana", 100, 0, 55, "active"), (6, 7, "2F", "Ed", 100, 0, None, "active")], "custody_id long, building_id long, unit string, tenant string, amount long, in_master long, bank_balance long, stage string")
+    after, images = edits.applied(stored, drafts)
+    assert {(r["custody_id"], r["amount"], r["bank_balance"], r["stage"]) for r in after.collect()} == {(1, 130000, 0, "active"), (6, 100, None, "active")}
+    assert [(r["custody_id"], r["action"]) for r in images.collect()] == [(1, "UPDATE")]
+
+
+def test_a_tracker_with_every_column(spark):
+    values = {"building": "B", "unit": "1", "tenant": "T", "amount": "10", "cleared_on": "2/3/24", "allocated_on": "TBD", "refunded_amount": "-", "returned_amount": "", "books_balance": "n/a", "final_status": " paid ", "employee": ""}
+    unread = [values | {k: v} for k, v in (("refunded_amount", "pending"), ("books_balance", "two"), ("in_master", "tbd"))]
+    rows = spark.createDataFrame([tuple(({"in_master": ""} | v).values()) for v in (values, *unread)], ["in_master", *values])
+    r, *bad = delimited.custody_rows(rows, {k: k for k in ("in_master", *values)}).collect()
+    assert r["problem"] is None and [b["problem"] for b in bad] == ["refunded_amount cannot be read", "books_balance cannot be read", "in_master cannot be read"]
+    assert (r["cleared_on"], r["allocated_on"], r["refunded_amount"], r["returned_amount"], r["books_balance"], r["final_status"], r["employee"]) == (DAY(2024, 2, 3), None, 0, None, None, "paid", None)
