@@ -160,7 +160,10 @@ def test_collection_transform_of_small_strings():
         assert all(ordered[p] == s for p, s in zip(place.tolist(), strings, strict=True))
 
 
-def test_near_duplicates(docs, rows, empty):
+@pytest.mark.parametrize("name", [64, 4])
+def test_near_duplicates(docs, rows, empty, monkeypatch, name):
+    """Also where different sets share a name of four bits."""
+    monkeypatch.setattr(minhash, "NAME", name)
     sets = []
     for r in rows:
         u = [w.lower() for w in words(r[1])]
@@ -201,6 +204,24 @@ def test_no_near_pair_within_the_guaranteed_distance_is_missed():
         assert wrong.min() <= minhash.ERRORS
 
 
+def test_bitmaps_bound_how_far_sets_are_apart(spark):
+    """Of any two lengths, and near enough to tell long pages of one template apart."""
+    shared = [f"w{i}" for i in range(3200)]
+    rows = [(n, " ".join(shared + [f"own{n}x{i}" for i in range(800)])) for n in range(6)]
+    rows += [(10 + n, " ".join(shared[:cut])) for n, cut in enumerate((3, 900, 1020, 1030, 2040, 2060, 3000))]
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(max(len(t.split()) - 3, 1))} for _, t in rows]
+    signed = {r["doc_id"]: bytes(r["bits"]) for r in minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    bits = [signed[d] for d, _ in rows]
+    assert [8 * len(b) for b in bits] == minhash.widths(np.array([len(s) for s in sets])).tolist()
+    p, q = np.triu_indices(len(rows), 1)
+    apart = np.array([len(sets[i] ^ sets[j]) for i, j in zip(p, q, strict=True)])
+    got = minhash.bit_distances(bits, p, q)
+    assert (got <= apart).all() and ((apart - got) % 2 == 0).all()
+    pages = (p < 6) & (q < 6)
+    allowed = 2 * 3997 - 2 * -(-80 * 2 * 3997 // 180)
+    assert pages.sum() == 15 and (got[pages] > allowed).all()
+
+
 def line_brute(rows, percent: int = 80) -> Counter:
     lines = []
     for n, r in enumerate(rows):
@@ -598,8 +619,10 @@ def test_line_dedup_at_any_threshold(spark, others, monkeypatch, percent, hot):
 
 
 def test_near_duplicates_with_keys_in_blocks(spark, monkeypatch):
-    """Families just above and below the threshold, their keys dealt by blocks of two nodes."""
+    """Families just above and below the threshold, their keys dealt by blocks of two nodes and
+    a hub's pairs to parts of two."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "PART", 2)
     rng = random.Random(31)
     rows = []
     for family in range(3):
