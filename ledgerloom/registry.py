@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import backfill, consensus, custody, deadlines, detectors, edits, gates, ingest, matching, reports, scalars, sinks, views
+from .operators import backfill, consensus, custody, deadlines, detectors, edits, gates, ingest, matching, readings, reports, scalars, sinks, views
 from .sources import delimited, scans, statements
 
-MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, edits, ingest, backfill, statements, delimited, scans, scalars, reports)
+MODULES: tuple = (views, detectors, custody, deadlines, matching, gates, consensus, sinks, edits, ingest, backfill, statements, delimited, scans, scalars, readings, reports)
 
 
 def queries() -> dict:
