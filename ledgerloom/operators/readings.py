@@ -101,8 +101,9 @@ def decided(verified: DataFrame, accepted: DataFrame, as_of: Column) -> tuple[Da
 
 def _reads(d: Domain) -> DataFrame:
     """Three reads of reports by account, letters and statements.  The readers differ on the
-    balances of every 11th lease, all three on those of every 22nd; the second misreads every
-    third total; every fourth total and every sixth count is printed wrongly."""
+    balances of every 11th lease, all three on every 22nd in a fifth of the buildings; the
+    second misreads every third total; every fourth total and every sixth count is printed
+    wrongly."""
     b, i, far = F.col("building_id"), F.col("lease_id"), F.lit(1 << 40)
     day = F.when(b % 2 == 0, "\n report date: 7-31-01").otherwise("")
     head = F.concat(F.when(b % 3 == 0, "C@P!T@L").otherwise("Capital One"), day, F.lit("\n OAK "), b.cast("string"), F.lit(" HOLDINGS LLC"))
@@ -111,8 +112,9 @@ def _reads(d: Domain) -> DataFrame:
     statement = scans._activity(d).withColumn("doc_id", F.col("doc_id") * 4 + 2)
     sums = d.leases.groupBy("building_id").agg(F.count("*").alias("n"), F.sum(F.when(i % 3 == 0, 0).otherwise(F.col("deposit") + 1)).alias("t"))
     out = []
-    for reader, (every, more) in enumerate(((0, 0), (11, 700), (22, 900)), 1):
-        seen = d.leases.withColumn("deposit", F.col("deposit") + (F.when(i % every == 0, more).otherwise(0) if every else 0))
+    wrong = {1: F.lit(0), 2: F.when(i % 11 == 0, 700).otherwise(0), 3: F.when((i % 22 == 0) & (b % 5 == 2), 900).otherwise(0)}
+    for reader, more in wrong.items():
+        seen = d.leases.withColumn("deposit", F.col("deposit") + more)
         total = F.col("t") + F.when(b % 4 == 0, 1).otherwise(0) + (F.when(b % 3 == 1, 5).otherwise(0) if reader == 2 else 0)
         count = F.col("n") + F.when(b % 6 == 5, 1).otherwise(0)
         last = sums.select((b * 4).alias("doc_id"), far.alias("page_no"), F.concat(F.lit("CAPITAL ONE TOTALS FOR ALL SUB ACCOUNTS "), count, F.lit(" SUB ACCOUNTS\n x 1.00 "), scans._shown(total)).alias("text"))
@@ -147,7 +149,7 @@ def _q(f):
 
 
 QUERIES = {"agg19_printed_totals": _q(_verified), "gate09_read_decision": _q(_decided), "gate09_read_balances": _q(_posted)}
-_LOST = "(lease_id % 22 = 0 AND lease_id % 3 <> 0)"
+_LOST = "(lease_id % 22 = 0 AND lease_id % 3 <> 0 AND building_id % 5 = 2)"
 _CAP = f"""(SELECT *, flagged = 0 AS row_consensus, accepted_total = grand AS sum_ties, accepted_count = reported AS count_ties FROM (SELECT building_id AS b, building_id * 4 AS doc_id, sum(v)::BIGINT + CASE WHEN building_id % 4 = 0 THEN 1 ELSE 0 END AS grand, count(*) + CASE WHEN building_id % 6 = 5 THEN 1 ELSE 0 END AS reported, coalesce(sum(v) FILTER (WHERE NOT {_LOST}), 0)::BIGINT AS accepted_total, count(*) FILTER (WHERE NOT {_LOST}) AS accepted_count, count(*) FILTER (WHERE {_LOST}) AS flagged, CASE WHEN building_id % 7 = 3 THEN 0 ELSE 1 END AS n_buildings FROM (SELECT *, CASE WHEN lease_id % 3 = 0 THEN 0 ELSE deposit + 1 END AS v FROM {{leases}}) GROUP BY building_id))"""
 _OK = "row_consensus AND sum_ties AND count_ties"
 _BOXED = "CASE WHEN statement_id % 4 = 1 OR (statement_id % 4 IN (0, 3) AND statement_id % 10 <> 0) THEN 'accepted' ELSE 'quarantined' END"
