@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.money import amount_after, money_tokens
+from ..functions.money import MONEY, amount_after, money_tokens, to_cents
 from ..plans.domain import Domain, duck
 from ..plans.shared import write_once
 
@@ -86,9 +86,10 @@ def bank(text: Column) -> Column:
 
 
 def _day(text: Column, pattern: str, month: int = 1) -> Column:
+    """The day that a pattern's groups spell; a cast, as a formatter throws at every text without one."""
     part = lambda i: F.regexp_extract(text, pattern, month + i)
-    year = F.when(F.length(part(2)) == 4, part(2)).otherwise(F.concat(F.lit("20"), part(2)))
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(part(0), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+    year = F.when(F.length(part(2)) == 4, part(2)).when(F.length(part(2)) == 2, F.concat(F.lit("20"), part(2)))
+    return F.when(text.rlike(pattern), F.concat_ws("-", year, F.lpad(part(0), 2, "0"), F.lpad(part(1), 2, "0")).try_cast("date"))
 
 
 def report_date(text: Column) -> Column:
@@ -196,23 +197,34 @@ def activity(pages: DataFrame, labels: tuple | None = None) -> DataFrame:
 # --- Rows for each tenant ------------------------------------------------------------
 
 
-def sections(pages: DataFrame) -> DataFrame:
+#: Where a row's line stands in its document.
+PLACE = ("page_no", "block", "at")
+
+
+def _lines(b: DataFrame, *more: str) -> DataFrame:
+    """The lines of blocks one by one, with what arrays beside them hold for each."""
+    return b.select(*[c for c in b.columns if c not in ("lines", *more)], F.posexplode(F.arrays_zip("lines", *more)).alias("at", "_l")).select("*", "_l.*").drop("_l").withColumnRenamed("lines", "line")
+
+
+def sections(pages: DataFrame, place: bool = False) -> DataFrame:
     """Rows of a report by building: account, tenant and balance on one line, the unit on the
-    next, the building from the last section head above."""
+    next, the building from the last section head above; with ``place`` where they stand."""
     head = lambda x: F.nullif(F.regexp_extract(x, SECTION, 1), F.lit(""))
-    b = blocks(pages).withColumn("heads", F.transform("lines", head))
-    edge = b.select(*KEY, last_of(F.array_compact("heads")).alias("head"), F.get("lines", 0).alias("first"))
+    b = blocks(pages).withColumn("heads", F.array_compact(F.transform("lines", lambda x, i: F.when(head(x).isNotNull(), F.struct(i.alias("i"), head(x).alias("head"))))))
+    edge = b.select(*KEY, last_of(F.col("heads"))["head"].alias("head"), F.get("lines", 0).alias("first"))
     edge = edge.select(*KEY, F.last("head", True).over(before()).alias("carried"), F.lead("first").over(in_order()).alias("after"))
-    row = lambda x, i: F.when(x.rlike(TENANT) & F.get("heads", i).isNull(), F.struct(x.alias("line"), F.coalesce(F.get("lines", i + 1), F.col("after")).alias("next"), F.coalesce(last_of(F.array_compact(F.slice("heads", F.lit(1), i + 1))), F.col("carried")).alias("section")))
-    j = b.where(has_line(TENANT)).join(edge, KEY).select("doc_id", F.inline(F.array_compact(F.transform("lines", row))))
+    j = b.where(has_line(TENANT)).join(edge, KEY)
+    j = _lines(j.withColumn("next", F.concat(F.slice("lines", 2, BLOCK), F.array("after"))), "next").where(F.col("line").rlike(TENANT))
+    above = last_of(F.filter("heads", lambda h: h["i"] <= F.col("at")))
+    j = j.withColumn("above", above).where((F.col("above")["i"] != F.col("at")) | F.col("above").isNull())
     part = lambda i: F.regexp_extract("line", TENANT, i)
-    return j.select("doc_id", part(1).alias("account"), F.btrim(part(2)).alias("tenant"), money_tokens(part(3))[0].alias("balance"), F.nullif(F.regexp_extract("next", UNIT, 1), F.lit("")).alias("unit"), "section")
+    return j.select("doc_id", part(1).alias("account"), F.btrim(part(2)).alias("tenant"), to_cents(part(3)).alias("balance"), F.nullif(F.regexp_extract("next", UNIT, 1), F.lit("")).alias("unit"), F.coalesce(F.col("above")["head"], F.col("carried")).alias("section"), *(PLACE if place else ()))
 
 
 def section_totals(pages: DataFrame) -> DataFrame:
     """The two printed grand totals: the first different amounts after the end of all sections;
     where there are none, the amount after the deposit column's label."""
-    end, column = (F.instr(F.lower("text"), F.lit(x)) > 0 for x in (ALL_SECTIONS, COLUMN_TOTAL))
+    end, column = (F.col("text").rlike(r"(?iu)\Q" + x + r"\E") for x in (ALL_SECTIONS, COLUMN_TOTAL))
     near = reaching(pages, end | column)
     at = F.instr(F.lower("t"), F.lit(ALL_SECTIONS)) + len(ALL_SECTIONS)
     found = near.groupBy("doc_id").agg(by_first_page(F.array_distinct(money_tokens(F.substring(F.col("t"), at, F.lit(FAR)))), end).alias("f"), by_first_page(amount_after(F.col("t"), F.lit(COLUMN_TOTAL)), column).alias("c"))
@@ -231,29 +243,32 @@ def _entering(b: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.inline(F.zip_with("m", states, lambda x, s: F.struct(x["page_no"].alias("page_no"), x["block"].alias("block"), s.alias("used")))))
 
 
-def subaccounts(pages: DataFrame) -> DataFrame:
+def subaccounts(pages: DataFrame, place: bool = False) -> DataFrame:
     """Rows of a report by account: the name before the account's number, money on the first of
     the next two lines that has any, a closed account at 0.  Lines up to the one with the money
-    are used up: they start no row of their own."""
+    are used up: they start no row of their own.  With ``place`` where the rows stand."""
     b = blocks(pages)
     b = b.join(following(b, 3), KEY).withColumn("all", F.concat("lines", "after"))
-    pays = lambda i: F.size(money_tokens(F.coalesce(F.get("all", i), F.lit("")))) > 0
+    pays = lambda i: F.coalesce(F.get("all", i).rlike(MONEY), F.lit(False))
     uses = lambda x, i: F.when(x.rlike(ACCOUNT) & ~F.contains(x, F.lit("TOTALS")), F.when(pays(i + 1), 1).when(pays(i + 2), 2).otherwise(0))
     step = lambda s, k: F.when(s > 0, s - 1).otherwise(F.coalesce(k, F.lit(0)))
     b = b.withColumn("uses", F.transform("lines", uses))
     b = b.withColumn("out", F.array(*[F.aggregate("uses", F.lit(s), step) for s in range(3)]))
-    own = b.where(F.exists("uses", lambda k: k.isNotNull())).join(_entering(b), KEY)
+    # no filter on ``uses`` here: it would become the condition of the merge join, which cannot bind both sides' columns
+    own = b.join(_entering(b), KEY)
     used = F.aggregate("uses", F.struct(F.col("used").alias("s"), F.array().cast("array<int>").alias("a")), lambda a, k: F.struct(step(a["s"], k).alias("s"), F.array_append(a["a"], a["s"]).alias("a")))["a"]
-    row = lambda x, i: F.when(F.get("uses", i).isNotNull() & (F.get("taken", i) == 0), F.struct(x.alias("line"), *[F.get("all", i + k).alias(f"n{k}") for k in (1, 2, 3)]))
-    j = own.withColumn("taken", used).select("doc_id", F.inline(F.array_compact(F.transform("lines", row))))
-    m1, m2 = (money_tokens(F.coalesce(c, F.lit(""))) for c in ("n1", "n2"))
-    first = F.size(m1) > 0
-    paid, money = F.when(first, F.col("n1")).otherwise(F.col("n2")), F.when(first, m1).otherwise(m2)
-    closed = F.contains(F.upper(F.coalesce("n1", F.lit(""))), F.lit("CLOSED")) | (~first & F.contains(F.upper(F.coalesce("n2", F.lit(""))), F.lit("CLOSED")))
+    after = {f"n{k}": F.slice("all", k + 1, BLOCK) for k in (1, 2, 3)}
+    own = own.select(*KEY, "lines", "uses", used.alias("taken"), *[c.alias(n) for n, c in after.items()])
+    j = _lines(own, "uses", "taken", *after).where("uses IS NOT NULL AND taken = 0")
+    first = F.col("uses") == 1
+    has = F.col("uses") > 0
+    paid = F.when(first, F.col("n1")).otherwise(F.col("n2"))
+    j = j.withColumn("paid", F.when(has, paid)).withColumn("money", money_tokens(F.col("paid")))
+    shut = lambda n: F.coalesce(F.col(n).rlike("(?iu)CLOSED"), F.lit(False))
+    closed = shut("n1") | (~first & shut("n2"))
     name = F.btrim(F.regexp_replace(F.regexp_extract("line", "^(.*?)" + ACCOUNT, 1), r"\s+", " "), F.lit(" -"))
-    has = F.size(money) > 0
-    open_on = _day(F.concat_ws("\n", paid, F.when(first, F.col("n2")).otherwise(F.col("n3"))), OPENED)
-    return j.select("doc_id", F.regexp_extract("line", ACCOUNT, 1).alias("account"), name.alias("tenant"), F.when(has, F.get(F.split(F.btrim(paid), r"\s+"), 0)).alias("unit"), F.when(has, F.get(money, 0)).alias("initial"), F.when(has, F.when(closed, F.lit(0)).otherwise(F.element_at(money, -1))).alias("balance"), closed.alias("closed"), F.when(has, open_on).alias("open_on"))
+    open_on = _day(F.concat_ws("\n", "paid", F.when(first, F.col("n2")).otherwise(F.col("n3"))), OPENED)
+    return j.select("doc_id", F.regexp_extract("line", ACCOUNT, 1).alias("account"), name.alias("tenant"), F.when(has, F.get(F.split(F.btrim("paid"), r"\s+", 2), 0)).alias("unit"), F.when(has, F.get("money", 0)).alias("initial"), F.when(has, F.when(closed, F.lit(0)).otherwise(F.element_at("money", -1))).alias("balance"), closed.alias("closed"), F.when(has, open_on).alias("open_on"), *(PLACE if place else ()))
 
 
 def account_totals(pages: DataFrame) -> DataFrame:

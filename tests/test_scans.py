@@ -126,6 +126,18 @@ def test_small_blocks_give_the_same_rows(split, monkeypatch):
     assert bag(tuple(r) for r in got) == bag((i, *r) for i, x in docs.items() if i % 10 < 3 for r in brute_accounts(x))
 
 
+def test_rows_by_merge_joins(split, spark):
+    """As on tables that no join broadcasts: no join's condition may need both sides' lines."""
+    docs, pages = split
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scans.subaccounts(pages).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert bag(tuple(r) for r in got) == bag((i, *r) for i, x in docs.items() for r in brute_accounts(x))
+
+
 def test_no_plan_gathers_text(split):
     _, pages = split
     for frame in (scans.subaccounts(pages), scans.sections(pages), scans.running(pages)):
