@@ -10,16 +10,18 @@ A read without them gives no rows, and so no votes.  Its report date and its lab
 of the first reader who has any: the buildings of its sections, else the entity.
 
 Edge cases: a document whose bank no reader tells is an error; one without rows has none
-accepted and ties with no printed total but zero; a read that shows an account with different
-balances has no vote on it; rows without an account are left out, as are pages with a null
-doc_id, reader or page number; null texts are empty pages; an empty table gives no rows.
+accepted and ties with no printed total but zero; an account that a read shows several times
+is as many rows, as printed totals and counts have them all: each is voted on with those of
+the same number, from the top, in the other reads; rows without an account are left out, as
+are pages with a null doc_id, reader or page number; null texts are empty pages; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.domain import Domain, duck
@@ -58,9 +60,8 @@ def verify(reads: DataFrame, buildings: DataFrame) -> tuple[DataFrame, DataFrame
     tenants = (F.col("bank") == "capital_one") | ((F.col("bank") == "apple") & F.coalesce("_detail", F.lit(False)))
     docs = docs.select("doc_id", "reads", "bank", F.coalesce(tenants, F.lit(False)).alias("per_tenant"), F.col("as_of").alias("report_date"), F.col("e.entity").alias("entity"))
 
-    one = F.when(F.min("balance") == F.max("balance"), F.max("balance"))
-    votes = rows.groupBy("doc_id", "reader", F.col("account").alias("account_id")).agg(one.alias("value"), F.min("tenant").alias("tenant"), F.min("unit").alias("unit"))
-    votes = write_once(votes)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "reader", "account").orderBy(*scans.PLACE))
+    votes = write_once(rows.select("doc_id", "reader", F.struct(F.col("account").alias("account"), nth.alias("nth")).alias("account_id"), F.col("balance").alias("value"), "tenant", "unit"))
     shown = F.explode(F.create_map(*[x for f in PRINTED for x in (F.lit(f), F.col(f).cast("long"))])).alias("field", "value")
     said = agreed(heads.select("doc_id", "reader", shown), ["doc_id", "field"])
     printed = said.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in PRINTED])
@@ -83,7 +84,7 @@ def verify(reads: DataFrame, buildings: DataFrame) -> tuple[DataFrame, DataFrame
     status = F.when(F.col("bank").isNull(), "quarantined").when(F.col("per_tenant"), F.when(whole, "accepted").otherwise("quarantined")).otherwise(F.col("_box"))
     error = F.when(F.col("bank").isNull(), "bank not identified")
     about = votes.groupBy("doc_id", "account_id").agg(first("tenant"), first("unit"))
-    accepted = agreed(votes, ["doc_id", "account_id"]).where("value IS NOT NULL").join(about, ["doc_id", "account_id"])
+    accepted = agreed(votes, ["doc_id", "account_id"]).where("value IS NOT NULL").join(about, ["doc_id", "account_id"]).withColumn("account_id", F.col("account_id.account"))
     return j.withColumn("status", status).withColumn("error", error).drop("_box"), accepted
 
 

@@ -296,7 +296,7 @@ def told(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row for each document of any bank, and the rows of its tenants.
+    """One row for each document of any bank, and the rows of its tenants with their place.
 
     ``pages`` is read first for page 1 of all documents, then only for those that need more:
     the joins carry the documents' ids to the second scan, where Spark prunes by them."""
@@ -313,8 +313,8 @@ def extract(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     master = reduce(lambda a, x: F.when(F.col("bank") == x[0], F.nullif(F.regexp_extract(t, x[1], 1), F.lit(""))).otherwise(a), MASTER.items(), F.lit(None).cast("string"))
     entity = F.regexp_replace(F.btrim(found(ENTITY)), r"\s+", " ")
     heads = read.groupBy("doc_id", "bank").agg(F.count("*").alias("pages"), by_first_page(master, master.isNotNull()).alias("master_account"), entity.alias("_entity"), F.btrim(found(OWNERS)).alias("_owners"), by_first_page(_day(t, PERIOD), t.rlike(PERIOD)).alias("_since"), by_first_page(_day(t, PERIOD, 4), t.rlike(PERIOD)).alias("_until"))
-    columns = ["doc_id", "account", "tenant", "unit", "balance", "section", "initial", "closed", "open_on"]
-    rows = sections(by_building).unionByName(subaccounts(by_account), allowMissingColumns=True).select(*columns)
+    columns = ["doc_id", "account", "tenant", "unit", "balance", "section", "initial", "closed", "open_on", *PLACE]
+    rows = sections(by_building, True).unionByName(subaccounts(by_account, True), allowMissingColumns=True).select(*columns)
     sums = rows.groupBy("doc_id").agg(F.count("*").alias("accounts"), F.sum(F.coalesce("balance", F.lit(0))).alias("total"))
     printed = section_totals(by_building).unionByName(account_totals(by_account), allowMissingColumns=True)
     pooled = reaching(by_account, t.rlike(SWEEP) | t.rlike(CURRENT) | t.rlike(DDA))

@@ -40,6 +40,16 @@ def test_reads_agree_or_are_held_back(spark):
     assert (second["value"], second["confirmed_by"], second["tenant"], second["unit"], second["building_id"]) == (5000, "1,3", "Roe Max", "3B", 41)
 
 
+def test_an_account_shown_twice_is_two_rows(spark):
+    """Printed totals and counts have both; the readers differ on the second alone."""
+    text = "Capital One\n ELM COURT LLC\nDoe Jane - 1000000001\n 2A  100.00  150.00\nRoe Max - 1000000001\n 3B  50.00  {}\nCAPITAL ONE TOTALS FOR ALL SUB ACCOUNTS 2 SUB ACCOUNTS\n x 1.00 200.00"
+    rows = [(1, r, 1, text.format(b)) for r, b in enumerate(("50.00", "56.00", "50.00"), 1)]
+    buildings = spark.createDataFrame([(41, "Elm Court LLC", None)], "building_id long, name string, address string")
+    checked, accepted = readings.verify(spark.createDataFrame(rows, PAGES), buildings)
+    assert [(r["status"], r["accepted_total"], r["accepted_count"], r["flagged"]) for r in checked.collect()] == [("accepted", 20000, 2, 0)]
+    assert sorted((r["account_id"], r["value"], r["n_agree"], r["tenant"], r["unit"]) for r in accepted.collect()) == [("1000000001", 5000, 2, "Roe Max", "3B"), ("1000000001", 15000, 3, "Doe Jane", "2A")]
+
+
 def test_no_reads(spark):
     buildings = spark.createDataFrame([], "building_id long, name string, address string")
     checked, accepted = readings.verify(spark.createDataFrame([], PAGES), buildings)
