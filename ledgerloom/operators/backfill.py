@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..plans.domain import AS_OF, Domain, duck
+from ..plans.shared import write_once
 from ..plans.versions import Store
 from . import custody as cus
 from . import deadlines
@@ -139,10 +140,10 @@ def maintain(store: Store, before: DataFrame, after: DataFrame, as_of: Column, b
 
     Findings of a changed row are made again: those that hold are open, those that were open and
     hold no more are closed.  Totals take the difference of the images' sums."""
-    found = cus.all_findings(after, as_of).groupBy("signature", "custody_id").agg(F.min(F.struct("kind", "severity", "building_id", "amount", "detail")).alias("t")).select("signature", "custody_id", "t.*").withColumn("status", F.lit("open"))
+    found = cus.all_findings(after, as_of).withColumn("status", F.lit("open"))
     touched = before.select("custody_id").union(after.select("custody_id")).distinct()
     gone = store.read("findings").where("status = 'open'").join(touched, "custody_id", "left_semi").join(found.select("signature", "custody_id"), ["signature", "custody_id"], "left_anti").withColumn("status", F.lit("closed"))
-    rows = found.unionByName(gone).withColumn("_at", F.lit(0))
+    rows = write_once(found.unionByName(gone).withColumn("_at", F.xxhash64("severity", "building_id", "amount", "detail")))  # the merge reads it twice
     columns = ("kind", "severity", "building_id", "amount", "detail", "status")
     out = {"findings": store.merge("findings", rows, f"{batch}-findings", "_at", {c: F.col(c) for c in columns})}
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -154,6 +155,16 @@ def maintain(store: Store, before: DataFrame, after: DataFrame, as_of: Column, b
     return out
 
 
+def images(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``old`` that are not in ``new`` and those of ``new`` that are not in ``old``,
+    each as often as it is there more often: one shuffle and one table for both."""
+    names = [F.col(c) for c in new.columns]
+    both = old.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1))).repartition("custody_id")
+    differ = write_once(both.groupBy(*names).agg(F.sum("_n").alias("_n")).where("_n <> 0"))
+    side = lambda sign: differ.where(sign * F.col("_n") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), sign * F.col("_n")))).drop("_n")
+    return side(-1), side(1)
+
+
 def _moved(c: DataFrame, step: int) -> DataFrame:
     """The custody table after some days' edits: rows that go, are refunded, or are pooled."""
     i = F.col("custody_id")
@@ -165,8 +176,7 @@ def _kept(d: Domain) -> DataFrame:
     store = Store.temporary(d.spark, KEPT, KEPT_KEYS, buckets=8)
     state = d.custody.limit(0)
     for k, after in enumerate((d.custody, _moved(d.custody, 0), _moved(d.custody, 2))):
-        rest = after.exceptAll(state)
-        maintain(store, state.exceptAll(after), rest, F.lit(AS_OF).cast("date"), f"day{k}")
+        maintain(store, *images(state, after), F.lit(AS_OF).cast("date"), f"day{k}")
         state = after
     f = store.read("findings").where("status = 'open'").groupBy("building_id", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
     return f.join(store.read("totals"), "building_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +24,33 @@ def has_sub() -> Column:
     return F.nullif(F.col("sub_last4"), F.lit("")).isNotNull() | F.col("sub_opened_on").isNotNull()
 
 
-def _finding(df: DataFrame, kind: str, severity: Column | str, amount: str | Column = "amount", **detail: str | Column) -> DataFrame:
-    return df.select("custody_id", F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "building_id", (F.col(amount) if isinstance(amount, str) else amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), custody_key()).alias("signature"), as_json({"unit": "unit", "tenant": "tenant"} | detail).alias("detail"))
+def _finding(kind: str, where: Column, severity: Column | str, amount: str | Column = "amount", **detail: str | Column) -> Column:
+    """A row's finding as a struct, null where the condition does not hold."""
+    return F.when(where, F.struct("custody_id", F.lit(kind).alias("kind"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), "building_id", (F.col(amount) if isinstance(amount, str) else amount).cast("long").alias("amount"), F.concat(F.lit(f"{kind}:"), custody_key()).alias("signature"), as_json({"unit": "unit", "tenant": "tenant"} | detail).alias("detail")))
 
 
-def findings(custody: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def rules(as_of: Column) -> dict[str, Column]:
     age = lambda d: F.datediff(as_of, d)
     since = F.coalesce("cleared_on", "sent_on")
     pooled, held = age(since), age(F.coalesce("sub_opened_on", "cleared_on", "sent_on"))
-    return {
-        "funds_returned_not_refunded": _finding(custody.where("returned_on IS NOT NULL AND refunded_on IS NULL"), "funds_returned_not_refunded", F.when(age("returned_on") > REFUND_DAYS, "critical").otherwise("high"), F.coalesce("returned_amount", "amount"), funds_returned_on="returned_on", days_since_return=age("returned_on"), stage="stage"),
-        "master_account_float": _finding(custody.where((F.col("in_master") > 0) & (pooled > FLOAT_DAYS)), "master_account_float", F.when(pooled > 3 * FLOAT_DAYS, "critical").otherwise("high"), "in_master", since=since, days_in_master=pooled, threshold_days=F.lit(FLOAT_DAYS)),
-        "deposit_not_sent_to_bank": _finding(custody.where(F.col("sent_on").isNull() & (age("received_on") > BANK_DAYS)), "deposit_not_sent_to_bank", "high", received_on="received_on", days_held=age("received_on"), stage="stage"),
-        "subaccount_not_opened": _finding(custody.where(~has_sub() & (age("cleared_on") > SUB_DAYS)), "subaccount_not_opened", "high", bank_cleared_on="cleared_on", days_since_cleared=age("cleared_on"), stage="stage"),
-        "allocation_pending": _finding(custody.where((F.col("in_master") > 0) & has_sub() & (held.isNull() | (held > ALLOCATE_DAYS))), "allocation_pending", "medium", "in_master", subaccount_last4="sub_last4", subaccount_opened_on="sub_opened_on", days_pending=held),
-        "vacated_subaccount_open": _finding(custody.where(F.col("refunded_on").isNull() & F.col("bank_closed_on").isNull() & F.col("stage").isin(*OPEN_STAGES) & (age("vacate_on") > VACATED_DAYS)), "vacated_subaccount_open", "medium", vacate_date="vacate_on", days_since_vacate=age("vacate_on"), stage="stage"),
-    }
+    all_rules = (
+        ("funds_returned_not_refunded", F.expr("returned_on IS NOT NULL AND refunded_on IS NULL"), F.when(age("returned_on") > REFUND_DAYS, "critical").otherwise("high"), F.coalesce("returned_amount", "amount"), dict(funds_returned_on="returned_on", days_since_return=age("returned_on"), stage="stage")),
+        ("master_account_float", (F.col("in_master") > 0) & (pooled > FLOAT_DAYS), F.when(pooled > 3 * FLOAT_DAYS, "critical").otherwise("high"), "in_master", dict(since=since, days_in_master=pooled, threshold_days=F.lit(FLOAT_DAYS))),
+        ("deposit_not_sent_to_bank", F.col("sent_on").isNull() & (age("received_on") > BANK_DAYS), "high", "amount", dict(received_on="received_on", days_held=age("received_on"), stage="stage")),
+        ("subaccount_not_opened", ~has_sub() & (age("cleared_on") > SUB_DAYS), "high", "amount", dict(bank_cleared_on="cleared_on", days_since_cleared=age("cleared_on"), stage="stage")),
+        ("allocation_pending", (F.col("in_master") > 0) & has_sub() & (held.isNull() | (held > ALLOCATE_DAYS)), "medium", "in_master", dict(subaccount_last4="sub_last4", subaccount_opened_on="sub_opened_on", days_pending=held)),
+        ("vacated_subaccount_open", F.col("refunded_on").isNull() & F.col("bank_closed_on").isNull() & F.col("stage").isin(*OPEN_STAGES) & (age("vacate_on") > VACATED_DAYS), "medium", "amount", dict(vacate_date="vacate_on", days_since_vacate=age("vacate_on"), stage="stage")),
+    )
+    return {kind: _finding(kind, where, severity, amount, **detail) for kind, where, severity, amount, detail in all_rules}
+
+
+def findings(custody: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    return {kind: custody.select(F.inline(F.array_compact(F.array(rule)))) for kind, rule in rules(as_of).items()}
 
 
 def all_findings(custody: DataFrame, as_of: Column) -> DataFrame:
-    return reduce(DataFrame.unionByName, findings(custody, as_of).values())
+    """The findings of all rules in one pass over the table."""
+    return custody.select(F.inline(F.array_compact(F.array(*rules(as_of).values()))))
 
 
 def first_by_signature(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -103,6 +103,17 @@ def test_kept_findings_equal_a_full_run_after_random_edits(spark, tmp_path):
     assert store.version() == version and [t for t in bag(store.read("totals")) if t[1]] == bag(totals)
 
 
+def test_images_of_a_change_in_one_pass(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "custody_id long, amount long")
+    old, new = table([(1, 5), (1, 5), (2, None), (3, 1), (None, 7)]), table([(1, 5), (2, None), (3, 2), (3, 2), (4, 9)])
+    before, after = bf.images(old, new)
+    assert bag(before) == bag(old.exceptAll(new)) and bag(after) == bag(new.exceptAll(old))
+    columns = "custody_id long, building_id long, unit string, tenant string, kind string, amount long, received_on date, sent_on date, cleared_on date, in_master long, sub_last4 string, sub_opened_on date, stage string, vacate_on date, bank_closed_on date, returned_on date, returned_amount long, refunded_on date, external_ref string"
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "c"))
+    found = custody.all_findings(spark.read.parquet(str(tmp_path / "c")), F.lit("2001-08-01").cast("date"))
+    assert found._jdf.queryExecution().analyzed().toString().count("Relation") == 1
+
+
 def test_pages_follow_each_other_and_are_heaps(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice((None, *(DAY(2024, 1, k) for k in range(1, 9))))) for i in range(130)]
