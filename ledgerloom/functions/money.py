@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ from pyspark.sql import functions as F
 MONEY = r"(?<![\d.])-?\$?\(?(?:\d{1,3}(?:,\d{3})*|\d+)?\.\d{2}\)?-?"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sign(t: Column) -> Column:
+    return F.when(t.startswith("-") | t.startswith("(") | t.endswith("-"), F.lit(-1)).otherwise(F.lit(1))
+
+
 def to_cents(text: Column, dot_alone: int | None = 0) -> Column:
     """Cents of a written amount; null where it cannot be read.
 
@@ -18,15 +29,15 @@ def to_cents(text: Column, dot_alone: int | None = 0) -> Column:
     are cut, not rounded.  A dot alone is ``dot_alone``; places that are no whole number of
     cents (as in 1..5) cannot be read.
     """
-    t = F.btrim(text)
-    bare = F.regexp_replace(t, "[^0-9.]", "")
-    whole = F.substring_index(bare, ".", 1)
-    dot = F.instr(bare, ".")
-    places = F.rpad(F.when(dot > 0, F.substring(bare, dot + 1, F.lit(2))).otherwise(""), 2, "0")
-    cents = F.when(F.substring(places, 1, 1) != ".", F.regexp_replace(places, r"\.$", "")).when(places == ".0", "0").try_cast("bigint")
-    value = F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("bigint")) * 100 + cents
-    sign = F.when(t.startswith("-") | t.startswith("(") | t.endswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(bare == "", F.lit(None).cast("long")).when(bare == ".", F.lit(dot_alone).cast("long")).otherwise(sign * value)
+
+    def read(t: Column, bare: Column) -> Column:
+        whole, dot = F.substring_index(bare, ".", 1), F.instr(bare, ".")
+        places = F.rpad(F.when(dot > 0, F.substring(bare, dot + 1, F.lit(2))).otherwise(""), 2, "0")
+        cents = _bound(places, lambda p: F.when(F.substring(p, 1, 1) != ".", F.regexp_replace(p, r"\.$", "")).when(p == ".0", "0").try_cast("bigint"))
+        value = F.when(whole == "", F.lit(0).cast("long")).otherwise(whole.try_cast("bigint")) * 100 + cents
+        return F.when(bare == "", F.lit(None).cast("long")).when(bare == ".", F.lit(dot_alone).cast("long")).otherwise(_sign(t) * value)
+
+    return _bound(F.btrim(text), lambda t: _bound(F.regexp_replace(t, "[^0-9.]", ""), lambda bare: read(t, bare)))
 
 
 #: Fixed value: what may be typed for an amount, signs and separators apart.
@@ -55,8 +66,9 @@ def cents_to_input(cents: Column) -> Column:
 
 
 def money_tokens(line: Column) -> Column:
-    """All amounts in a line, in order."""
-    return F.transform(F.regexp_extract_all(line, F.lit(MONEY), F.lit(0)), to_cents)
+    """All amounts in a line, in order: the pattern leaves one dot and two places, so an amount's
+    digits are its cents; one beyond a long is null."""
+    return F.transform(F.regexp_extract_all(line, F.lit(MONEY), F.lit(0)), lambda x: _sign(x) * F.regexp_replace(x, "[^0-9]", "").try_cast("bigint"))
 
 
 def amount_after(text: Column, label: Column, near: int = 60, far: int = 400) -> Column:

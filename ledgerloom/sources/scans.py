@@ -249,10 +249,11 @@ def subaccounts(pages: DataFrame, place: bool = False) -> DataFrame:
     are used up: they start no row of their own.  With ``place`` where the rows stand."""
     b = blocks(pages)
     b = b.join(following(b, 3), KEY).withColumn("all", F.concat("lines", "after"))
-    pays = lambda i: F.coalesce(F.get("all", i).rlike(MONEY), F.lit(False))
-    uses = lambda x, i: F.when(x.rlike(ACCOUNT) & ~F.contains(x, F.lit("TOTALS")), F.when(pays(i + 1), 1).when(pays(i + 2), 2).otherwise(0))
+    # what every match holds is looked for before the pattern is tried
+    pays = lambda i: F.coalesce(F.contains(F.get("all", i), F.lit(".")) & F.get("all", i).rlike(MONEY), F.lit(False))
+    uses = lambda x, i: F.when(F.contains(x, F.lit("1000")) & x.rlike(ACCOUNT) & ~F.contains(x, F.lit("TOTALS")), F.when(pays(i + 1), 1).when(pays(i + 2), 2).otherwise(0))
     step = lambda s, k: F.when(s > 0, s - 1).otherwise(F.coalesce(k, F.lit(0)))
-    b = b.withColumn("uses", F.transform("lines", uses))
+    b = write_once(b.select(*KEY, "lines", "after", F.transform("lines", uses).alias("uses"))).withColumn("all", F.concat("lines", "after"))
     b = b.withColumn("out", F.array(*[F.aggregate("uses", F.lit(s), step) for s in range(3)]))
     # no filter on ``uses`` here: it would become the condition of the merge join, which cannot bind both sides' columns
     own = b.join(_entering(b), KEY)
@@ -309,15 +310,19 @@ def extract(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_account = read.where(F.col("bank") == "capital_one")
     by_activity = read.where(F.col("bank") != "capital_one").join(detail, "doc_id", "left_anti")
     t = F.col("text")
-    found = lambda p, i=1: by_first_page(F.nullif(F.regexp_extract(t, p, i), F.lit("")), t.rlike(p))
+    found = lambda p, i=1: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
     master = reduce(lambda a, x: F.when(F.col("bank") == x[0], F.nullif(F.regexp_extract(t, x[1], 1), F.lit(""))).otherwise(a), MASTER.items(), F.lit(None).cast("string"))
-    entity = F.regexp_replace(F.btrim(found(ENTITY)), r"\s+", " ")
-    heads = read.groupBy("doc_id", "bank").agg(F.count("*").alias("pages"), by_first_page(master, master.isNotNull()).alias("master_account"), entity.alias("_entity"), F.btrim(found(OWNERS)).alias("_owners"), by_first_page(_day(t, PERIOD), t.rlike(PERIOD)).alias("_since"), by_first_page(_day(t, PERIOD, 4), t.rlike(PERIOD)).alias("_until"))
+    named = F.contains(t, F.lit("LLC"))
+    # each pattern goes over a page once; what it found is aggregated, not the text
+    fields = read.select("doc_id", "bank", "page_no", master.alias("master"), F.when(named, found(ENTITY)).alias("entity"), F.when(named & (F.col("bank") == "santander"), found(OWNERS)).alias("owners"), found(PERIOD, 0).alias("period")).repartition("doc_id")
+    first = lambda c: by_first_page(F.col(c), F.col(c).isNotNull())
+    heads = fields.groupBy("doc_id", "bank").agg(F.count("*").alias("pages"), first("master").alias("master_account"), F.regexp_replace(F.btrim(first("entity")), r"\s+", " ").alias("_entity"), F.btrim(first("owners")).alias("_owners"), first("period").alias("_period"))
+    heads = heads.withColumn("_since", _day(F.col("_period"), PERIOD)).withColumn("_until", _day(F.col("_period"), PERIOD, 4)).drop("_period")
     columns = ["doc_id", "account", "tenant", "unit", "balance", "section", "initial", "closed", "open_on", *PLACE]
     rows = sections(by_building, True).unionByName(subaccounts(by_account, True), allowMissingColumns=True).select(*columns)
     sums = rows.groupBy("doc_id").agg(F.count("*").alias("accounts"), F.sum(F.coalesce("balance", F.lit(0))).alias("total"))
     printed = section_totals(by_building).unionByName(account_totals(by_account), allowMissingColumns=True)
-    pooled = reaching(by_account, t.rlike(SWEEP) | t.rlike(CURRENT) | t.rlike(DDA))
+    pooled = reaching(by_account, F.contains(F.upper(t), F.lit("BALANCE")) & (t.rlike(SWEEP) | t.rlike(CURRENT) | t.rlike(DDA)))
     after = lambda p: by_first_page(F.get(money_tokens(F.regexp_extract("t", p + r"([\s\S]{0,400})", 1)), 0), t.rlike(p))
     pooled = pooled.groupBy("doc_id").agg(F.coalesce(F.nullif(after(SWEEP), F.lit(0)), after(CURRENT)).alias("sweep"), after(DDA).alias("dda_should_be"))
     act = activity(by_activity)
@@ -347,7 +352,7 @@ def _shown(c: Column) -> Column:
 
 def _paged(rows: DataFrame, *order: str) -> DataFrame:
     """Pages of (doc_id, page_no, line) in order; a page holds a bounded range of leases."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x.line), "\n")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct(*order, "line")))["line"], "\n")
     return rows.groupBy("doc_id", "page_no").agg(text.alias("text"))
 
 
