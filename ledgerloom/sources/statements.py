@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.money import to_cents
 from ..plans.domain import Domain, duck
+from ..plans.shared import write_once
 
 
 @dataclass(frozen=True)
@@ -62,13 +63,15 @@ def detect(pages: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame
     """Per document: its layout if exactly one matches page 1, how many do, and whether it
     is a scan without text."""
     chars = F.length(F.regexp_replace("text", r"\s", ""))
-    hits = F.array_compact(F.array(*[F.when(F.col("head").rlike(x.detect), x.id) for x in layouts]))
-    docs = pages.groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("page_no") == 1, F.col("text"))), F.lit("")).alias("head"), F.sum(chars).alias("chars"), F.count("*").alias("pages"))
+    # a page is read where it lies: flags and counts are aggregated, not texts
+    own = lambda x: F.coalesce(F.max(F.when(F.col("page_no") == 1, F.coalesce("text", F.lit("")).rlike(x.detect))), F.lit("").rlike(x.detect))
+    docs = pages.groupBy("doc_id").agg(*[own(x).alias(f"_{i}") for i, x in enumerate(layouts)], F.sum(chars).alias("chars"), F.count("*").alias("pages"))
+    hits = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), x.id) for i, x in enumerate(layouts)]))
     return docs.select("doc_id", F.when(F.size(hits) == 1, hits[0]).alias("layout"), F.size(hits).alias("n_parsers"), (F.col("chars") / F.col("pages") < SCANNED).alias("scanned"))
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "page_no", (F.col("at") + 1).alias("line_no"), "line")
+def lines(pages: DataFrame, *more: str) -> DataFrame:
+    return pages.select("doc_id", "page_no", *more, F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "page_no", *more, (F.col("at") + 1).alias("line_no"), "line")
 
 
 #: Fixed value: a row's date.
@@ -81,49 +84,62 @@ def _found(text: str, pattern: str, group: int = 1) -> Column:
 
 def header(pages: DataFrame, layout: Layout) -> DataFrame:
     """Per document: period, balances in cents, account, and the first field that is missing.
-    Fields are read page by page, the first page that has one decides: no document is gathered."""
-    first = lambda pattern: F.min_by(_found("text", pattern), F.when(F.col("text").rlike(pattern), F.col("page_no")))
-    docs = pages.groupBy("doc_id").agg(first(layout.opening).alias("opening"), first(layout.closing).alias("closing"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 1))).alias("since"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.period, 2))).alias("until"), F.max(F.when(F.col("page_no") == 1, _found("text", layout.last4))).alias("account_last4"))
+    Fields are read page by page, the first page that has one decides: no document is gathered,
+    and what is sent and sorted by document is fields, not texts."""
+    top = lambda pattern, group=1: F.when(F.col("page_no") == 1, _found("text", pattern, group))
+    found = pages.select("doc_id", "page_no", "text", _found("text", layout.opening).alias("_opening"), _found("text", layout.closing).alias("_closing"), top(layout.period).alias("since"), top(layout.period, 2).alias("until"), top(layout.last4).alias("account_last4"))
+    balance = lambda c, pattern: F.when(F.col(c).isNotNull() | F.col("text").rlike(pattern), F.struct("page_no", F.col(c).alias("value")))
+    fields = found.select("doc_id", balance("_opening", layout.opening).alias("opening"), balance("_closing", layout.closing).alias("closing"), "since", "until", "account_last4").repartition("doc_id")
+    first = lambda c: F.min_by(f"{c}.value", f"{c}.page_no")
+    docs = fields.groupBy("doc_id").agg(first("opening").alias("opening"), first("closing").alias("closing"), *[F.max(c).alias(c) for c in ("since", "until", "account_last4")])
     day = lambda c: F.try_to_date(c, "yyyy-MM-dd" if layout.iso else "MM/dd/yyyy")
     parts = docs.select("doc_id", day("since").alias("period_start"), day("until").alias("period_end"), to_cents(F.col("opening")).alias("opening"), to_cents(F.col("closing")).alias("closing"), "account_last4")
     missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"could not locate {what}")) for c, what in (("period_end", "statement period"), ("opening", "opening balance"), ("closing", "closing balance"), ("account_last4", "account number"))])
     return parts.withColumn("problem", missing)
 
 
-def _transactions(rows: DataFrame, heads: DataFrame, iso: bool = False) -> DataFrame:
-    """Dates without a year take that of the period's end; a statement whose header has a problem
-    has no rows."""
-    j = rows.join(heads.where("problem IS NULL").select("doc_id", F.year("period_end").alias("_year")), "doc_id")
+def _readable(pages: DataFrame, layout: Layout) -> DataFrame:
+    """(doc_id, _year): a statement whose header has a problem has no rows."""
+    return header(pages, layout).where("problem IS NULL").select("doc_id", F.year("period_end").alias("_year"))
+
+
+def _transactions(rows: DataFrame, iso: bool = False) -> DataFrame:
+    """Dates without a year take that of the period's end."""
     day = F.try_to_date("date", "yyyy-MM-dd") if iso else dates.us_date(F.col("date"), F.col("_year"))
-    return j.select("doc_id", "page_no", "line_no", day.alias("posted_on"), "amount", F.regexp_replace(F.btrim("desc"), r"\s{2,}", " ").alias("descriptor"), F.nullif("check", F.lit("")).alias("check_no"), "problem")
+    return rows.select("doc_id", "page_no", "line_no", day.alias("posted_on"), "amount", F.regexp_replace(F.btrim("desc"), r"\s{2,}", " ").alias("descriptor"), F.nullif("check", F.lit("")).alias("check_no"), "problem")
 
 
 def fixed_width(pages: DataFrame, layout: Layout) -> DataFrame:
     """Transactions of a columnar layout: the header row gives each column's offset, a column
-    runs to where the next begins, the first from the line's start."""
+    runs to where the next begins, the first from the line's start.  Offsets are worked out once
+    for a document and meet its pages before these are cut to lines; ``pages`` is read three
+    times."""
     starts = F.array_compact(F.array(*[F.when(F.regexp_instr("line", F.lit(p)) > 0, F.struct(F.regexp_instr("line", F.lit(p)).alias("start"), F.lit(k).alias("key"))) for k, p in layout.columns.items()]))
-    keys = F.transform("s", lambda c: c.key)
-    whole = F.size(F.array_except(F.array(*[F.lit(k) for k in layout.columns if k not in OPTIONAL]), keys)) == 0
-    all_lines = lines(pages)
-    heads = all_lines.where("page_no = 1").withColumn("s", F.array_sort(starts)).where(whole).groupBy("doc_id").agg(F.min_by("s", "line_no").alias("s"))
-    rows = all_lines.join(heads, "doc_id").where(F.btrim("line") != "")
+    top = lines(pages.where("page_no = 1"))
+    for key, pattern in layout.columns.items():
+        if key not in OPTIONAL:
+            top = top.where(F.col("line").rlike(pattern))
+    heads = top.groupBy("doc_id").agg(F.min_by(F.array_sort(starts), "line_no").alias("s"))
+    cells = ("date", "desc", "check", "debit", "credit")
+    place = F.transform("s", lambda c, i: F.struct(c.key.alias("key"), F.when(i == 0, 1).otherwise(c.start).alias("lo"), F.coalesce(F.get("s", i + 1).start, F.lit(1 << 20)).alias("hi")))
+    of = lambda k: F.get(F.filter("s", lambda c: c.key == k), F.lit(0))
+    heads = heads.select("doc_id", place.alias("s")).select("doc_id", *[of(k).alias(f"_{k}") for k in cells])
+    heads = heads.select("doc_id", *[x for k in cells for x in (F.col(f"_{k}.lo").alias(f"_{k}_lo"), (F.col(f"_{k}.hi") - F.col(f"_{k}.lo")).alias(f"_{k}_n"))]).join(_readable(pages, layout), "doc_id")
+    rows = lines(pages.join(heads, "doc_id"), *[c for c in heads.columns if c != "doc_id"]).where(F.btrim("line") != "")
     for pattern in layout.ignore:
         rows = rows.where(~F.col("line").rlike(pattern))
-
-    def cell(key: str) -> Column:
-        at = F.filter(F.transform("s", lambda c, i: F.struct(c.key.alias("key"), F.when(i == 0, 1).otherwise(c.start).alias("lo"), F.coalesce(F.get("s", i + 1).start, F.lit(1 << 20)).alias("hi"))), lambda c: c.key == key)[0]
-        return F.coalesce(F.btrim(F.substring("line", at.lo, at.hi - at.lo)), F.lit(""))
-
-    cut = rows.select("doc_id", "page_no", "line_no", *[cell(k).alias(k) for k in ("date", "desc", "check", "debit", "credit")]).where(F.col("date").rlike(ROW_DATE) & (F.concat("debit", "credit") != ""))
+    cell = lambda k: F.coalesce(F.btrim(F.substring("line", F.col(f"_{k}_lo"), F.col(f"_{k}_n"))), F.lit(""))
+    cut = rows.select("doc_id", "page_no", "line_no", "_year", *[cell(k).alias(k) for k in cells]).where(F.col("date").rlike(ROW_DATE) & (F.concat("debit", "credit") != ""))
     both = (F.col("debit") != "") & (F.col("credit") != "")
-    amount = F.when(~both, F.when(F.col("debit") != "", -F.abs(to_cents(F.col("debit")))).otherwise(F.abs(to_cents(F.col("credit")))))
-    return _transactions(cut.select("doc_id", "page_no", "line_no", "date", "desc", "check", amount.alias("amount"), F.when(both, "debit and credit in one row").alias("problem")), header(pages, layout))
+    written = F.abs(to_cents(F.when(F.col("debit") != "", F.col("debit")).otherwise(F.col("credit"))))
+    amount = F.when(~both, F.when(F.col("debit") != "", -written).otherwise(written))
+    return _transactions(cut.select("doc_id", "page_no", "line_no", "_year", "date", "desc", "check", amount.alias("amount"), F.when(both, "debit and credit in one row").alias("problem")))
 
 
 def by_pattern(pages: DataFrame, layout: Layout) -> DataFrame:
     """Transactions of a layout whose lines one pattern reads: the amount carries its sign, or
     stands in one of two columns; a line with neither is no transaction."""
-    rows = lines(pages).where(F.col("line").rlike(layout.line))
+    rows = lines(pages.join(_readable(pages, layout), "doc_id"), "_year").where(F.col("line").rlike(layout.line))
     for pattern in layout.ignore:
         rows = rows.where(~F.col("line").rlike(pattern))
     part = {k: F.btrim(F.regexp_extract("line", layout.line, i)) for k, i in layout.parts.items()}
@@ -135,7 +151,7 @@ def by_pattern(pages: DataFrame, layout: Layout) -> DataFrame:
         amount = F.when(~both, F.when(part["credit"] != "", F.abs(to_cents(part["credit"]))).otherwise(-F.abs(to_cents(part["debit"]))))
         rows = rows.where(F.concat(part["debit"], part["credit"]) != "")
         problem = F.when(both, "debit and credit in one row")
-    return _transactions(rows.select("doc_id", "page_no", "line_no", part["date"].alias("date"), part["desc"].alias("desc"), part.get("check", F.lit("")).alias("check"), amount.alias("amount"), problem.alias("problem")), header(pages, layout), layout.iso)
+    return _transactions(rows.select("doc_id", "page_no", "line_no", "_year", part["date"].alias("date"), part["desc"].alias("desc"), part.get("check", F.lit("")).alias("check"), amount.alias("amount"), problem.alias("problem")), layout.iso)
 
 
 def parse(pages: DataFrame, layout: Layout) -> DataFrame:
@@ -160,7 +176,7 @@ def rendered(d: Domain, layout: Layout) -> DataFrame:
         one = F.concat(F.lit(" "), F.date_format("posted_on", "MM/dd"), F.lit("  "), "descriptor", F.lit("    "), money(F.col("amount")), F.when(F.col("amount") < 0, "-").otherwise(""), F.lit("   1.00"))
         words = "Date   Description"
         title, opening, closing, account = "HARBOR NATIONAL BANK", "Opening Balance: $", "Closing Balance: $", "Account No: ****"
-    body = t.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("posted_on", "txn_id", one.alias("line")))), lambda x: x.line), "\n").alias("body"))
+    body = t.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("posted_on", "txn_id", one.alias("line"))))["line"], "\n").alias("body"))
     s = d.statements.withColumnRenamed("statement_id", "doc_id").join(body, "doc_id").where("opening >= 0 AND closing >= 0")
     day = lambda c: F.date_format(c, "MM/dd/yyyy")
     head = F.concat_ws("\n", F.lit(title), F.concat(F.lit("Statement Period: "), day("period_start"), F.lit(" through "), day("period_end")), F.concat(F.lit(account), F.lpad(F.col("building_id").cast("string"), 4, "0")), F.concat(F.lit(opening), money(F.col("opening"))), F.lit("=" * 40), F.lit(words))
@@ -172,7 +188,7 @@ def _q(f):
 
 
 def _read(layout: Layout):
-    return _q(lambda d: parse(rendered(d, layout), layout).select("doc_id", "line_no", "posted_on", "amount", "descriptor", "problem"))
+    return _q(lambda d: parse(write_once(rendered(d, layout)), layout).select("doc_id", "line_no", "posted_on", "amount", "descriptor", "problem"))
 
 
 def _mixed(d: Domain) -> DataFrame:

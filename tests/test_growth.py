@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import money_tokens, to_cents
-from ledgerloom.sources import scans
+from ledgerloom.sources import scans, statements
 
 
 def optimized(frame) -> str:
@@ -28,3 +28,20 @@ def test_scanned_pages_are_aggregated_by_fields(spark):
     assert got == {1: ("capital_one", 2, "00123456", "OAK HOLDINGS LLC", "2024-01-31"), 2: ("santander", 1, None, "12/34 OAK LLC #1", "None"), 3: (None, None, None, None, "None")}
     # lines are cut, and looked at for accounts and amounts, once for both sides of the blocks' join
     assert "posexplode(transform(sequence" not in optimized(scans.subaccounts(pages))
+
+
+def test_lines_meet_their_document_before_they_are_cut(spark):
+    pages = spark.createDataFrame([(1, 1, "x")], "doc_id long, page_no int, text string")
+    for layout in statements.LAYOUTS:
+        above = optimized(statements.parse(pages, layout)).split("Generate")[0]
+        assert "Join" not in above and "filter(" not in above
+
+
+def test_no_text_is_sent_to_detect_or_to_find_a_header(spark):
+    pages = spark.createDataFrame([(1, 1, "ESCROW ACCOUNT"), (1, 2, "HARBOR NATIONAL BANK"), (2, 2, "ESCROW ACCOUNT"), (3, 1, None)], "doc_id long, page_no int, text string")
+    found = statements.detect(pages)
+    assert {r["doc_id"]: (r["layout"], r["n_parsers"]) for r in found.collect()} == {1: ("escrow-columnar", 1), 2: (None, 0), 3: (None, 0)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    # the aggregate of the header's fields has no text below it before the exchange
+    head = optimized(statements.header(pages, statements.LAYOUTS[0]))
+    assert "RLIKE(text" not in head.split("RepartitionByExpression")[0] and "RepartitionByExpression" in head
