@@ -9,8 +9,8 @@ id made from its content: a repeated one finds its own entry.  What was staged a
 named is swept.
 
 Readers join a table's files, partitioned by folder and bucket, with the log's entries, a
-join on partition columns that prunes files at runtime; no list of batches passes the
-driver.  The log is folded into one table from time to time.
+broadcast join on partition columns that prunes files at runtime and moves no row; what is
+sent is a line of the log for each version of the table, or for each bucket of a merged one.  The log is folded into one table from time to time.
 
 Tables with keys are kept in buckets of the keys' hash.  ``merge`` reads and rewrites only
 buckets with keys of the batch and names only those in which a row changed, so that a
@@ -142,7 +142,8 @@ class Store:
         return self.spark.read.schema(columns).parquet(at) if self._fs.exists(self._path("data", table)) else self.spark.createDataFrame([], columns)
 
     def _rows(self, table: str, version: int | None) -> DataFrame:
-        return self._files(table).join(self.live(table, version), ["bucket", "folder"], "left_semi")
+        # rows of one folder have one key: a join that shuffles would sort them all in one task
+        return self._files(table).join(F.broadcast(self.live(table, version)), ["bucket", "folder"], "left_semi")
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The rows of a table, now or at a version."""
@@ -200,7 +201,7 @@ class Store:
         names = [f.name for f in self.spark.createDataFrame([], self.tables[table]).schema]
         while True:
             base = self.version()
-            stored = self._rows(table, base).drop("folder").join(touched, "bucket", "left_semi").withColumn("_stored", F.lit(True))
+            stored = self._rows(table, base).drop("folder").join(F.broadcast(touched), "bucket", "left_semi").withColumn("_stored", F.lit(True))
             on = F.lit(True)
             for i, c in enumerate(keys):
                 on = on & stored[c].eqNullSafe(n[f"_{i}"])

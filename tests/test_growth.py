@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import money_tokens, to_cents
+from ledgerloom.plans.versions import Store
 from ledgerloom.sources import scans, statements
 
 
@@ -45,3 +46,19 @@ def test_no_text_is_sent_to_detect_or_to_find_a_header(spark):
     # the aggregate of the header's fields has no text below it before the exchange
     head = optimized(statements.header(pages, statements.LAYOUTS[0]))
     assert "RLIKE(text" not in head.split("RepartitionByExpression")[0] and "RepartitionByExpression" in head
+
+
+def test_readers_of_versions_move_no_row(spark):
+    store = Store.temporary(spark, {"t": "a long"})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for i in range(2):
+            frames = lambda i=i: {"t": spark.range(i * 10, i * 10 + 10).toDF("a")}
+            store.append(f"b{i}", frames(), store.version(), frames)
+        rows = store.read("t")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r["a"] for r in rows.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
